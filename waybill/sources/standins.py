@@ -1,0 +1,407 @@
+"""Freight tables derived from the star-schema parquet tables (see FIXTURES.md).
+
+Every function returns a lazy DataFrame whose size grows with the tables it reads. Nothing here
+numbers rows within an order, so no order, however large, has to pass through one task; the first
+line of an order is found with a row limit that Spark applies before the shuffle.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from waybill.functions.scalars import LOCAL_SHIFT, millis
+
+# Status updates of a waybill in the order they happen.
+STATUS_STEPS = [
+    ("60010", "60020"), ("60020", "60030"), ("60030", "60040"), ("60040", "60050"),
+    ("60050", "60060"), ("60060", "60070"), ("60070", "60080"),
+]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One given table; zone-less times are UTC instants."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    ntz = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
+
+
+def _text(value: Column | str) -> Column:
+    return (F.col(value) if isinstance(value, str) else value).cast("string")
+
+
+def _later(start: Column, **amount: Column) -> Column:
+    return start + F.make_dt_interval(
+        hours=amount.get("hours"), mins=amount.get("mins"),
+        secs=amount["secs"].cast("decimal(18,6)") if "secs" in amount else None,
+    )
+
+
+def _wall_millis(instant: Column) -> Column:
+    return millis(instant + LOCAL_SHIFT)
+
+
+def _iso(instant: Column) -> Column:
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+# ---------------------------------------------------------------- dimensions
+
+def base_region_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    provinces = region.select(
+        _text(1000 + F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent_id"),
+        F.col("r_name").alias("name"), F.lit("Province").alias("dict_code"))
+    cities = nation.select(
+        _text(100 + F.col("n_nationkey")), _text(1000 + F.col("n_regionkey")), F.col("n_name"), F.lit("City"))
+    districts = nation.select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(
+        _text(2000 + F.col("n_nationkey") * 4 + F.col("k")), _text(100 + F.col("n_nationkey")),
+        F.concat("n_name", F.lit("-D"), _text("k")), F.lit("District"))
+    return provinces.union(cities).union(districts)
+
+
+def base_organ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hubs = table(spark, sf_dir, "nation").select(
+        _text(9000 + F.col("n_nationkey")).alias("id"), F.concat(F.lit("Hub "), "n_name").alias("org_name"),
+        F.lit(None).cast("string").alias("org_parent_id"), _text(100 + F.col("n_nationkey")).alias("region_id"))
+    stations = table(spark, sf_dir, "supplier").select(
+        _text("s_suppkey"), F.col("s_name"), _text(9000 + F.col("s_nationkey")),
+        _text(2000 + F.col("s_nationkey") * 4 + F.col("s_suppkey") % 4))
+    return hubs.union(stations)
+
+
+def base_dic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_type").alias("id"), F.lower("p_type").alias("name")).distinct()
+
+
+def truck_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        _text("p_partkey").alias("id"), F.col("p_brand").alias("truck_model_id"), F.col("p_name").alias("truck_no"),
+        F.concat(F.lit("gps"), _text("p_partkey")).alias("device_gps_id"),
+        F.concat(F.lit("eng"), _text("p_size")).alias("engine_no"))
+
+
+def truck_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("id"), F.concat(F.lit("Model "), "p_brand").alias("model_name"),
+        F.concat(F.lit("M-"), "p_brand").alias("model_no")).distinct()
+
+
+def _phone(key: Column, bad: Column) -> Column:
+    digits = F.substring(_text(F.lit(100000000) + key), 2, 8)
+    return F.when(bad, F.lit("999")).otherwise(F.concat(F.lit("138"), digits))
+
+
+def user_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        _text(key).alias("id"), F.col("c_name").alias("real_name"), F.concat(F.lit("pw"), _text(key)).alias("passwd"),
+        _phone(key, key % 5 == 0).alias("phone_num"),
+        F.when(key % 7 == 0, "bad").otherwise(F.concat(F.lit("u"), _text(key), F.lit("@mail.com"))).alias("email"),
+        (3650 + key % 10000).cast("int").alias("birthday"))
+
+
+def user_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        _text(key).alias("id"), _text(key).alias("user_id"), _phone(key, key % 4 == 0).alias("phone"),
+        F.concat(F.lit("Street "), _text(key)).alias("address"))
+
+
+def employee_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        _text(key).alias("id"), F.concat(F.lit("pw"), _text(key)).alias("password"), F.col("s_name").alias("real_name"),
+        F.concat(F.lit("card"), _text(key)).alias("id_card"), _phone(key, key % 6 == 0).alias("phone"))
+
+
+def express_courier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        _text(key).alias("id"), _text(key).alias("emp_id"), _text(9000 + F.col("s_nationkey")).alias("org_id"),
+        _phone(key, key % 3 == 0).alias("working_phone"))
+
+
+def truck_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        _text(key).alias("id"), _text(key).alias("emp_id"), F.concat(F.lit("LIC"), _text(key)).alias("license_no"))
+
+
+# ---------------------------------------------------------------- orders and cargo
+
+def order_info(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFrame:
+    """One waybill per order. `share` < 1 reads a sample, for key statistics only."""
+    orders = table(spark, sf_dir, "orders")
+    if share < 1:
+        orders = orders.sample(share, seed=7)
+    nation = table(spark, sf_dir, "nation")
+    sender = nation.select(F.col("n_nationkey").alias("sn"), F.col("n_regionkey").alias("sr"))
+    receiver = nation.select(F.col("n_nationkey").alias("rn"), F.col("n_regionkey").alias("rr"))
+    key, cust, city = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_nationkey")
+    created = _later(F.col("o_orderdate"), secs=key * 37 % 86400)
+    return (
+        orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == cust)
+        .join(sender, F.col("sn") == city)
+        .join(receiver, F.col("rn") == (city + 7) % 25)
+        .select(
+            _text(key).alias("id"), F.concat(F.lit("WB"), _text(key)).alias("order_no"),
+            _text(1 + key % 2).alias("collect_type"), _text(cust).alias("user_id"),
+            _text(30000 + F.col("rn") * 10 + key % 10).alias("receiver_complex_id"),
+            _text(1000 + F.col("rr")).alias("receiver_province_id"), _text(100 + F.col("rn")).alias("receiver_city_id"),
+            _text(2000 + F.col("rn") * 4 + key % 4).alias("receiver_district_id"),
+            F.concat(F.lit("R"), "c_mktsegment").alias("receiver_name"),
+            _text(30000 + city * 10 + cust % 10).alias("sender_complex_id"),
+            _text(1000 + F.col("sr")).alias("sender_province_id"), _text(100 + city).alias("sender_city_id"),
+            _text(2000 + city * 4 + cust % 4).alias("sender_district_id"), F.col("c_name").alias("sender_name"),
+            F.col("o_orderpriority").alias("payment_type"), (1 + key % 5).cast("int").alias("cargo_num"),
+            F.col("o_totalprice").cast("decimal(20,2)").alias("amount"),
+            (created + F.expr("interval 72 hours")).alias("estimate_arrive_time"),
+            (key % 1000).cast("decimal(20,2)").alias("distance"), created.alias("create_time"))
+    )
+
+
+def _first_lines(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    if share < 1:
+        lines = lines.sample(share, seed=7)
+    order = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    return lines.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
+def order_cargo(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFrame:
+    """First line of an order: 1 s before, 1 s after or 8 s after the order was placed."""
+    key = F.col("l_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    delay = F.when(key % 10 == 0, 8).when(key % 2 == 0, 1).otherwise(-1)
+    return (
+        _first_lines(spark, sf_dir, share)
+        .join(orders, key == F.col("o_orderkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            _text(key * 100 + 1).alias("id"), _text(key).alias("order_id"), F.col("p_type").alias("cargo_type"),
+            F.col("l_quantity").cast("int").alias("volumn_length"), (key % 50 + 1).cast("int").alias("volumn_width"),
+            F.col("l_linenumber").cast("int").alias("volumn_height"),
+            F.col("l_quantity").cast("decimal(20,2)").alias("weight"),
+            _later(F.col("o_orderdate"), secs=key * 37 % 86400 + delay).alias("create_time"))
+    )
+
+
+def order_changes(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFrame:
+    """Typed change log of orders and cargo; see `sources.changes.order_changes` for the columns.
+
+    The updates of an order come from one explode, so orders are read and joined once.
+    """
+    info = order_info(spark, sf_dir, share)
+    number = F.col("id").cast("long")
+    steps = F.array(*[F.struct(F.lit(a).alias("s0"), F.lit(b).alias("s1")) for a, b in STATUS_STEPS])
+
+    def change(op: str, s0: Column, s1: Column, at: Column) -> Column:
+        return F.struct(F.lit(op).alias("op"), s0.alias("s0"), s1.alias("s1"), at.alias("ts"))
+
+    created = F.array(change("c", F.lit(None).cast("string"), F.lit("60010"), F.col("create_time")))
+    updates = F.transform(
+        F.slice(steps, 1, (number % 9).cast("int")),
+        lambda step, i: change("u", step["s0"], step["s1"], _later(F.col("create_time"), hours=6 * (i + 1))))
+    cancels = F.filter(
+        F.array(change("u", F.concat(F.lit("600"), _text(1 + number % 9), F.lit("0")), F.lit("60999"),
+                       F.col("create_time") + F.expr("interval 60 hours"))),
+        lambda c: (number % 13 == 0) & (number % 9 < 7))
+    orders = info.withColumn("change", F.explode(F.concat(created, updates, cancels))).select(
+        F.col("id").alias("order_id"), F.lit("order_info").alias("tbl"), F.col("change.op"), F.col("change.ts"),
+        F.col("change.s0").alias("before_status"),
+        F.struct("id", "order_no", F.col("change.s1").alias("status"), *info.columns[2:],
+                 F.col("change.ts").alias("update_time")).alias("order"))
+    cargo_df = order_cargo(spark, sf_dir, share)
+    cargo = cargo_df.select(
+        "order_id", F.lit("order_cargo").alias("tbl"), F.lit("c").alias("op"), F.col("create_time").alias("ts"),
+        F.lit(None).cast("string").alias("before_status"), F.struct(*cargo_df.columns).alias("cargo"))
+    return orders.unionByName(cargo, allowMissingColumns=True)
+
+
+# ---------------------------------------------------------------- warehouse and trips
+
+def _line_id() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _arrival() -> Column:
+    return _later(F.col("l_shipdate"), secs=F.col("l_orderkey") * 53 % 86400)
+
+
+def bound_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warehouse passage per line: op, before, after. Times are wall-clock digits as on the wire.
+
+    Every fifth line number is never sorted, the one before it never leaves; line 7 is sorted and
+    sent out by the same update.
+    """
+    line, hours = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    lines = table(spark, sf_dir, "lineitem").select(
+        _line_id().alias("id"), _text("l_orderkey").alias("order_id"), _text("l_suppkey").alias("org_id"),
+        _text(_wall_millis(_arrival())).alias("inbound"),
+        F.when(line % 5 != 0, _text(_wall_millis(_later(_arrival(), hours=hours)))).alias("sort"),
+        F.when(~(line % 5).isin(0, 4), _text(_wall_millis(_later(_arrival(), hours=2 * hours)))).alias("outbound"),
+        (line == 7).alias("at_once"), _text(F.col("l_suppkey") * 10 + line).alias("emp"))
+
+    none = F.lit(None).cast("string")
+
+    def image(sort: Column, outbound: Column) -> Column:
+        return F.struct(
+            F.col("id"), F.col("order_id"), F.col("org_id"), F.col("inbound").alias("inbound_time"),
+            F.col("emp").alias("inbound_emp_id"), sort.alias("sort_time"),
+            F.when(sort.isNotNull(), F.col("emp")).alias("sorter_emp_id"), outbound.alias("outbound_time"),
+            F.when(outbound.isNotNull(), F.col("emp")).alias("outbound_emp_id"))
+
+    fresh, sorted_, done = image(none, none), image(F.col("sort"), none), image(F.col("sort"), F.col("outbound"))
+
+    def change(op: str, before: Column, after: Column, happens: Column) -> Column:
+        return F.when(happens, F.struct(F.lit(op).alias("op"), before.alias("before"), after.alias("after")))
+
+    no_image = F.when(F.lit(False), fresh)
+    has_sort, has_out = F.col("sort").isNotNull(), F.col("outbound").isNotNull()
+    return lines.select(F.explode(F.array_compact(F.array(
+        change("c", no_image, fresh, F.lit(True)),
+        change("u", fresh, sorted_, has_sort & ~F.col("at_once")),
+        change("u", sorted_, done, has_out & ~F.col("at_once")),
+        change("u", fresh, done, has_out & F.col("at_once")),
+    ))).alias("change")).select("change.*")
+
+
+def trip_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trip per line: op, before, after. Open trips get an update that sets no end time."""
+    line = F.col("l_linenumber")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    ended = F.col("l_linestatus") == "F"
+    trips = (
+        table(spark, sf_dir, "lineitem")
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            _line_id().alias("id"), _text("l_suppkey").alias("start_org_id"), F.col("s_name").alias("start_org_name"),
+            line.cast("int").alias("order_num"), F.col("s_name").alias("driver1_name"),
+            F.when(line % 2 == 0, F.col("p_name")).alias("driver2_name"), _text("l_partkey").alias("truck_id"),
+            F.col("p_name").alias("truck_no"), _text(_wall_millis(_arrival())).alias("actual_start_time"),
+            F.when(ended, _text(_wall_millis(_later(_arrival(), mins=30 * F.col("l_quantity").cast("int"))))).alias("end"),
+            F.col("l_extendedprice").cast("decimal(20,2)").alias("actual_distance"))
+    )
+
+    def image(end: Column) -> Column:
+        return F.struct(*[F.col(c) for c in trips.columns if c != "end"], end.alias("actual_end_time"))
+
+    running = image(F.lit(None).cast("string"))
+    changes = F.array(
+        F.struct(F.lit("c").alias("op"), F.when(F.lit(False), running).alias("before"), running.alias("after")),
+        F.struct(F.lit("u").alias("op"), running.alias("before"), image(F.col("end")).alias("after")))
+    return trips.select(F.explode(changes).alias("change")).select("change.*")
+
+
+# ---------------------------------------------------------------- raw log (JSON text)
+
+def _envelope(table_name: str, op: Column, before: Column, after: Column, ts_ms: Column) -> Column:
+    return F.to_json(F.struct(
+        op.alias("op"), before.alias("before"), after.alias("after"),
+        F.struct(F.lit(table_name).alias("table"), F.lit("tms").alias("db")).alias("source"), ts_ms.alias("ts_ms"),
+        F.struct(F.lit("t0").alias("id")).alias("transaction")))
+
+
+def _order_wire(image: Column) -> Column:
+    """Typed order image back to its wire form: ISO texts and wall-clock milliseconds."""
+    return (
+        image.withField("create_time", _iso(image["create_time"]))
+        .withField("update_time", _iso(image["update_time"]))
+        .withField("estimate_arrive_time", _wall_millis(image["estimate_arrive_time"]))
+    )
+
+
+def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw log of orders and cargo as JSON text in a `value` column.
+
+    Besides the changes of `order_changes` it holds deletes (every 11th order), updates that lost
+    their image (every 17th) and snapshot reads (every 19th), which later steps must ignore.
+    """
+    changes = order_changes(spark, sf_dir)
+    number, ms = F.col("order_id").cast("long"), millis(F.col("ts"))
+    order = _order_wire(F.col("order"))
+    cargo = F.col("cargo").withField("create_time", _iso(F.col("cargo.create_time")))
+    no_order, no_cargo = F.when(F.lit(False), order), F.when(F.lit(False), cargo)
+    before = F.when(F.col("op") == "u", order.withField("status", F.col("before_status")))
+    placed = (F.col("tbl") == "order_info") & (F.col("op") == "c")
+
+    def event(op: Column, old: Column, new: Column) -> Column:
+        return _envelope("order_info", op, old, new, ms)
+
+    events = F.array(
+        F.when(F.col("tbl") == "order_cargo", _envelope("order_cargo", F.col("op"), no_cargo, cargo, ms))
+        .otherwise(event(F.col("op"), before, order)),
+        F.when(placed & (number % 11 == 0), event(F.lit("d"), order, no_order)),
+        F.when(placed & (number % 17 == 0), event(F.lit("u"), order, no_order)),
+        F.when(placed & (number % 19 == 0), event(F.lit("r"), no_order, order)))
+    return changes.select(F.explode(F.array_compact(events)).alias("value"))
+
+
+def dim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw log of dimension tables: a snapshot read of every row, then some updates.
+
+    Every third customer changes the e-mail address, every sixth once more; every second station
+    moves to the next district. `base_region_info` has no routing row.
+    """
+    number = F.col("id").cast("long")
+
+    def log_of(name: str, df: DataFrame, updates: list) -> DataFrame:
+        """Each row as a snapshot read, plus (happens, column, old, new, time) updates; one pass."""
+        image = F.struct(*df.columns)
+        events = [_envelope(name, F.lit("r"), F.when(F.lit(False), image), image, F.lit(1000).cast("long"))]
+        events += [
+            F.when(happens, _envelope(name, F.lit("u"), image.withField(column, old), image.withField(column, new),
+                                      F.lit(at).cast("long")))
+            for happens, column, old, new, at in updates]
+        return df.select(F.explode(F.array_compact(F.array(*events))).alias("value"))
+
+    def email(generation: int) -> Column:
+        return F.concat(F.lit(f"g{generation}-"), F.col("id"), F.lit("@mail.com"))
+
+    moved = _text(F.col("region_id").cast("long") + 1)
+    station = F.col("org_parent_id").isNotNull() & (number % 2 == 0)
+    parts = [
+        log_of("user_info", user_info(spark, sf_dir), [
+            (number % 3 == 0, "email", F.col("email"), email(2), 2000),
+            (number % 6 == 0, "email", email(2), email(3), 3000)]),
+        log_of("base_organ", base_organ(spark, sf_dir), [(station, "region_id", F.col("region_id"), moved, 2000)]),
+        log_of("truck_info", truck_info(spark, sf_dir), []),
+        log_of("base_region_info", base_region_info(spark, sf_dir), []),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def routing_rows(spark: SparkSession) -> DataFrame:
+    """Routing rows of the dimension branch (one per dimension table)."""
+    rows = [
+        ("user_info", "dim_user_info", None, "id,real_name,passwd,phone_num,email,birthday", "id", None),
+        ("base_organ", "dim_base_organ", None, "id,org_name,org_parent_id,region_id", "id", "region_id"),
+        ("truck_info", "dim_truck_info", "info", "id,truck_no,truck_model_id", "id", "truck_model_id"),
+    ]
+    names = "source_table string, sink_table string, sink_family string, sink_columns string, sink_pk string, foreign_keys string"
+    return spark.createDataFrame(rows, names)
+
+
+def routing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change log of routing rows made from user events: one source table per user."""
+    row = F.struct(
+        F.concat(F.lit("table_"), _text("user_id")).alias("source_table"),
+        F.concat(F.lit("dim_"), _text("event_id")).alias("sink_table"),
+        F.concat(F.lit("id,"), "event_type").alias("sink_columns"), F.lit("id").alias("sink_pk"),
+        F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("foreign_keys"))
+    op = (F.when(F.col("event_type") == "error", "d").when(F.col("event_type") == "signup", "c")
+          .when(F.col("event_type") == "view", "r").otherwise("u"))
+    no_row = F.when(F.lit(False), row)
+    return table(spark, sf_dir, "events").select(
+        _envelope("tms_config_dim", op, F.when(op.isin("d", "u"), row), F.when(op != "d", row).otherwise(no_row),
+                  F.col("event_id")).alias("value"))
