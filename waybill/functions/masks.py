@@ -52,7 +52,7 @@ def mask_image(table: Column, image: Column) -> Column:
 
 def mask_order_names(df: DataFrame) -> DataFrame:
     """Sender and receiver of a waybill."""
-    return df.withColumns({c: S.mask_name(F.col(c)) for c in ("sender_name", "receiver_name")})
+    return df.withColumns({c: S.mask_name(F.col(c)) for c in ("sender_name", "receiver_name") if c in df.columns})
 
 
 def mask_trip(df: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 PHONE_PATTERN = r"^(13[0-9]|14[01456879]|15[0-35-9]|16[2567]|17[0-8]|18[0-9]|19[0-35-9])\d{8}$"
 EMAIL_PATTERN = r"^[a-zA-Z0-9_-]+@[a-zA-Z0-9_-]+(\.[a-zA-Z0-9_-]+)+$"
 
-LOCAL_SHIFT = F.expr("interval 8 hours")
+
+def local_shift() -> Column:
+    """Distance of the business time zone (+08:00) from UTC."""
+    return F.expr("interval 8 hours")
 
 
 def mask_name(name: Column) -> Column:
@@ -49,12 +52,12 @@ def instant_of_iso(text: Column) -> Column:
 
 def instant_of_wall_millis(millis: Column) -> Column:
     """Epoch milliseconds of a local (+08:00) wall clock written as if it were UTC."""
-    return F.timestamp_millis(millis.try_cast("long")) - LOCAL_SHIFT
+    return F.timestamp_millis(millis.try_cast("long")) - local_shift()
 
 
 def instant_of_local_text(text: Column) -> Column:
     """Local (+08:00) date or date-time text as an instant."""
-    return F.try_to_timestamp(text) - LOCAL_SHIFT
+    return F.try_to_timestamp(text) - local_shift()
 
 
 def millis(instant: Column) -> Column:
@@ -63,7 +66,7 @@ def millis(instant: Column) -> Column:
 
 def local_day(instant: Column) -> Column:
     """Business day (UTC+8) of an instant."""
-    return F.to_date(instant + LOCAL_SHIFT)
+    return F.to_date(instant + local_shift())
 
 
 def text_day(instant: Column) -> Column:

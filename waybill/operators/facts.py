@@ -64,19 +64,20 @@ def status_fact(before: Column, after: Column) -> Column:
     return out.when(after == CANCELLED, F.lit("cancel"))
 
 
-def waybill_detail(joined: DataFrame, fact: str | None = None) -> DataFrame:
+def waybill_detail(joined: DataFrame, fact: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Wide waybill rows of joined (fact, cargo, order) rows; names are masked.
 
     With a fact name only its rows are taken and the time column gets that fact's name; without one
-    all facts are kept with a `fact` column and the time as `fact_time`.
+    all facts are kept with a `fact` column and the time as `fact_time`. `columns` limits the cargo
+    and order columns (for rows joined from `order_join.narrow_images`).
     """
     rows = joined if fact is None else joined.where(F.col("fact") == fact)
     time = F.when(F.col("fact") == "detail", F.col("cargo.create_time")).otherwise(F.col("order.update_time"))
     wide = rows.select(
         *(["fact"] if fact is None else []),
-        *[F.col(f"cargo.{c}").alias(name) for c, name in CARGO_COLUMNS.items()],
+        *[F.col(f"cargo.{c}").alias(name) for c, name in CARGO_COLUMNS.items() if columns is None or name in columns],
         time.alias("fact_time" if fact is None else TIME_COLUMNS[fact]),
-        *[F.col(f"order.{c}").alias(c) for c in ORDER_COLUMNS],
+        *[F.col(f"order.{c}").alias(c) for c in ORDER_COLUMNS if columns is None or c in columns],
         time.alias("ts"))
     return mask_order_names(wide)
 

@@ -15,15 +15,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill.operators import skew
-from waybill.operators.facts import status_fact
+from waybill.operators.facts import CARGO_COLUMNS, ORDER_COLUMNS, status_fact
 
 # Order of changes within a waybill: time, cargo before order, create before update.
 SEQUENCE = ["ts", "tbl", "op", "order.status", "cargo.id"]
+# Image fields the rules themselves read.
+_RULE_FIELDS = {"order": {"status", "update_time"}, "cargo": {"id", "order_id", "create_time"}}
 CLEARING_FACTS = ("cancel", "sign")
 # Fixed value: how long a created order waits for its cargo.
 WAIT = "5 seconds"
 
 
+def narrow_images(changes: DataFrame, columns: list[str]) -> DataFrame:
+    """Only the image fields that the named detail columns and the join need.
+
+    Images travel through the shuffle as a whole, so a summary that reads five columns of the detail
+    should not ship all of them.
+    """
+    source = {name: c for c, name in CARGO_COLUMNS.items()}
+    wanted = {
+        "order": {c for c in columns if c in ORDER_COLUMNS} | _RULE_FIELDS["order"],
+        "cargo": {source[c] for c in columns if c in source} | _RULE_FIELDS["cargo"],
+    }
+    for image, names in wanted.items():
+        kept = [F.col(f"{image}.{f}").alias(f) for f in changes.schema[image].dataType.names if f in names]
+        changes = changes.withColumn(image, F.when(F.col(image).isNotNull(), F.struct(*kept)))
+    return changes
+
+
 def join_orders_batch(
     changes: DataFrame, ttl: str = WAIT, sequence: list[str] | None = None, clear_on: tuple[str, ...] = CLEARING_FACTS,
     hot: list | None = None, max_rows: int = skew.MAX_ROWS,
@@ -33,8 +52,10 @@ def join_orders_batch(
     `hot` names waybills with more rows than one task should sort (`skew.hot_keys`); they are worked
     in slices of the first sequence column.
     """
-    sequence = sequence or SEQUENCE
-    rows = changes.where(F.col("order_id").isNotNull())
+    # Flat columns, so that both windows see the same sort order and the second one sorts nothing.
+    flat = {f"_s{i}": F.col(c) for i, c in enumerate(sequence or SEQUENCE)}
+    sequence = list(flat)
+    rows = changes.where(F.col("order_id").isNotNull()).withColumns(flat)
     rows, sliced = skew.slice_hot_keys(rows, "order_id", sequence[0], hot or [], max_rows)
 
     is_cargo = F.col("tbl") == "order_cargo"

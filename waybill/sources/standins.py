@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waybill.functions.scalars import LOCAL_SHIFT, millis
+from waybill.functions.scalars import local_shift, millis
 
 # Status updates of a waybill in the order they happen.
 STATUS_STEPS = [
@@ -41,7 +41,7 @@ def _later(start: Column, **amount: Column) -> Column:
 
 
 def _wall_millis(instant: Column) -> Column:
-    return millis(instant + LOCAL_SHIFT)
+    return millis(instant + local_shift())
 
 
 def _iso(instant: Column) -> Column:
@@ -134,11 +134,14 @@ def truck_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- orders and cargo
 
-def order_info(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFrame:
-    """One waybill per order. `share` < 1 reads a sample, for key statistics only."""
+def order_keys(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    """A sample of the order keys, for key statistics only."""
+    return table(spark, sf_dir, "orders").sample(share, seed=7).select(_text("o_orderkey").alias("order_id"))
+
+
+def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One waybill per order."""
     orders = table(spark, sf_dir, "orders")
-    if share < 1:
-        orders = orders.sample(share, seed=7)
     nation = table(spark, sf_dir, "nation")
     sender = nation.select(F.col("n_nationkey").alias("sn"), F.col("n_regionkey").alias("sr"))
     receiver = nation.select(F.col("n_nationkey").alias("rn"), F.col("n_regionkey").alias("rr"))
@@ -165,24 +168,22 @@ def order_info(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFram
     )
 
 
-def _first_lines(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    if share < 1:
-        lines = lines.sample(share, seed=7)
     order = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
     return lines.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
-def order_cargo(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFrame:
+def order_cargo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line of an order: 1 s before, 1 s after or 8 s after the order was placed."""
     key = F.col("l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     delay = F.when(key % 10 == 0, 8).when(key % 2 == 0, 1).otherwise(-1)
     return (
-        _first_lines(spark, sf_dir, share)
+        _first_lines(spark, sf_dir)
         .join(orders, key == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select(
@@ -194,12 +195,12 @@ def order_cargo(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFra
     )
 
 
-def order_changes(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFrame:
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed change log of orders and cargo; see `sources.changes.order_changes` for the columns.
 
     The updates of an order come from one explode, so orders are read and joined once.
     """
-    info = order_info(spark, sf_dir, share)
+    info = order_info(spark, sf_dir)
     number = F.col("id").cast("long")
     steps = F.array(*[F.struct(F.lit(a).alias("s0"), F.lit(b).alias("s1")) for a, b in STATUS_STEPS])
 
@@ -219,7 +220,7 @@ def order_changes(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataF
         F.col("change.s0").alias("before_status"),
         F.struct("id", "order_no", F.col("change.s1").alias("status"), *info.columns[2:],
                  F.col("change.ts").alias("update_time")).alias("order"))
-    cargo_df = order_cargo(spark, sf_dir, share)
+    cargo_df = order_cargo(spark, sf_dir)
     cargo = cargo_df.select(
         "order_id", F.lit("order_cargo").alias("tbl"), F.lit("c").alias("op"), F.col("create_time").alias("ts"),
         F.lit(None).cast("string").alias("before_status"), F.struct(*cargo_df.columns).alias("cargo"))
