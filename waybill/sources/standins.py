@@ -15,11 +15,9 @@ from pyspark.sql import types as T
 
 from waybill.functions.scalars import local_shift, millis
 
-# Status updates of a waybill in the order they happen.
-STATUS_STEPS = [
-    ("60010", "60020"), ("60020", "60030"), ("60030", "60040"), ("60040", "60050"),
-    ("60050", "60060"), ("60060", "60070"), ("60070", "60080"),
-]
+# Status codes of a waybill in the order they are reached, and the code of a cancel.
+STATUS_CODES = ["60010", "60020", "60030", "60040", "60050", "60060", "60070", "60080"]
+CANCEL_CODE = "60999"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +31,9 @@ def _text(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("string")
 
 
-def _later(start: Column, **amount: Column) -> Column:
-    return start + F.make_dt_interval(
-        hours=amount.get("hours"), mins=amount.get("mins"),
-        secs=amount["secs"].cast("decimal(18,6)") if "secs" in amount else None,
-    )
+def _later(start: Column, seconds: Column) -> Column:
+    """An instant some seconds after another, in whole-number arithmetic."""
+    return F.timestamp_micros(F.unix_micros(start) + seconds.cast("long") * 1_000_000)
 
 
 def _wall_millis(instant: Column) -> Column:
@@ -146,7 +142,7 @@ def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     sender = nation.select(F.col("n_nationkey").alias("sn"), F.col("n_regionkey").alias("sr"))
     receiver = nation.select(F.col("n_nationkey").alias("rn"), F.col("n_regionkey").alias("rr"))
     key, cust, city = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_nationkey")
-    created = _later(F.col("o_orderdate"), secs=key * 37 % 86400)
+    created = _later(F.col("o_orderdate"), key * 37 % 86400)
     return (
         orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == cust)
         .join(sender, F.col("sn") == city)
@@ -191,35 +187,34 @@ def order_cargo(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_quantity").cast("int").alias("volumn_length"), (key % 50 + 1).cast("int").alias("volumn_width"),
             F.col("l_linenumber").cast("int").alias("volumn_height"),
             F.col("l_quantity").cast("decimal(20,2)").alias("weight"),
-            _later(F.col("o_orderdate"), secs=key * 37 % 86400 + delay).alias("create_time"))
+            _later(F.col("o_orderdate"), key * 37 % 86400 + delay).alias("create_time"))
     )
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed change log of orders and cargo; see `sources.changes.order_changes` for the columns.
 
-    The updates of an order come from one explode, so orders are read and joined once.
+    A create, up to seven status updates six hours apart, and a cancel after 60 hours for every 13th
+    order. Each order is read and joined once and repeated by an explode of step numbers.
     """
-    info = order_info(spark, sf_dir)
     number = F.col("id").cast("long")
-    steps = F.array(*[F.struct(F.lit(a).alias("s0"), F.lit(b).alias("s1")) for a, b in STATUS_STEPS])
-
-    def change(op: str, s0: Column, s1: Column, at: Column) -> Column:
-        return F.struct(F.lit(op).alias("op"), s0.alias("s0"), s1.alias("s1"), at.alias("ts"))
-
-    created = F.array(change("c", F.lit(None).cast("string"), F.lit("60010"), F.col("create_time")))
-    updates = F.transform(
-        F.slice(steps, 1, (number % 9).cast("int")),
-        lambda step, i: change("u", step["s0"], step["s1"], _later(F.col("create_time"), hours=6 * (i + 1))))
-    cancels = F.filter(
-        F.array(change("u", F.concat(F.lit("600"), _text(1 + number % 9), F.lit("0")), F.lit("60999"),
-                       F.col("create_time") + F.expr("interval 60 hours"))),
-        lambda c: (number % 13 == 0) & (number % 9 < 7))
-    orders = info.withColumn("change", F.explode(F.concat(created, updates, cancels))).select(
-        F.col("id").alias("order_id"), F.lit("order_info").alias("tbl"), F.col("change.op"), F.col("change.ts"),
-        F.col("change.s0").alias("before_status"),
-        F.struct("id", "order_no", F.col("change.s1").alias("status"), *info.columns[2:],
-                 F.col("change.ts").alias("update_time")).alias("order"))
+    last = F.least(number % 9, F.lit(7)).cast("int")
+    cancel = len(STATUS_CODES)
+    steps = F.concat(
+        F.sequence(F.lit(0), last),
+        F.when((number % 13 == 0) & (number % 9 < 7), F.array(F.lit(cancel))).otherwise(F.array().cast("array<int>")))
+    info = order_info(spark, sf_dir)
+    columns = info.columns
+    codes = F.array(*[F.lit(c) for c in STATUS_CODES])
+    step = F.col("step")
+    orders = info.select("*", F.explode(steps).alias("step")).withColumns({
+        "before_status": F.when(step == cancel, F.get(codes, (number % 9).cast("int"))).otherwise(F.get(codes, step - 1)),
+        "status": F.when(step == cancel, CANCEL_CODE).otherwise(F.get(codes, step)),
+        "ts": _later(F.col("create_time"), F.when(step == cancel, 216000).otherwise(step * 21600)),
+    }).select(
+        F.col("id").alias("order_id"), F.lit("order_info").alias("tbl"),
+        F.when(step == 0, "c").otherwise("u").alias("op"), "ts", "before_status",
+        F.struct("id", "order_no", "status", *columns[2:], F.col("ts").alias("update_time")).alias("order"))
     cargo_df = order_cargo(spark, sf_dir)
     cargo = cargo_df.select(
         "order_id", F.lit("order_cargo").alias("tbl"), F.lit("c").alias("op"), F.col("create_time").alias("ts"),
@@ -234,45 +229,39 @@ def _line_id() -> Column:
 
 
 def _arrival() -> Column:
-    return _later(F.col("l_shipdate"), secs=F.col("l_orderkey") * 53 % 86400)
+    return _later(F.col("l_shipdate"), F.col("l_orderkey") * 53 % 86400)
 
 
 def bound_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warehouse passage per line: op, before, after. Times are wall-clock digits as on the wire.
 
     Every fifth line number is never sorted, the one before it never leaves; line 7 is sorted and
-    sent out by the same update.
+    sent out by one update.
     """
     line, hours = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    steps = (
+        F.when(line % 5 == 0, F.array(F.lit("in")))
+        .when(line % 5 == 4, F.array(F.lit("in"), F.lit("sort")))
+        .when(line == 7, F.array(F.lit("in"), F.lit("both")))
+        .otherwise(F.array(F.lit("in"), F.lit("sort"), F.lit("out"))))
+    arrival, step = _arrival(), F.col("step")
     lines = table(spark, sf_dir, "lineitem").select(
         _line_id().alias("id"), _text("l_orderkey").alias("order_id"), _text("l_suppkey").alias("org_id"),
-        _text(_wall_millis(_arrival())).alias("inbound"),
-        F.when(line % 5 != 0, _text(_wall_millis(_later(_arrival(), hours=hours)))).alias("sort"),
-        F.when(~(line % 5).isin(0, 4), _text(_wall_millis(_later(_arrival(), hours=2 * hours)))).alias("outbound"),
-        (line == 7).alias("at_once"), _text(F.col("l_suppkey") * 10 + line).alias("emp"))
+        _text(_wall_millis(arrival)).alias("inbound"), _text(_wall_millis(_later(arrival, 3600 * hours))).alias("sort"),
+        _text(_wall_millis(_later(arrival, 7200 * hours))).alias("outbound"),
+        _text(F.col("l_suppkey") * 10 + line).alias("emp"), F.explode(steps).alias("step"))
 
-    none = F.lit(None).cast("string")
-
-    def image(sort: Column, outbound: Column) -> Column:
+    def image(sorted_: Column, left: Column) -> Column:
         return F.struct(
             F.col("id"), F.col("order_id"), F.col("org_id"), F.col("inbound").alias("inbound_time"),
-            F.col("emp").alias("inbound_emp_id"), sort.alias("sort_time"),
-            F.when(sort.isNotNull(), F.col("emp")).alias("sorter_emp_id"), outbound.alias("outbound_time"),
-            F.when(outbound.isNotNull(), F.col("emp")).alias("outbound_emp_id"))
-
-    fresh, sorted_, done = image(none, none), image(F.col("sort"), none), image(F.col("sort"), F.col("outbound"))
+            F.col("emp").alias("inbound_emp_id"), F.when(sorted_, F.col("sort")).alias("sort_time"),
+            F.when(sorted_, F.col("emp")).alias("sorter_emp_id"), F.when(left, F.col("outbound")).alias("outbound_time"),
+            F.when(left, F.col("emp")).alias("outbound_emp_id"))
 
-    def change(op: str, before: Column, after: Column, happens: Column) -> Column:
-        return F.when(happens, F.struct(F.lit(op).alias("op"), before.alias("before"), after.alias("after")))
-
-    no_image = F.when(F.lit(False), fresh)
-    has_sort, has_out = F.col("sort").isNotNull(), F.col("outbound").isNotNull()
-    return lines.select(F.explode(F.array_compact(F.array(
-        change("c", no_image, fresh, F.lit(True)),
-        change("u", fresh, sorted_, has_sort & ~F.col("at_once")),
-        change("u", sorted_, done, has_out & ~F.col("at_once")),
-        change("u", fresh, done, has_out & F.col("at_once")),
-    ))).alias("change")).select("change.*")
+    return lines.select(
+        F.when(step == "in", "c").otherwise("u").alias("op"),
+        F.when(step != "in", image(step == "out", F.lit(False))).alias("before"),
+        image(step != "in", step.isin("out", "both")).alias("after"))
 
 
 def trip_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,18 +279,18 @@ def trip_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             line.cast("int").alias("order_num"), F.col("s_name").alias("driver1_name"),
             F.when(line % 2 == 0, F.col("p_name")).alias("driver2_name"), _text("l_partkey").alias("truck_id"),
             F.col("p_name").alias("truck_no"), _text(_wall_millis(_arrival())).alias("actual_start_time"),
-            F.when(ended, _text(_wall_millis(_later(_arrival(), mins=30 * F.col("l_quantity").cast("int"))))).alias("end"),
+            F.when(ended, _text(_wall_millis(_later(_arrival(), 1800 * F.col("l_quantity").cast("int"))))).alias("end"),
             F.col("l_extendedprice").cast("decimal(20,2)").alias("actual_distance"))
     )
 
     def image(end: Column) -> Column:
         return F.struct(*[F.col(c) for c in trips.columns if c != "end"], end.alias("actual_end_time"))
 
-    running = image(F.lit(None).cast("string"))
-    changes = F.array(
-        F.struct(F.lit("c").alias("op"), F.when(F.lit(False), running).alias("before"), running.alias("after")),
-        F.struct(F.lit("u").alias("op"), running.alias("before"), image(F.col("end")).alias("after")))
-    return trips.select(F.explode(changes).alias("change")).select("change.*")
+    steps = trips.select("*", F.explode(F.array(F.lit("c"), F.lit("u"))).alias("op"))
+    update = F.col("op") == "u"
+    running = F.lit(None).cast("string")
+    return steps.select(
+        "op", F.when(update, image(running)).alias("before"), image(F.when(update, F.col("end"))).alias("after"))
 
 
 # ---------------------------------------------------------------- raw log (JSON text)
@@ -322,6 +311,10 @@ def _order_wire(image: Column) -> Column:
     )
 
 
+def _cargo_wire(image: Column) -> Column:
+    return image.withField("create_time", _iso(image["create_time"]))
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw log of orders and cargo as JSON text in a `value` column.
 
@@ -329,23 +322,26 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     their image (every 17th) and snapshot reads (every 19th), which later steps must ignore.
     """
     changes = order_changes(spark, sf_dir)
-    number, ms = F.col("order_id").cast("long"), millis(F.col("ts"))
-    order = _order_wire(F.col("order"))
-    cargo = F.col("cargo").withField("create_time", _iso(F.col("cargo.create_time")))
-    no_order, no_cargo = F.when(F.lit(False), order), F.when(F.lit(False), cargo)
-    before = F.when(F.col("op") == "u", order.withField("status", F.col("before_status")))
+    number = F.col("order_id").cast("long")
     placed = (F.col("tbl") == "order_info") & (F.col("op") == "c")
 
-    def event(op: Column, old: Column, new: Column) -> Column:
-        return _envelope("order_info", op, old, new, ms)
-
-    events = F.array(
-        F.when(F.col("tbl") == "order_cargo", _envelope("order_cargo", F.col("op"), no_cargo, cargo, ms))
-        .otherwise(event(F.col("op"), before, order)),
-        F.when(placed & (number % 11 == 0), event(F.lit("d"), order, no_order)),
-        F.when(placed & (number % 17 == 0), event(F.lit("u"), order, no_order)),
-        F.when(placed & (number % 19 == 0), event(F.lit("r"), no_order, order)))
-    return changes.select(F.explode(F.array_compact(events)).alias("value"))
+    def kind(op: Column, before: Column, after: Column) -> Column:
+        return F.struct(op.alias("event_op"), before.alias("has_before"), after.alias("has_after"))
+
+    yes, no = F.lit(True), F.lit(False)
+    kinds = F.array(
+        kind(F.col("op"), (F.col("tbl") == "order_info") & (F.col("op") == "u"), yes),
+        F.when(placed & (number % 11 == 0), kind(F.lit("d"), yes, no)),
+        F.when(placed & (number % 17 == 0), kind(F.lit("u"), yes, no)),
+        F.when(placed & (number % 19 == 0), kind(F.lit("r"), no, yes)))
+    events = changes.select("*", F.inline(F.array_compact(kinds)))
+    order, cargo = _order_wire(F.col("order")), _cargo_wire(F.col("cargo"))
+    old = order.withField("status", F.coalesce("before_status", "order.status"))
+    return events.select(F.when(
+        F.col("tbl") == "order_cargo", _envelope("order_cargo", F.col("event_op"), F.when(no, cargo), cargo, millis(F.col("ts")))
+    ).otherwise(_envelope(
+        "order_info", F.col("event_op"), F.when(F.col("has_before"), old), F.when(F.col("has_after"), order), millis(F.col("ts")))
+    ).alias("value"))
 
 
 def dim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
