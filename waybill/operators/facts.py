@@ -87,19 +87,45 @@ def order_status_facts(joined: DataFrame) -> dict[str, DataFrame]:
     return {fact: waybill_detail(joined, fact) for fact in TIME_COLUMNS}
 
 
+# Warehouse step -> columns of its time and of the employee.
+BOUND_STEPS = {
+    "inbound": ("inbound_time", "inbound_emp_id"),
+    "sort": ("sort_time", "sorter_emp_id"),
+    "outbound": ("outbound_time", "outbound_emp_id"),
+}
+
+
+def _bound_happens(step: str) -> Column:
+    return F.col("op") == "c" if step == "inbound" else became_set(BOUND_STEPS[step][0])
+
+
 def bound_facts(changes: DataFrame) -> dict[str, DataFrame]:
     """Warehouse events split into inbound (create), sort and outbound (first time set by an update)."""
 
-    def fact(step: str, emp: str, happens: Column) -> DataFrame:
-        at = S.instant_of_wall_millis(F.col(f"after.{step}_time"))
-        return changes.where(happens).select(
-            "after.id", "after.order_id", "after.org_id", at.alias(f"{step}_time"), f"after.{emp}", at.alias("ts"))
+    def fact(step: str) -> DataFrame:
+        time, emp = BOUND_STEPS[step]
+        at = S.instant_of_wall_millis(F.col(f"after.{time}"))
+        return changes.where(_bound_happens(step)).select(
+            "after.id", "after.order_id", "after.org_id", at.alias(time), f"after.{emp}", at.alias("ts"))
+
+    return {step: fact(step) for step in BOUND_STEPS}
+
+
+def bound_steps(changes: DataFrame) -> DataFrame:
+    """All warehouse facts in one pass, one row per step an event stands for (an update can be two):
+    fact, id, order_id, org_id, emp_id, ts."""
+    steps = F.array_compact(F.array(*[F.when(_bound_happens(step), F.lit(step)) for step in BOUND_STEPS]))
+    rows = changes.select("after", F.explode(steps).alias("fact"))
+
+    def of_step(column: int) -> Column:
+        out = None
+        for step, names in BOUND_STEPS.items():
+            out = (F.when if out is None else out.when)(F.col("fact") == step, F.col(f"after.{names[column]}"))
+        return out
 
-    return {
-        "inbound": fact("inbound", "inbound_emp_id", F.col("op") == "c"),
-        "sort": fact("sort", "sorter_emp_id", became_set("sort_time")),
-        "outbound": fact("outbound", "outbound_emp_id", became_set("outbound_time")),
-    }
+    return rows.select(
+        "fact", "after.id", "after.order_id", "after.org_id", of_step(1).alias("emp_id"),
+        S.instant_of_wall_millis(of_step(0)).alias("ts"))
 
 
 def trip_finish(changes: DataFrame) -> DataFrame:

@@ -1,3 +1,111 @@
-"""Streaming queries run to completion over the given tables."""
+"""Streaming queries run to completion over the given tables.
 
-QUERIES = {}
+Logs that have to exist as files before a stream can read them are written to the shared folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from waybill.operators import facts, lookups, summaries
+from waybill.operators.order_join import join_orders_batch, narrow_images
+from waybill.session import ROCKSDB, shared_dir
+from waybill.sources import standins
+from waybill.streaming import dims, events, fanout
+from waybill.streaming.order_join import join_orders
+
+ONCE = {"availableNow": True}
+
+
+def as_stream(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
+    """A table written to the shared folder and read back as a stream."""
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(path)
+
+
+def finish(query: StreamingQuery) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def run_to_table(spark: SparkSession, name: str, start: Callable[[str, str], StreamingQuery]) -> DataFrame:
+    """Run a streaming job until its input is used up and read what it wrote."""
+    root = shared_dir(spark, name)
+    finish(start(f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/out")
+
+
+def stream_event_day(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    totals = events.running_summary(stream, ["event_type"], {
+        "event_count": F.count("*"), "amount": F.sum(F.col("value").cast("decimal(20,2)"))})
+    columns = ["cur_date", "event_type", "event_count", "amount", "ts"]
+    emitted = run_to_table(spark, "event-day", lambda out, ck: events.start_summary(totals, out, columns, ck, trigger=ONCE))
+    return events.newest(emitted, ["event_type"])
+
+
+def stream_org_order_day(spark, sf_dir):
+    organ, region = standins.base_organ(spark, sf_dir), standins.base_region_info(spark, sf_dir)
+    needed = ["sender_district_id", "sender_city_id", "amount"]
+    joined = join_orders_batch(narrow_images(standins.order_changes(spark, sf_dir), needed))
+    detail = as_stream(spark, facts.waybill_detail(joined, "detail", needed), "detail")
+    rows = lookups.lookup_first(
+        detail, organ, "sender_district_id", "region_id", {"id": "org_id", "org_name": "org_name"})
+    first_city = F.min_by("sender_city_id", F.struct("ts", "sender_city_id"))
+    totals = events.running_summary(rows, ["org_id", "org_name"], {
+        "city_id": first_city, "order_amount": F.sum("amount").cast(summaries.MONEY), "order_count": F.count("*")})
+
+    def name_city(batch: DataFrame) -> DataFrame:
+        return lookups.lookup(batch, region, "city_id", {"name": "city_name"})
+
+    columns = summaries.SUMMARY_COLUMNS["org_order_day"]
+    emitted = run_to_table(
+        spark, "org-order-day", lambda out, ck: events.start_summary(totals, out, columns, ck, name_city, ONCE))
+    return events.newest(emitted, ["org_id", "org_name"])
+
+
+def stream_order_join(spark, sf_dir):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        log = narrow_images(standins.order_changes(spark, sf_dir), ["order_id", "amount"])
+        joined = join_orders(as_stream(spark, log, "order-log"))
+        detail = facts.waybill_detail(joined, columns=["order_id", "amount"])
+        return run_to_table(
+            spark, "order-join", lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)).drop("batch_id")
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def stream_fan_out(spark, sf_dir):
+    stream = as_stream(spark, standins.bound_changes(spark, sf_dir), "bound-log")
+    steps = facts.bound_steps(stream)
+    return run_to_table(
+        spark, "fan-out", lambda out, ck: fanout.start_fan_out(steps, out, ck, trigger=ONCE)).drop("batch_id")
+
+
+def stream_dims(spark, sf_dir):
+    raw = as_stream(spark, standins.dim_log(spark, sf_dir), "dim-log")
+    root = shared_dir(spark, "dims")
+    finish(dims.start_dims(raw, lambda: standins.routing_rows(spark), f"{root}/out", f"{root}/checkpoint", ONCE))
+    return dims.current_dim(
+        spark, f"{root}/out", "dim_user_info", ["id", "real_name", "phone_num", "email", "birthday"])
+
+
+QUERIES = {
+    "stream_event_day": stream_event_day,
+    "stream_org_order_day": stream_org_order_day,
+    "stream_order_join": stream_order_join,
+    "stream_fan_out": stream_fan_out,
+    "stream_dims": stream_dims,
+}
