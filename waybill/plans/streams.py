@@ -19,6 +19,8 @@ from waybill.streaming import dims, events, fanout
 from waybill.streaming.order_join import join_orders
 
 ONCE = {"availableNow": True}
+# Rows of a replayed log per micro-batch.
+ROWS_PER_BATCH = 2_000_000
 
 
 def as_stream(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -34,6 +36,29 @@ def finish(query: StreamingQuery) -> None:
         raise query.exception()
 
 
+def replay_in_order(
+    spark: SparkSession, log: DataFrame, name: str, start: Callable[[DataFrame], StreamingQuery], by: str = "ts",
+    rows_per_batch: int = ROWS_PER_BATCH,
+) -> None:
+    """Feed a log to a stateful job in time order, one micro-batch per slice of about equal size.
+
+    The log is written once, cut at quantiles of `by`; the slices then arrive one after the other.
+    So no micro-batch, and no waybill within one, is larger than a slice.
+    """
+    stage, inbox = shared_dir(spark, f"{name}-stage"), shared_dir(spark, f"{name}-inbox")
+    log.write.parquet(f"{stage}/log")
+    log = spark.read.parquet(f"{stage}/log")
+    slices = max(2, -(-log.count() // rows_per_batch))
+    cuts = [i / slices for i in range(1, slices)]
+    edges = log.agg(F.percentile_approx(by, cuts, max(10_000, 10 * slices))).first()[0] or []
+    edges = [None, *sorted(set(edges)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = log if low is None else log.where(F.col(by) >= F.lit(low))
+        part = part if high is None else part.where(F.col(by) < F.lit(high))
+        part.write.mode("append").parquet(inbox)
+        finish(start(spark.readStream.schema(log.schema).parquet(inbox)))
+
+
 def run_to_table(spark: SparkSession, name: str, start: Callable[[str, str], StreamingQuery]) -> DataFrame:
     """Run a streaming job until its input is used up and read what it wrote."""
     root = shared_dir(spark, name)
@@ -42,7 +67,7 @@ def run_to_table(spark: SparkSession, name: str, start: Callable[[str, str], Str
 
 
 def stream_event_day(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = standins.schema_of(spark, sf_dir, "events")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     totals = events.running_summary(stream, ["event_type"], {
         "event_count": F.count("*"), "amount": F.sum(F.col("value").cast("decimal(20,2)"))})
@@ -76,10 +101,14 @@ def stream_order_join(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         log = narrow_images(standins.order_changes(spark, sf_dir), ["order_id", "amount"])
-        joined = join_orders(as_stream(spark, log, "order-log"))
-        detail = facts.waybill_detail(joined, columns=["order_id", "amount"])
-        return run_to_table(
-            spark, "order-join", lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)).drop("batch_id")
+        root = shared_dir(spark, "order-join")
+
+        def start(changes: DataFrame) -> StreamingQuery:
+            detail = facts.waybill_detail(join_orders(changes), columns=["order_id", "amount"])
+            return fanout.start_fan_out(detail, f"{root}/out", f"{root}/checkpoint", trigger=ONCE)
+
+        replay_in_order(spark, log, "order-log", start)
+        return spark.read.parquet(f"{root}/out").drop("batch_id")
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

@@ -20,9 +20,20 @@ STATUS_CODES = ["60010", "60020", "60030", "60040", "60050", "60060", "60070", "
 CANCEL_CODE = "60999"
 
 
+# Schemas seen so far, so that a table used several times in a plan is not opened each time.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def schema_of(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return _SCHEMAS[path]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table; zone-less times are UTC instants."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.schema(schema_of(spark, sf_dir, name)).parquet(f"{sf_dir}/{name}.parquet")
     ntz = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
