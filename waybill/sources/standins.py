@@ -20,20 +20,37 @@ STATUS_CODES = ["60010", "60020", "60030", "60040", "60050", "60060", "60070", "
 CANCEL_CODE = "60999"
 
 
-# Schemas seen so far, so that a table used several times in a plan is not opened each time.
-_SCHEMAS: dict[str, T.StructType] = {}
+# Schema and number of splits of the tables seen so far, so that a table used several times in a plan
+# is not opened each time.
+_SEEN: dict[str, tuple[T.StructType, int]] = {}
 
+# Tables that grow with the business; the others describe it.
+FACT_TABLES = ("orders", "lineitem")
 
-def schema_of(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
+
+def _look(spark: SparkSession, sf_dir: str, name: str) -> tuple[T.StructType, int]:
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return _SCHEMAS[path]
+    if path not in _SEEN:
+        df = spark.read.parquet(path)
+        _SEEN[path] = df.schema, df.rdd.getNumPartitions()
+    return _SEEN[path]
+
+
+def schema_of(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
+    return _look(spark, sf_dir, name)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table; zone-less times are UTC instants."""
-    df = spark.read.schema(schema_of(spark, sf_dir, name)).parquet(f"{sf_dir}/{name}.parquet")
+    """One given table; zone-less times are UTC instants.
+
+    A fact table of fewer splits than cores (a small test file) is spread over the cores first. One
+    of normal size has many splits and is read in place.
+    """
+    schema, splits = _look(spark, sf_dir, name)
+    df = spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in FACT_TABLES and splits < cores:
+        df = df.repartition(cores)
     ntz = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
