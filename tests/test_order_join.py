@@ -97,21 +97,33 @@ def test_random_logs(spark, seed):
     assert result(join_orders_batch(changes(spark, rows))) == sorted(simulate(rows))
 
 
-@pytest.mark.parametrize("max_rows", [10, 100])
-def test_hot_order_in_slices(spark, max_rows):
+@pytest.mark.parametrize("slices", [2, 25, None])
+def test_hot_order_in_slices(spark, slices):
     rows = random_log(7, hot=0.4)
     log = changes(spark, rows)
-    hot = skew.hot_keys(log, "order_id", max_rows)
-    assert "hot" in hot
-    assert result(join_orders_batch(log, hot=hot, max_rows=max_rows)) == sorted(simulate(rows))
+    hot = skew.hot_keys(log, "order_id", 50)
+    assert hot == ["hot"]
+    assert result(join_orders_batch(log, hot=hot, slices=slices)) == sorted(simulate(rows))
 
 
-def test_hot_key_slices_share_the_rows(spark):
-    log = changes(spark, random_log(7, events=2000, hot=0.5))
-    sliced, any_hot = skew.slice_hot_keys(log, "order_id", "ts", ["hot"], 100)
-    sizes = [r["count"] for r in sliced.where("order_id = 'hot'").groupBy(skew.SLICE).count().collect()]
-    assert any_hot and len(sizes) >= 9 and max(sizes) < 200
-    assert sliced.where(f"{skew.SLICE} is not null and order_id <> 'hot'").isEmpty()
+def test_every_order_in_slices(spark):
+    rows = random_log(5)
+    hot = sorted({r[0] for r in rows})
+    assert result(join_orders_batch(changes(spark, rows), hot=hot, slices=40)) == sorted(simulate(rows))
+
+
+def test_slices_share_the_rows(spark):
+    log = changes(spark, random_log(7, events=2000, hot=0.5)).where("order_id = 'hot'")
+    sizes = [r["count"] for r in skew.slice_rows(log, "order_id", ["ts"], 10).groupBy(skew.SLICE).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 300
+
+
+def test_rows_of_one_instant_are_sliced(spark):
+    rows = [cargo("hot", 0, f"c{i:02d}") for i in range(40)] + [order("hot", "c", 0)]
+    log = changes(spark, rows)
+    sizes = [r["count"] for r in skew.slice_rows(log, "order_id", ["ts", "cargo.id"], 4).groupBy(skew.SLICE).count().collect()]
+    assert max(sizes) < 20
+    assert result(join_orders_batch(log, hot=["hot"], slices=4)) == sorted(simulate(rows))
 
 
 @pytest.mark.parametrize("rows_per_batch", [10_000, 150])

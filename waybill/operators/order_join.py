@@ -45,26 +45,32 @@ def narrow_images(changes: DataFrame, columns: list[str]) -> DataFrame:
 
 def join_orders_batch(
     changes: DataFrame, ttl: str = WAIT, sequence: list[str] | None = None, clear_on: tuple[str, ...] = CLEARING_FACTS,
-    hot: list | None = None, max_rows: int = skew.MAX_ROWS,
+    hot: list | None = None, slices: int | None = None,
 ) -> DataFrame:
     """(fact, cargo, order) rows of a change log (see `sources.changes.order_changes`).
 
     `hot` names waybills with more rows than one task should sort (`skew.hot_keys`); they are worked
-    in slices of the first sequence column.
+    in `slices` consecutive runs each (default: as many as shuffle partitions).
     """
     # Flat columns, so that both windows see the same sort order and the second one sorts nothing.
     flat = {f"_s{i}": F.col(c) for i, c in enumerate(sequence or SEQUENCE)}
-    sequence = list(flat)
     rows = changes.where(F.col("order_id").isNotNull()).withColumns(flat)
-    rows, sliced = skew.slice_hot_keys(rows, "order_id", sequence[0], hot or [], max_rows)
+    if not hot:
+        return _joined(rows, ttl, list(flat), clear_on, sliced=False)
+    is_hot = F.col("order_id").isin(hot)
+    cold = _joined(rows.where(~is_hot), ttl, list(flat), clear_on, sliced=False)
+    runs = skew.slice_rows(rows.where(is_hot), "order_id", list(flat), slices)
+    return cold.unionByName(_joined(runs, ttl, list(flat), clear_on, sliced=True))
 
+
+def _joined(rows: DataFrame, ttl: str, sequence: list[str], clear_on: tuple[str, ...], sliced: bool) -> DataFrame:
     is_cargo = F.col("tbl") == "order_cargo"
     created = (F.col("tbl") == "order_info") & (F.col("op") == "c")
     updated = (F.col("tbl") == "order_info") & (F.col("op") == "u")
     rows = rows.withColumn("_status", F.when(updated, status_fact(F.col("before_status"), F.col("order.status"))))
 
     # A wrapped null says "cleared", which must not be skipped like "nothing happened".
-    nothing = F.lit(None).cast(changes.schema["cargo"].dataType)
+    nothing = F.lit(None).cast(rows.schema["cargo"].dataType)
     held = (F.when(is_cargo, F.struct(F.col("cargo").alias("cargo")))
             .when(F.col("_status").isin(*clear_on), F.struct(nothing.alias("cargo"))))
     rows = skew.last_before(rows, held, "_held", "order_id", sequence, sliced)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.session import shared_dir
+
 # A key with more rows than MAX_ROWS is cut into slices; of such keys the MAX_KEYS largest are, since
 # any other holds less than 1 / MAX_KEYS of the rows.
 MAX_ROWS = 2_000_000
 MAX_KEYS = 1_000
-MAX_SLICES = 512
 
 SLICE = "_slice"
 
@@ -27,31 +26,25 @@ def hot_keys(probe: DataFrame, key: str, max_rows: int = MAX_ROWS, share: float
     return [row[0] for row in top.select(key).collect()]
 
 
-def slice_hot_keys(
-    df: DataFrame, key: str, order: str, hot: list, max_rows: int = MAX_ROWS
-) -> tuple[DataFrame, bool]:
-    """Add a slice number to the rows of hot keys: equal shares of their rows by `order`.
+def slice_rows(hot_rows: DataFrame, key: str, order: list[str], slices: int | None = None) -> DataFrame:
+    """Rows of hot keys with a slice number: consecutive runs of about equal size in (key, order).
 
-    Rows of other keys get null. Returns the frame and whether any key was sliced.
+    Spark cuts the runs by sampling all the order columns, so even rows of one instant are spread.
+    The rows are written to the shared folder: that fixes their slices, and their source (parsing a
+    log, joining tables) need not run again for the passes that follow.
     """
-    if not hot:
-        return df, False
-    is_hot = F.col(key).isin(hot)
-    hot_rows = df.where(is_hot).select(order)
-    total = hot_rows.count()
-    slices = min(MAX_SLICES, max(2, ceil(total / max_rows)))
-    cuts = [i / slices for i in range(1, slices)]
-    edges = hot_rows.agg(F.percentile_approx(order, cuts, 10 * slices)).first()[0]
-    edges = sorted({e for e in edges or []})
-    number = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(order)))
-    return df.withColumn(SLICE, F.when(is_hot, number)), True
+    spark = hot_rows.sparkSession
+    slices = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = shared_dir(spark, "hot-rows")
+    hot_rows.repartitionByRange(slices, key, *order).withColumn(SLICE, F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def last_before(df: DataFrame, value: Column, out: str, key: str, order: list[str], sliced: bool) -> DataFrame:
     """Newest non-null `value` among the earlier rows of the key, in the given order.
 
-    Without slices this is one window. With slices the window runs inside a slice, and a small table
-    with one row per (hot key, slice) carries the value over from the earlier slices.
+    Without slices this is one window. With slices (`slice_rows`) the window runs inside a slice, and
+    a small table with one row per (hot key, slice) carries the value over from the earlier slices.
     """
     groups = [key, SLICE] if sliced else [key]
     earlier = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -63,8 +56,7 @@ def last_before(df: DataFrame, value: Column, out: str, key: str, order: list[st
     by_slice = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
     carried = (
-        valued.where(F.col(SLICE).isNotNull())
-        .groupBy(key, SLICE).agg(newest.alias("_newest"))
+        valued.groupBy(key, SLICE).agg(newest.alias("_newest"))
         .withColumn("_carried", F.last("_newest", ignorenulls=True).over(by_slice))
         .drop("_newest")
     )

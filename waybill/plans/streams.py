@@ -20,7 +20,7 @@ from waybill.streaming.order_join import join_orders
 
 ONCE = {"availableNow": True}
 # Rows of a replayed log per micro-batch.
-ROWS_PER_BATCH = 2_000_000
+ROWS_PER_BATCH = 1_000_000
 
 
 def as_stream(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:

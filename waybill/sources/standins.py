@@ -326,7 +326,7 @@ def trip_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _envelope(table_name: str, op: Column, before: Column, after: Column, ts_ms: Column) -> Column:
     return F.to_json(F.struct(
         op.alias("op"), before.alias("before"), after.alias("after"),
-        F.struct(F.lit(table_name).alias("table"), F.lit("tms").alias("db")).alias("source"), ts_ms.alias("ts_ms"),
+        F.struct(F.lit(table_name).alias("table")).alias("source"), ts_ms.alias("ts_ms"),
         F.struct(F.lit("t0").alias("id")).alias("transaction")))
 
 
