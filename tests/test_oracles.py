@@ -28,6 +28,20 @@ def _in_order(rows):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, duck, name):
+    check(spark, sf_dir, duck, name)
+
+
+@pytest.mark.parametrize("name", ["org_order_day", "org_truck_model_day", "bound_org_sort_day", "route_dims"])
+def test_query_where_nothing_fits_a_broadcast(spark, sf_dir, duck, name):
+    """Large dimensions: every join goes by shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark, sf_dir, duck, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def check(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     expected = duck.execute(ORACLES[name])

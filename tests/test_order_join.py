@@ -149,3 +149,19 @@ def test_finish_raises_the_stream_error(spark, tmp_path):
     query = stream.writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     with pytest.raises(Exception, match="boom"):
         finish(query)
+
+
+def test_hot_orders_of_the_tables(spark, sf_dir, monkeypatch):
+    """The catalog's probe finds nothing in small tables, and sliced work gives the same facts."""
+    from waybill.plans import catalog
+    from waybill.sources import standins
+
+    assert catalog.hot_orders(spark, sf_dir) == []
+    monkeypatch.setattr(skew, "MAX_ROWS", 9)
+    monkeypatch.setattr(catalog, "PROBE_SHARE", 1.0)
+    assert catalog.hot_orders(spark, sf_dir) == []  # one order row per key
+    log = standins.order_changes(spark, sf_dir)
+    plain = join_orders_batch(log).groupBy("fact").count()
+    some = [str(k) for k in range(0, 1500, 3)]
+    sliced = join_orders_batch(log, hot=some, slices=7).groupBy("fact").count()
+    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain.collect()))

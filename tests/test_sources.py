@@ -73,3 +73,10 @@ def test_write_summary(spark, tmp_path):
     tables.write_summary(df, str(tmp_path / "p"), ["a", "b"])
     assert spark.read.parquet(str(tmp_path / "p")).columns == ["a", "b"]
     assert tables.read_config(spark, str(tmp_path / "p")).count() == 1
+
+
+def test_changes_as_a_stream(spark, log, tmp_path):
+    stream = changes.live_changes(changes.parse_envelope(changes.read_changes(spark, log, "realtime-dim")))
+    writer = stream.select("op", "after", "ts").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("r", '{"id":"7"}', 5)]

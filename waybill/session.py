@@ -18,6 +18,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Settings fixed when a session starts. Call sites of column expressions only serve error messages.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,7 +36,7 @@ def build_session(app: str = "waybill", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for name, value in {**RUNTIME_CONF, **conf}.items():
+    for name, value in {**START_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 

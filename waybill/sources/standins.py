@@ -1,15 +1,14 @@
 """Freight tables derived from the star-schema parquet tables (see FIXTURES.md).
 
 Every function returns a lazy DataFrame whose size grows with the tables it reads. Nothing here
-numbers rows within an order, so no order, however large, has to pass through one task; the first
-line of an order is found with a row limit that Spark applies before the shuffle.
+numbers or collects rows within an order, so no order, however large, has to pass through one task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +39,18 @@ def schema_of(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
     return _look(spark, sf_dir, name)[0]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_ROWS: dict[str, int] = {}
+
+
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a given table, from the file footers."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _ROWS:
+        _ROWS[path] = spark.read.schema(schema_of(spark, sf_dir, name)).parquet(path).count()
+    return _ROWS[path]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """One given table; zone-less times are UTC instants.
 
     A fact table of fewer splits than cores (a small test file) is spread over the cores first. One
@@ -49,7 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema, splits = _look(spark, sf_dir, name)
     df = spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in FACT_TABLES and splits < cores:
+    if spread and name in FACT_TABLES and splits < cores:
         df = df.repartition(cores)
     ntz = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
@@ -160,7 +170,8 @@ def truck_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_keys(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
     """A sample of the order keys, for key statistics only."""
-    return table(spark, sf_dir, "orders").sample(share, seed=7).select(_text("o_orderkey").alias("order_id"))
+    orders = table(spark, sf_dir, "orders", spread=False)
+    return orders.sample(share, seed=7).select(_text("o_orderkey").alias("order_id"))
 
 
 def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,29 +203,26 @@ def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    return lines.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
-
-
 def order_cargo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First line of an order: 1 s before, 1 s after or 8 s after the order was placed."""
+    """The lines of an order as one piece of cargo: 1 s before, 1 s after or 8 s after the order was placed.
+
+    Lines are added up with whole-number and floating aggregates only, which Spark hashes before the
+    shuffle without sorting.
+    """
     key = F.col("l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     delay = F.when(key % 10 == 0, 8).when(key % 2 == 0, 1).otherwise(-1)
+    pieces = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.min("l_partkey").alias("part"), F.max("l_quantity").alias("longest"),
+        F.max("l_linenumber").alias("lines"), F.sum("l_quantity").alias("total"))
     return (
-        _first_lines(spark, sf_dir)
-        .join(orders, key == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        pieces.join(orders, key == F.col("o_orderkey"))
+        .join(parts, F.col("part") == F.col("p_partkey"))
         .select(
             _text(key * 100 + 1).alias("id"), _text(key).alias("order_id"), F.col("p_type").alias("cargo_type"),
-            F.col("l_quantity").cast("int").alias("volumn_length"), (key % 50 + 1).cast("int").alias("volumn_width"),
-            F.col("l_linenumber").cast("int").alias("volumn_height"),
-            F.col("l_quantity").cast("decimal(20,2)").alias("weight"),
+            F.col("longest").cast("int").alias("volumn_length"), (key % 50 + 1).cast("int").alias("volumn_width"),
+            F.col("lines").cast("int").alias("volumn_height"), F.col("total").cast("decimal(20,2)").alias("weight"),
             _later(F.col("o_orderdate"), key * 37 % 86400 + delay).alias("create_time"))
     )
 
