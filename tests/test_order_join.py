@@ -153,13 +153,13 @@ def test_finish_raises_the_stream_error(spark, tmp_path):
 
 def test_hot_orders_of_the_tables(spark, sf_dir, monkeypatch):
     """The catalog's probe finds nothing in small tables, and sliced work gives the same facts."""
-    from waybill.plans import catalog
+    from waybill.plans import hot
     from waybill.sources import standins
 
-    assert catalog.hot_orders(spark, sf_dir) == []
-    monkeypatch.setattr(skew, "MAX_ROWS", 9)
-    monkeypatch.setattr(catalog, "PROBE_SHARE", 1.0)
-    assert catalog.hot_orders(spark, sf_dir) == []  # one order row per key
+    assert hot.hot_orders(spark, sf_dir) == []
+    monkeypatch.setattr(skew, "MAX_ROWS", 10)
+    monkeypatch.setattr(hot, "PROBE_SHARE", 1.0)
+    assert hot.hot_orders(spark, sf_dir) == []  # one order row per key
     log = standins.order_changes(spark, sf_dir)
     plain = join_orders_batch(log).groupBy("fact").count()
     some = [str(k) for k in range(0, 1500, 3)]

@@ -37,17 +37,21 @@ def mask_dims(df: DataFrame, table: str) -> DataFrame:
 
 
 def mask_image(table: Column, image: Column) -> Column:
-    """Mask a column -> value map; the table of each row picks the rules."""
+    """Mask a column -> value map; the table of each row picks the rules, other tables pass as they are."""
 
-    def masked(name: Column, value: Column) -> Column:
-        out = None
-        for source, rules in MASK_RULES.items():
+    def masked(rules: dict[str, str]) -> Column:
+        def value_of(name: Column, value: Column) -> Column:
+            out = None
             for column, rule in rules.items():
-                hit = (table == source) & (name == column)
-                out = (F.when if out is None else out.when)(hit, _RULES[rule](value))
-        return out.otherwise(value)
+                out = (F.when if out is None else out.when)(name == column, _RULES[rule](value))
+            return out.otherwise(value)
 
-    return F.transform_values(image, masked)
+        return F.transform_values(image, value_of)
+
+    out = None
+    for source, rules in MASK_RULES.items():
+        out = (F.when if out is None else out.when)(table == source, masked(rules))
+    return out.otherwise(image)
 
 
 def mask_order_names(df: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from waybill.functions.scalars import csv_items, non_empty
 
 # Fixed value: column family used when a routing row names none.
 DEFAULT_FAMILY = "info"
+# Most routing rows that are sent to every task.
+MAX_ROUTES = 1_000
 
 
 def latest_by_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
@@ -36,10 +38,9 @@ def config_latest(changes: DataFrame, preloaded: DataFrame | None = None) -> Dat
     return latest_by_key(versions, ["source_table"], ["ts", "op"]).where("op <> 'd'").select("after.*")
 
 
-def keep_columns(image: Column, csv: Column) -> Column:
-    """The entries of a column -> value map that a comma separated list names."""
-    items = csv_items(csv)
-    return F.map_filter(image, lambda name, _: F.array_contains(items, name))
+def keep_columns(image: Column, names: Column) -> Column:
+    """The entries of a column -> value map whose names are listed (`csv_items` of a routing row)."""
+    return F.map_filter(image, lambda name, _: F.array_contains(names, name))
 
 
 def changed_keys(op: Column, before: Column, foreign_keys: Column) -> Column:
@@ -49,17 +50,23 @@ def changed_keys(op: Column, before: Column, foreign_keys: Column) -> Column:
     return F.when(op == "u", pairs)
 
 
+def _broadcast_if_small(config: DataFrame) -> DataFrame:
+    """Routing rows number as many as there are dimension tables. A join by shuffle on the few table
+    names would gather whole tables in one task, so the rows are broadcast once counted as few."""
+    return F.broadcast(config) if config.limit(MAX_ROUTES + 1).count() <= MAX_ROUTES else config
+
+
 def route_dims(events: DataFrame, config: DataFrame) -> DataFrame:
     """Events (table, op, before, after, ts) of the configured tables, ready to be stored.
 
     Result: sink_table, sink_pk, sink_family, row_key, columns (masked column -> text value map
     without helper entries), changed (see `changed_keys`), ts. Masking runs before the projection.
-    The routing table holds one row per dimension table; Spark broadcasts it when its measured size
-    allows and otherwise joins by shuffle.
     """
-    image = keep_columns(mask_image(F.col("table"), F.col("after")), F.col("sink_columns"))
+    # Lists are split once per routing row, not once per map entry.
+    routes = _broadcast_if_small(config).withColumn("_names", csv_items(F.col("sink_columns")))
+    image = keep_columns(mask_image(F.col("table"), F.col("after")), F.col("_names"))
     return (
-        events.join(config, F.col("table") == F.col("source_table"))
+        events.join(routes, F.col("table") == F.col("source_table"))
         .select(
             "sink_table", "sink_pk", F.coalesce(non_empty(F.col("sink_family")), F.lit(DEFAULT_FAMILY)).alias("sink_family"),
             F.element_at("after", F.col("sink_pk")).alias("row_key"), image.alias("columns"),

@@ -9,33 +9,22 @@ from pyspark.sql import functions as F
 
 from waybill.functions import masks
 from waybill.functions import scalars as S
-from waybill.operators import facts, lookups, reports, routing, skew, snapshots, summaries
+from waybill.operators import facts, lookups, reports, routing, snapshots, summaries
 from waybill.operators.order_join import join_orders_batch, narrow_images
 from waybill.plans import streams
+from waybill.plans.hot import hot_orders
 from waybill.plans.wire import as_wire
 from waybill.session import prepare
 from waybill.sources import changes, standins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Share of the rows looked at to find hot waybills, and the most changes one order row can give.
-PROBE_SHARE = 0.01
-CHANGES_PER_ORDER = 9
-
 # A day within the data for the one-day reports; `*_by_day` queries report every day.
 REPORT_DATE = "19970528"
 
 
 # ---------------------------------------------------------------- shared inputs
 
-def hot_orders(spark: SparkSession, sf_dir: str) -> list:
-    """Waybills too large for one task; no look at the keys where the whole table is no larger."""
-    limit = skew.MAX_ROWS // CHANGES_PER_ORDER
-    if standins.row_count(spark, sf_dir, "orders") <= limit:
-        return []
-    return skew.hot_keys(standins.order_keys(spark, sf_dir, PROBE_SHARE), "order_id", limit, PROBE_SHARE)
-
-
 def joined_orders(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     log = standins.order_changes(spark, sf_dir)
     if columns is not None:
@@ -114,7 +103,7 @@ def dim_latest(spark, sf_dir):
 
 def dim_columns(spark, sf_dir):
     events = changes.of_tables(changes.dim_changes(standins.dim_log(spark, sf_dir)), ["truck_info"])
-    image = routing.keep_columns(F.col("after"), F.lit("id,truck_no,truck_model_id"))
+    image = routing.keep_columns(F.col("after"), S.csv_items(F.lit("id,truck_no,truck_model_id")))
     return _cells(events.select(F.col("after")["id"].alias("id"), image.alias("image")), "image", "id")
 
 

@@ -1,0 +1,20 @@
+"""Waybills of the given tables that are too large for one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from waybill.operators import skew
+from waybill.sources import standins
+
+# Share of the rows looked at to find hot waybills, and the most changes one order row can give.
+PROBE_SHARE = 0.01
+CHANGES_PER_ORDER = 10
+
+
+def hot_orders(spark: SparkSession, sf_dir: str) -> list:
+    """Hot waybills; no look at the keys where the whole table is no larger than one may be."""
+    limit = skew.MAX_ROWS // CHANGES_PER_ORDER
+    if standins.row_count(spark, sf_dir, "orders") <= limit:
+        return []
+    return skew.hot_keys(standins.order_keys(spark, sf_dir, PROBE_SHARE), "order_id", limit, PROBE_SHARE)

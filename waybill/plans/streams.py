@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from waybill.operators import facts, lookups, summaries
+from waybill.operators import facts
 from waybill.operators.order_join import join_orders_batch, narrow_images
+from waybill.plans.hot import hot_orders
 from waybill.session import ROCKSDB, shared_dir
 from waybill.sources import standins
-from waybill.streaming import dims, events, fanout
+from waybill.streaming import dims, events, fanout, jobs
 from waybill.streaming.order_join import join_orders
 
 ONCE = {"availableNow": True}
@@ -76,24 +77,37 @@ def stream_event_day(spark, sf_dir):
     return events.newest(emitted, ["event_type"])
 
 
-def stream_org_order_day(spark, sf_dir):
-    organ, region = standins.base_organ(spark, sf_dir), standins.base_region_info(spark, sf_dir)
-    needed = ["sender_district_id", "sender_city_id", "amount"]
-    joined = join_orders_batch(narrow_images(standins.order_changes(spark, sf_dir), needed))
-    detail = as_stream(spark, facts.waybill_detail(joined, "detail", needed), "detail")
-    rows = lookups.lookup_first(
-        detail, organ, "sender_district_id", "region_id", {"id": "org_id", "org_name": "org_name"})
-    first_city = F.min_by("sender_city_id", F.struct("ts", "sender_city_id"))
-    totals = events.running_summary(rows, ["org_id", "org_name"], {
-        "city_id": first_city, "order_amount": F.sum("amount").cast(summaries.MONEY), "order_count": F.count("*")})
+# Order and cargo columns the summaries read from each fact.
+_NEEDED = {
+    "detail": ["cargo_type", "sender_district_id", "sender_city_id", "amount"],
+    "bound_finish": [], "dispatch": [],
+    "deliver": ["receiver_district_id", "receiver_city_id", "receiver_province_id"],
+    "receive": ["sender_district_id", "sender_city_id", "sender_province_id"],
+}
+
+
+def _fact_table(spark: SparkSession, sf_dir: str, fact: str) -> DataFrame:
+    if fact == "sort":
+        return facts.bound_facts(standins.bound_changes(spark, sf_dir))["sort"]
+    if fact == "trip_finish":
+        return facts.trip_finish(standins.trip_changes(spark, sf_dir))
+    changes = narrow_images(standins.order_changes(spark, sf_dir), _NEEDED[fact])
+    return facts.waybill_detail(join_orders_batch(changes, hot=hot_orders(spark, sf_dir)), fact, _NEEDED[fact])
+
+
+def _day_summary(name: str):
+    job = jobs.DAY_SUMMARIES[name]
 
-    def name_city(batch: DataFrame) -> DataFrame:
-        return lookups.lookup(batch, region, "city_id", {"name": "city_name"})
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stream = as_stream(spark, _fact_table(spark, sf_dir, job.fact), job.fact)
+        tables = {
+            dim: getattr(standins, dim)(spark, sf_dir)
+            for dim in ("base_organ", "base_region_info", "base_dic", "truck_info", "truck_model")}
+        emitted = run_to_table(
+            spark, name, lambda out, ck: jobs.start_day_summary(name, stream, tables, out, ck, ONCE))
+        return events.newest(emitted, job.keys)
 
-    columns = summaries.SUMMARY_COLUMNS["org_order_day"]
-    emitted = run_to_table(
-        spark, "org-order-day", lambda out, ck: events.start_summary(totals, out, columns, ck, name_city, ONCE))
-    return events.newest(emitted, ["org_id", "org_name"])
+    return query
 
 
 def stream_order_join(spark, sf_dir):
@@ -133,7 +147,7 @@ def stream_dims(spark, sf_dir):
 
 QUERIES = {
     "stream_event_day": stream_event_day,
-    "stream_org_order_day": stream_org_order_day,
+    **{f"stream_{name}": _day_summary(name) for name in jobs.DAY_SUMMARIES},
     "stream_order_join": stream_order_join,
     "stream_fan_out": stream_fan_out,
     "stream_dims": stream_dims,

@@ -416,13 +416,12 @@ def dim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routing_rows(spark: SparkSession) -> DataFrame:
     """Routing rows of the dimension branch (one per dimension table)."""
-    rows = [
-        ("user_info", "dim_user_info", None, "id,real_name,passwd,phone_num,email,birthday", "id", None),
-        ("base_organ", "dim_base_organ", None, "id,org_name,org_parent_id,region_id", "id", "region_id"),
-        ("truck_info", "dim_truck_info", "info", "id,truck_no,truck_model_id", "id", "truck_model_id"),
-    ]
-    names = "source_table string, sink_table string, sink_family string, sink_columns string, sink_pk string, foreign_keys string"
-    return spark.createDataFrame(rows, names)
+    return spark.sql("""
+        SELECT * FROM VALUES
+          ('user_info', 'dim_user_info', CAST(NULL AS string), 'id,real_name,passwd,phone_num,email,birthday', 'id', CAST(NULL AS string)),
+          ('base_organ', 'dim_base_organ', NULL, 'id,org_name,org_parent_id,region_id', 'id', 'region_id'),
+          ('truck_info', 'dim_truck_info', 'info', 'id,truck_no,truck_model_id', 'id', 'truck_model_id')
+        AS routes(source_table, sink_table, sink_family, sink_columns, sink_pk, foreign_keys)""")
 
 
 def routing_log(spark: SparkSession, sf_dir: str) -> DataFrame:

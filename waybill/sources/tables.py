@@ -17,6 +17,12 @@ def ensure_dim(spark: SparkSession, name: str, columns: str | list[str], locatio
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({body}) USING parquet PARTITIONED BY (batch_id){at}")
 
 
+def ensure_dims(spark: SparkSession, config: DataFrame) -> None:
+    """Create the tables of all routing rows (one per dimension) that do not exist yet."""
+    for row in config.select("sink_table", "sink_columns").toLocalIterator():
+        ensure_dim(spark, row.sink_table, row.sink_columns)
+
+
 def upsert_dim(batch: DataFrame, path: str, columns: list[str], batch_id: int, seq: str = "seq") -> None:
     """Write the new versions of dimension rows of one micro-batch.
 
