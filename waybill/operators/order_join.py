@@ -43,6 +43,17 @@ def narrow_images(changes: DataFrame, columns: list[str]) -> DataFrame:
     return changes
 
 
+def relevant(changes: DataFrame) -> DataFrame:
+    """Rows that can make a fact or change what is held, with the fact of an update's status change.
+
+    Reads of orders and updates nobody reports do neither, so they are dropped before the shuffle.
+    """
+    is_order, op = F.col("tbl") == "order_info", F.col("op")
+    status = F.when(is_order & (op == "u"), status_fact(F.col("before_status"), F.col("order.status")))
+    kept = (F.col("tbl") == "order_cargo") | (is_order & (op == "c")) | F.col("_status").isNotNull()
+    return changes.where("order_id is not null").withColumn("_status", status).where(kept)
+
+
 def join_orders_batch(
     changes: DataFrame, ttl: str = WAIT, sequence: list[str] | None = None, clear_on: tuple[str, ...] = CLEARING_FACTS,
     hot: list | None = None, slices: int | None = None,
@@ -54,7 +65,7 @@ def join_orders_batch(
     """
     # Flat columns, so that both windows see the same sort order and the second one sorts nothing.
     flat = {f"_s{i}": F.col(c) for i, c in enumerate(sequence or SEQUENCE)}
-    rows = changes.where(F.col("order_id").isNotNull()).withColumns(flat)
+    rows = relevant(changes).withColumns(flat)
     if not hot:
         return _joined(rows, ttl, list(flat), clear_on, sliced=False)
     is_hot = F.col("order_id").isin(hot)
@@ -66,8 +77,6 @@ def join_orders_batch(
 def _joined(rows: DataFrame, ttl: str, sequence: list[str], clear_on: tuple[str, ...], sliced: bool) -> DataFrame:
     is_cargo = F.col("tbl") == "order_cargo"
     created = (F.col("tbl") == "order_info") & (F.col("op") == "c")
-    updated = (F.col("tbl") == "order_info") & (F.col("op") == "u")
-    rows = rows.withColumn("_status", F.when(updated, status_fact(F.col("before_status"), F.col("order.status"))))
 
     # A wrapped null says "cleared", which must not be skipped like "nothing happened".
     nothing = F.lit(None).cast(rows.schema["cargo"].dataType)
@@ -81,7 +90,7 @@ def _joined(rows: DataFrame, ttl: str, sequence: list[str], clear_on: tuple[str,
     in_time = F.col("ts") - F.col("_waiting.since") < F.expr(f"interval {ttl}")
 
     fact = (F.when(created & has_cargo, F.lit("detail"))
-            .when(updated & has_cargo, F.col("_status"))
+            .when(F.col("_status").isNotNull() & has_cargo, F.col("_status"))
             .when(is_cargo & in_time, F.lit("detail")))
     return rows.select(
         fact.alias("fact"),

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from waybill import schemas
 from waybill.functions import masks
 from waybill.functions import scalars as S
 from waybill.operators import facts, lookups, reports, routing, snapshots, summaries
@@ -56,16 +58,16 @@ def _cells(df: DataFrame, image: str, *keys: str) -> DataFrame:
 # ---------------------------------------------------------------- change log
 
 def live_changes(spark, sf_dir):
-    events = changes.live_changes(changes.parse_envelope(standins.order_log(spark, sf_dir)))
-    return events.select(
-        F.col("source.table").alias("source_table"), "op", F.get_json_object("after", "$.id").alias("id"), "ts")
+    # Only the wanted field of the images is in the schema, so the parser skips the others.
+    image = T.StructType([T.StructField("id", T.StringType())])
+    events = changes.live_changes(changes.parse_envelope(standins.order_log(spark, sf_dir), image))
+    return events.select(F.col("source.table").alias("source_table"), "op", "after.id", "ts")
 
 
 def table_filter(spark, sf_dir):
     raw = changes.of_tables(standins.order_log(spark, sf_dir), ["order_cargo"])
-    return changes.normalize(changes.live_changes(changes.parse_envelope(raw)), ("source", "ts")).select(
-        "table", "op", F.get_json_object("after", "$.order_id").alias("order_id"),
-        F.get_json_object("after", "$.cargo_type").alias("cargo_type"))
+    events = changes.live_changes(changes.parse_envelope(raw, schemas.ORDER_CARGO))
+    return changes.normalize(events, ("source", "ts")).select("table", "op", "after.order_id", "after.cargo_type")
 
 
 def envelope_fields(spark, sf_dir):

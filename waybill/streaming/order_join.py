@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import Row
 
-from waybill.operators.facts import status_fact
-from waybill.operators.order_join import CLEARING_FACTS
+from waybill.operators.order_join import CLEARING_FACTS, relevant
 
 _STATE = "image string, since bigint"
 _OUT = "fact string, cargo string, `order` string"
@@ -50,7 +49,7 @@ class OrderJoin(StatefulProcessor):
                 yield Row(fact="detail", cargo=cargo[0], order=row.order)
             elif row.op == "c":
                 waiting = (row.order, row.ms)
-            elif row.op == "u" and cargo and row.step:
+            elif row.step and cargo:
                 yield Row(fact=row.step, cargo=cargo[0], order=row.order)
                 cargo = None if row.step in self.clear_on else cargo
         for state, old, new in ((self.cargo_state, kept[0], cargo), (self.order_state, kept[1], waiting)):
@@ -74,10 +73,10 @@ def join_orders(
     """(fact, cargo, order) rows of a stream of typed changes; needs the RocksDB state provider."""
     kinds = {c: changes.schema[c].dataType for c in ("cargo", "order")}
     text = {c: F.to_json(c, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}) for c in kinds}
-    rows = changes.where("order_id is not null").select(
+    rows = relevant(changes).select(
         "order_id", "tbl", "op", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
         F.col("order.status").alias("status"), F.col("cargo.id").alias("cargo_id"),
-        status_fact(F.col("before_status"), F.col("order.status")).alias("step"),
+        F.col("_status").alias("step"),
         *[t.alias(c) for c, t in text.items()])
     joined = rows.groupBy("order_id").transformWithState(
         OrderJoin(int(ttl_seconds * 1000), clear_on), outputStructType=_OUT, outputMode="append", timeMode="None")
