@@ -55,7 +55,7 @@ def temperature(logits: np.ndarray, labels: Iterable[int]) -> float:
         top = scaled.max(1)
         return float(np.mean(np.log(np.exp(scaled - top[:, None]).sum(1)) + top - scaled[np.arange(len(labels)), labels]))
 
-    low, high = np.log(0.02), np.log(20.0)
+    low, high = np.log(0.2), np.log(20.0)
     for _ in range(60):
         a, b = low + (high - low) / 3, high - (high - low) / 3
         low, high = (low, b) if loss(np.exp(a)) < loss(np.exp(b)) else (a, high)

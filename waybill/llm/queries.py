@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waybill.llm import near_duplicates, packing, token_counts
+from waybill.llm import language, near_duplicates, packing, quality, token_counts, toxicity
 from waybill.llm.common import table
 
 #: Fixed value: the vocabulary the contracts name.
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_all(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -27,10 +35,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(VOCABULARY))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_quality": op2_quality,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_packing": op7_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
