@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waybill.llm import language, near_duplicates, packing, quality, token_counts, toxicity
+from waybill.llm import (
+    inner_products, language, mixing, near_duplicates, packing, quality, token_counts, toxicity, url_filters)
 from waybill.llm.common import table
 
 #: Fixed value: the vocabulary the contracts name.
@@ -22,14 +23,26 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, url_filters.RULES))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path(VOCABULARY))
@@ -42,10 +55,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
+    "op3_mixing": op3_mixing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
+    "op8_inner_products": op8_inner_products,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn models, follow a library, or need set comparisons that SQL is too slow for on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.oracle(),
+    "op6_url_filters": url_filters.oracle(),
+    "op8_inner_products": inner_products.oracle(),
+}
