@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waybill.llm import (
-    inner_products, language, mixing, near_duplicates, packing, quality, token_counts, toxicity, url_filters)
+    inner_products, language, mixing, near_duplicates, packing, personal_data, quality, token_counts, toxicity, url_filters)
 from waybill.llm.common import table
 
 #: Fixed value: the vocabulary the contracts name.
@@ -31,6 +31,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, url_filters.RULES))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_personal_data": op5_personal_data,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
     "op8_inner_products": op8_inner_products,
