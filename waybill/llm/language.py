@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.llm.common import blocks, codes, texts_of
@@ -155,22 +155,22 @@ def train(docs: DataFrame, folds: int = 5, held_out: int = 0) -> LanguageModel:
     return model
 
 
-def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds lang_pred and score; columns of these names are replaced. Only the text is looked at, whole.
+def judge(spark: SparkSession, model: LanguageModel):
+    """A function from a text column to a struct of lang_pred and score. Only the text is looked at, whole.
 
-    lang_pred is `und` and score 0 where the text is null, has no letter, or the model knows no language. Rows stay one to one.
+    lang_pred is `und` and score 0 where the text is null, has no letter, or the model knows no language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES + 1 rows by the number of languages
+    shared = spark.sparkContext.broadcast(model)  # FEATURES + 1 rows by the number of languages
 
     @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series) -> pd.DataFrame:
         return shared.value.predict(texts_of(texts))
 
-    judged = docs.withColumn("_judged", judge("text"))
-    return judged.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    return run
 
 
 def predict_all(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document, from a model of the rows that aren't held out."""
-    held = docs.select("doc_id", "text", (fold(F.col("doc_id"), 5) == 0).alias("held_out"))
-    return with_language(held, train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    """doc_id, held_out, lang_pred and score of every row of `docs` (doc_id, text, lang; other columns are not read), from a model of
+    the rows that aren't held out. A null doc_id counts as an empty one, which is held out. Repeated rows are judged alike."""
+    judged = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), judge(docs.sparkSession, train(docs))("text").alias("judged"))
+    return judged.select("doc_id", "held_out", "judged.lang_pred", "judged.score")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.common import BUCKETS, WORD, ranked, staged
@@ -43,14 +43,18 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
         .withColumn("target", F.expr(f"least({limit!r}D * source_size, weight * level)")).drop("weight", "level"))
 
 
+def words_in(text: str) -> Column:
+    """The number of words of a whole text, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def plan(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for each row of `docs` (doc_id, source, text).
 
     The size is the number of words of the whole text, 0 for null. Rows that repeat a doc_id are rows of their own; those equal in source, size and doc_id
     are interchangeable. A source without words has target 0 and no copies; an empty table gives no rows. Reruns agree.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), "sizes")
+    sized = staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words_in("text").alias("size")), "sizes")
     per_size = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     # A source has one row per distinct size here.
     per_size = per_size.withColumn("shorter", F.expr(
@@ -72,16 +76,16 @@ def taken_words(docs: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows of the mix: each row of `docs` as often as it is emitted."""
+    """The rows of the mix, with all columns: each row of `docs` as often as it is emitted."""
     keys = ["doc_id", "source", "size"]
-    number = lambda order: F.expr(f"row_number() over (partition by {', '.join(keys)} order by {order})")
-    copies = plan(docs, seed).where("copies > 0").select(*keys, "copies")
-    copies = copies.withColumn("_n", number("copies desc")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", "copies")
-    sized = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
-    rows = sized.withColumn("_row", number("xxhash64(text)"))
-    same = F.expr("doc_id <=> _doc_id and source <=> _source and size <=> _size and _row = _n")
-    names = [f"`{c}`" for c in docs.columns]
-    return rows.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    numbered = lambda order: F.expr(f"row_number() over (partition by {', '.join(keys)} order by {order})")
+    copies = plan(docs, seed).where("copies > 0").select(*keys, "copies").withColumn("n", numbered("copies desc"))
+    rows = docs.select(F.struct("*").alias("row")).select(
+        "row", F.expr("cast(row.doc_id as long)").alias("doc_id"), F.expr("cast(row.source as string)").alias("source"), words_in("row.text").alias("size"))
+    rows = rows.withColumn("n", numbered("xxhash64(row.text)"))
+    same = F.expr(" and ".join(f"r.{k} <=> c.{k}" for k in [*keys, "n"]))
+    both = rows.alias("r").join(copies.alias("c"), same)
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int")))).select("r.row.*")
 
 
 def oracle(seed: int = 1) -> str:

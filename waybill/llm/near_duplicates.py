@@ -123,7 +123,7 @@ def may_be_similar(flips, samples_a, samples_b, size_a, size_b, percent: int) ->
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node, samples, sketch, buckets) per document; the last four are null for an empty set."""
+    """(doc_id, text_hash, n_shingles, node, samples, sketch, buckets) per document; from node on null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,11 +133,12 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 for s in shingle_sets(texts[a:b], width):
                     rows.append((len(s), digest(s), *odd_sketch(s), buckets(s)) if len(s) else (0, None, None, None, None))
                 out = pd.DataFrame(rows, columns=["n_shingles", "node", "samples", "sketch", "buckets"])
+                out.insert(0, "text_hash", batch["text_hash"].iloc[a:b].array)
                 out.insert(0, "doc_id", batch["doc_id"].iloc[a:b].array)
                 yield out
 
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    return source.mapInPandas(run, "doc_id long, n_shingles long, node binary, samples int, sketch binary, buckets array<long>")
+    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return source.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, node binary, samples int, sketch binary, buckets array<long>")
 
 
 def _sketch_close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -234,14 +235,14 @@ def _left_over(members: DataFrame, nodes: DataFrame, parts: DataFrame, percent:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of `docs` (doc_id, text; other columns are not read).
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64) for each row of `docs` (doc_id, text; other columns are not read).
 
     Documents with 100 * |A and B| >= percent * |A or B| are linked; component_id is the smallest doc_id that links reach. Null texts
     and texts without words have an empty set, are linked with nothing and are kept. A document without doc_id links
     others; its component_id is theirs, null if none has an id. Rows that repeat a doc_id are one row each.
     """
     prints = staged(fingerprints(docs, width), "prints")
-    nodes = staged(prints.where("node is not null").drop("doc_id").dropDuplicates(["node"]), "nodes")
+    nodes = staged(prints.where("node is not null").drop("doc_id", "text_hash").dropDuplicates(["node"]), "nodes")
     dealt = nodes.select("node", F.explode("buckets").alias("bucket"))
     hubs = dealt.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = staged(dealt.join(hubs, "bucket"), "members")
@@ -260,13 +261,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         parts = components(reduce(DataFrame.union, links))
 
     known = (
-        prints.select("doc_id", "n_shingles", "node").join(parts, "node", "left")
+        prints.select("doc_id", "text_hash", "n_shingles", "node").join(parts, "node", "left")
         .withColumn("component", F.coalesce("component", "node")))
     smallest = known.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return known.join(smallest, "component", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    ).withColumn("kept", F.expr("doc_id <=> component_id"))
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.expr("doc_id <=> case when node is null then doc_id else component_id end").alias("kept"), "text_hash")
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:

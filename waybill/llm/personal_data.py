@@ -170,10 +170,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """All rows and columns, with each span of the text replaced by its kind in brackets; spans that overlap become one of the first's kind."""
-    spans = located(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
-    rows = docs.join(spans, F.expr("cast(doc_id as long) <=> _id and xxhash64(text) = _hash"), "left")
+    spans = located(docs).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
+    rows = docs.select(F.struct("*").alias("row")).join(spans, F.expr("cast(row.doc_id as long) <=> doc_id and xxhash64(row.text) = text_hash"), "left")
     cut = (
         "aggregate(spans, named_struct('at', 0, 'out', ''), (s, x) -> case when x.start >= s.at then named_struct('at', x.end, 'out',"
-        " concat(s.out, substring(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']'))"
-        " else named_struct('at', greatest(s.at, x.end), 'out', s.out) end, s -> concat(s.out, substring(text, s.at + 1)))")
-    return rows.withColumn("text", F.expr(f"case when spans is null then text else {cut} end")).select(*[f"`{c}`" for c in docs.columns])
+        " concat(s.out, substring(row.text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']'))"
+        " else named_struct('at', greatest(s.at, x.end), 'out', s.out) end, s -> concat(s.out, substring(row.text, s.at + 1)))")
+    text = F.expr(f"case when spans is null then row.text else {cut} end").alias("text")
+    return rows.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.llm.common import blocks, codes, staged, texts_of
@@ -293,21 +293,22 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
     return model
 
 
-def with_toxicity(docs: DataFrame, model: ToxicityModel, limit: float = 0.7) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from `limit` on); columns of these names are replaced. Only the text is looked at, whole.
-
-    Null and empty texts get the score of a text without known words. Rows stay one to one.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # COUNTERS and WORDS bound it
+def judge(spark: SparkSession, model: ToxicityModel):
+    """A function from a text column to its score from 0 to 1. Only the text is looked at, whole; null and empty texts get the score of a text
+    without known words."""
+    shared = spark.sparkContext.broadcast(model)  # COUNTERS and WORDS bound it
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def run(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(texts_of(texts)), dtype=float)
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= limit).cast("int"))
+    return run
 
 
-def score_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, from a model of the labelled rows that aren't held out."""
-    held = docs.select("doc_id", "text", (fold(F.col("doc_id"), 3) == 1).alias("held_out"))
-    return with_toxicity(held, train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+def score_all(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of `docs` (doc_id, text) with labels (doc_id, toxic); other columns are not read.
+
+    The model comes from the labelled rows that aren't held out. A null doc_id counts as an empty one; repeated rows are judged alike.
+    """
+    judged = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), judge(docs.sparkSession, train(docs, labels))("text").alias("score"))
+    return judged.withColumn("predicted", (F.col("score") >= limit).cast("int"))
