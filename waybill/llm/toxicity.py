@@ -39,8 +39,10 @@ SMOOTH = 4.0
 
 #: The classifier is fitted on at most this many labelled rows and this many words or beginnings.
 LABELLED, WORDS = 20_000, 4096
+#: Least log likelihood ratio of a word between both labels; below it chance explains the difference.
+LEAST_RATIO = 4.0
 PREFIXES = (5, 7)
-ROUNDS = 6
+ROUNDS = 10
 
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
@@ -269,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
     term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     a, n = F.col("a"), F.col("n")
     ratio = term(a, n * p) + term(n - a, n * (1 - p))
-    chosen = [r["word"] for r in counted.orderBy(ratio.desc(), "word").limit(WORDS).select("word").collect()]
+    chosen = [r["word"] for r in counted.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(WORDS).select("word").collect()]
     place = {w: k for k, w in enumerate(chosen)}
     keep = spark.sparkContext.broadcast(place)
 
