@@ -95,3 +95,23 @@ def test_image_and_table_masking_agree(spark):
 def test_empty_real_name_stays_empty(spark):
     df = spark.createDataFrame([("",)], "real_name string")
     assert masks.mask_dims(df, "user_info").first()[0] == ""
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from waybill.functions import scalars as S
+
+    instant = F.timestamp_millis(F.lit(1_704_038_399_123))
+    columns = [
+        S.millis(S.instant_of_iso(F.lit(t))) for t in ("2024-01-01T08:00:00Z", "2024-01-01 08:00:00", "2024-01-01T16:00:00+08:00", "2024-01-01", "x")
+    ] + [S.millis(S.instant_of_local_text(F.lit("2024-01-01 08:00:00"))), S.millis(S.instant_of_local_text(F.lit("2024-01-01")))] + [
+        S.local_day(instant).cast("string"), S.text_day(instant), S.text_time(instant)]
+    got = []
+    for zone in ("UTC", "Asia/Shanghai", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got.append(tuple(spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(set(got)) == 1
+    noon = 1_704_096_000_000
+    assert got[0] == (noon, noon, noon, noon - 28_800_000, None, noon - 28_800_000, noon - 57_600_000, "2023-12-31", "2023-12-31", "2023-12-31 15:59:59")

@@ -26,8 +26,8 @@ def test_empty_payload_is_null(spark, log):
 def test_groups_and_start(spark, log):
     initial = changes.read_changes(spark, log, "realtime-dim", streaming=False)
     assert initial.count() == 1
-    latest = changes.read_changes(spark, log, "dwd", streaming=False, since_ms=20)
-    assert latest.count() == 2
+    assert changes.read_changes(spark, log, "dwd", streaming=False, since_ms=20).count() == 2
+    assert changes.read_changes(spark, log, "dwd", streaming=False).count() == 3
     assert changes.read_changes(spark, log, "dwd", "initial", streaming=False).count() == 3
     with pytest.raises(ValueError):
         changes.read_changes(spark, log, "nothing")
@@ -80,3 +80,23 @@ def test_changes_as_a_stream(spark, log, tmp_path):
     writer = stream.select("op", "after", "ts").writeStream.format("parquet").option("path", str(tmp_path / "out"))
     writer.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("r", '{"id":"7"}', 5)]
+
+
+def test_events_written_while_a_job_is_down_come_out_once(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "ck"))
+
+    def write(*ids):
+        lines = [(envelope(after={"id": i}, ts=1),) for i in ids]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(source)
+
+    def run():
+        raw = changes.read_changes(spark, source, "dwd")
+        raw.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+
+    write("1")
+    run()
+    write("2", "3")
+    run()
+    run()
+    events = changes.parse_envelope(spark.read.parquet(target))
+    assert sorted(json.loads(r.after)["id"] for r in events.collect()) == ["1", "2", "3"]

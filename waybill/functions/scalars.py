@@ -45,9 +45,23 @@ def date_of_epoch_days(days: Column) -> Column:
     return F.date_from_unix_date(days.cast("int"))
 
 
+def _zoned(text: Column, zone: str) -> Column:
+    """An instant of a text by its own zone, else by `zone`; the session's zone has no say."""
+    text = F.trim(text)
+    day_only, has_zone = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text.rlike(r"(?:[Zz]|[+-]\d{1,2}:?\d{2})$") & text.rlike(":")
+    return F.try_to_timestamp(
+        F.when(day_only, F.concat(text, F.lit(f" 00:00:00{zone}"))).when(has_zone, text).otherwise(F.concat(text, F.lit(zone))))
+
+
+def _utc_clock(instant: Column) -> Column:
+    """The UTC wall clock of an instant, as a value without a zone."""
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_micros(instant.cast("timestamp")).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+
+
 def instant_of_iso(text: Column) -> Column:
     """`2024-01-01T08:00:00Z`, or the same with a blank and no zone, as a UTC instant."""
-    return F.try_to_timestamp(F.translate(text, "TZ", " "))
+    return _zoned(text, "Z")
 
 
 def instant_of_wall_millis(millis: Column) -> Column:
@@ -57,7 +71,7 @@ def instant_of_wall_millis(millis: Column) -> Column:
 
 def instant_of_local_text(text: Column) -> Column:
     """Local (+08:00) date or date-time text as an instant."""
-    return F.try_to_timestamp(text) - local_shift()
+    return _zoned(text, "+08:00")
 
 
 def millis(instant: Column) -> Column:
@@ -66,15 +80,15 @@ def millis(instant: Column) -> Column:
 
 def local_day(instant: Column) -> Column:
     """Business day (UTC+8) of an instant."""
-    return F.to_date(instant + local_shift())
+    return F.date_from_unix_date(F.floor((F.unix_millis(instant.cast("timestamp")) + 28_800_000) / 86_400_000).cast("int"))
 
 
 def text_day(instant: Column) -> Column:
-    return F.date_format(instant, "yyyy-MM-dd")
+    return F.date_format(_utc_clock(instant), "yyyy-MM-dd")
 
 
 def text_time(instant: Column) -> Column:
-    return F.date_format(instant, "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(_utc_clock(instant), "yyyy-MM-dd HH:mm:ss")
 
 
 def compact_day(day: Column) -> Column:

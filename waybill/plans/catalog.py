@@ -90,8 +90,8 @@ def _masked(source: Callable, table: str) -> Query:
     return lambda spark, sf_dir: masks.mask_dims(source(spark, sf_dir), table)
 
 
-def _routed(spark, sf_dir):
-    return routing.route_dims(changes.dim_changes(standins.dim_log(spark, sf_dir)), standins.routing_rows(spark))
+def _routed(spark, sf_dir, tables=None):
+    return routing.route_dims(changes.dim_changes(standins.dim_log(spark, sf_dir), tables), standins.routing_rows(spark))
 
 
 def route_dims(spark, sf_dir):
@@ -99,12 +99,12 @@ def route_dims(spark, sf_dir):
 
 
 def dim_latest(spark, sf_dir):
-    rows = routing.dim_rows(_routed(spark, sf_dir), "dim_user_info", ["id", "real_name", "phone_num", "email", "birthday"])
+    rows = routing.dim_rows(_routed(spark, sf_dir, ["user_info"]), "dim_user_info", ["id", "real_name", "phone_num", "email", "birthday"])
     return routing.latest_by_key(rows, ["id"], ["seq"]).drop("seq")
 
 
 def dim_columns(spark, sf_dir):
-    events = changes.of_tables(changes.dim_changes(standins.dim_log(spark, sf_dir)), ["truck_info"])
+    events = changes.dim_changes(standins.dim_log(spark, sf_dir), ["truck_info"])
     image = routing.keep_columns(F.col("after"), S.csv_items(F.lit("id,truck_no,truck_model_id")))
     return _cells(events.select(F.col("after")["id"].alias("id"), image.alias("image")), "image", "id")
 
@@ -222,42 +222,55 @@ def latest_snapshot(spark, sf_dir):
         cumulative_snapshots(spark, sf_dir), ["cur_date", "cargo_type"], ["order_amount", "order_count"])
 
 
-def org_order_snapshots(spark, sf_dir):
-    """Snapshots of the organisation summary, input of the amount report."""
-    organ, region = org_dims(spark, sf_dir)
+def org_order_series(spark, sf_dir):
+    """Running totals per organisation, without names of places."""
+    organ, _ = org_dims(spark, sf_dir)
     detail = fact_rows(spark, sf_dir, "detail", ["sender_district_id", "sender_city_id", "amount"])
     rows = lookups.lookup_first(
         detail, organ, "sender_district_id", "region_id", {"id": "org_id", "org_name": "org_name"}
     ).withColumnRenamed("sender_city_id", "city_id")
-    series = snapshots.cumulative_snapshots(
+    return snapshots.cumulative_snapshots(
         rows, ["org_id", "org_name", "city_id"],
-        {"order_amount": F.sum("amount").cast(summaries.MONEY), "order_count": F.count("*")})
-    named = lookups.lookup(series, region, "city_id", {"name": "city_name"}).withColumnRenamed("version", "ts")
+        {"order_amount": F.sum("amount").cast(summaries.MONEY), "order_count": F.count("*")}).withColumnRenamed("version", "ts")
+
+
+def org_order_snapshots(spark, sf_dir):
+    """Snapshots of the organisation summary, input of the amount report."""
+    named = lookups.lookup(org_order_series(spark, sf_dir), org_dims(spark, sf_dir)[1], "city_id", {"name": "city_name"})
     return named.select(summaries.SUMMARY_COLUMNS["org_order_day"])
 
 
+def org_sort_series(spark, sf_dir):
+    """Running totals per organisation, without names."""
+    rows = sort_rows(spark, sf_dir)
+    return snapshots.cumulative_snapshots(rows, ["org_id"], {"sort_count": F.count("*")}).withColumnRenamed("version", "ts")
+
+
+def _org_places(spark, sf_dir):
+    organ, region = org_dims(spark, sf_dir)
+    return lambda df: lookups.city_province(lookups.org_city(df, organ), region)
+
+
 def org_sort_snapshots(spark, sf_dir):
     """Snapshots of the sorting summary, input of the province report."""
-    organ, region = org_dims(spark, sf_dir)
-    series = snapshots.cumulative_snapshots(sort_rows(spark, sf_dir), ["org_id"], {"sort_count": F.count("*")})
-    named = lookups.city_province(lookups.org_city(series, organ), region).withColumnRenamed("version", "ts")
+    named = _org_places(spark, sf_dir)(org_sort_series(spark, sf_dir))
     return named.select(summaries.SUMMARY_COLUMNS["bound_org_sort_day"])
 
 
 def order_amount(spark, sf_dir):
-    return reports.order_amount(org_order_snapshots(spark, sf_dir), REPORT_DATE)
+    return reports.order_amount(org_order_series(spark, sf_dir), REPORT_DATE)
 
 
 def order_amount_by_day(spark, sf_dir):
-    return reports.order_amount_by_day(org_order_snapshots(spark, sf_dir))
+    return reports.order_amount_by_day(org_order_series(spark, sf_dir))
 
 
 def sort_count_by_province(spark, sf_dir):
-    return reports.sort_count_by_province(org_sort_snapshots(spark, sf_dir), REPORT_DATE)
+    return reports.sort_count_by_province(org_sort_series(spark, sf_dir), REPORT_DATE, names=_org_places(spark, sf_dir))
 
 
 def sort_count_by_province_by_day(spark, sf_dir):
-    return reports.sort_count_by_province(org_sort_snapshots(spark, sf_dir), every_day=True)
+    return reports.sort_count_by_province(org_sort_series(spark, sf_dir), every_day=True, names=_org_places(spark, sf_dir))
 
 
 def map_payload(spark, sf_dir):

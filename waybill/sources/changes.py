@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +22,10 @@ def read_changes(
 ) -> DataFrame:
     """Raw events (`value`) of one table group.
 
-    `start` is `initial` (snapshot reads, then changes) or `latest`; each group has its default.
-    A message broker starts at its newest offset; a folder of files has no offsets, so there `latest`
-    keeps the events stamped at or after `since_ms` (default: now).
+    `start` is `initial` (snapshot reads, then changes) or `latest`; each group has its default. It says where a
+    broker is read from when there is no checkpoint yet; afterwards the checkpoint decides, so nothing that
+    arrives while a job is down is lost. A folder of files has no offsets: all its files are read once. `since_ms` is
+    a fixed starting point on top of that, given by the caller and the same at every restart.
     """
     if group not in schemas.TABLE_GROUPS:
         raise ValueError(f"unknown table group {group!r}: choose one of {sorted(schemas.TABLE_GROUPS)}")
@@ -35,9 +34,8 @@ def read_changes(
         options.setdefault("startingOffsets", "latest" if start == "latest" else "earliest")
     raw = read_topic(spark, topic, fmt, streaming=streaming, **options)
     raw = raw.where(table_of().isin(schemas.TABLE_GROUPS[group]))
-    if start == "latest" and fmt != "kafka":
-        since = int(time.time() * 1000) if since_ms is None else since_ms
-        raw = raw.where(F.get_json_object("value", "$.ts_ms").cast("long") >= since)
+    if since_ms is not None:
+        raw = raw.where(F.get_json_object("value", "$.ts_ms").cast("long") >= since_ms)
     return raw
 
 
@@ -100,8 +98,8 @@ def order_changes(raw: DataFrame) -> DataFrame:
     Columns: order_id, tbl, op, ts (event time), before_status, order and cargo (after images; the
     one that does not apply is null).
     """
-    wanted = of_tables(raw, ["order_info", "order_cargo"])
-    events = normalize(live_changes(parse_envelope(wanted, _ORDER_OR_CARGO)))
+    # One parse: the table test reads the parsed envelope.
+    events = of_tables(normalize(live_changes(parse_envelope(raw, _ORDER_OR_CARGO))), ["order_info", "order_cargo"])
     is_order = F.col("table") == "order_info"
     return events.select(
         F.when(is_order, F.col("after.id")).otherwise(F.col("after.order_id")).alias("order_id"),
@@ -119,8 +117,10 @@ def trip_changes(raw: DataFrame) -> DataFrame:
     return typed_changes(raw, "transport_task", schemas.TRANSPORT_TASK)
 
 
-def dim_changes(raw: DataFrame) -> DataFrame:
-    """Dimension events: table, op, before, after (column -> value maps), ts."""
+def dim_changes(raw: DataFrame, tables: list[str] | None = None) -> DataFrame:
+    """Dimension events: table, op, before, after (column -> value maps), ts. With `tables`, texts of other tables are
+    not parsed into maps."""
+    raw = of_tables(raw, tables) if tables else raw
     return normalize(live_changes(parse_envelope(raw, schemas.DIM_IMAGE)))
 
 
