@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from simulation import simulate
 
 from waybill.operators import skew
-from waybill.operators.order_join import join_orders_batch
-from waybill.plans.streams import finish, replay_in_order
+from waybill.operators.order_join import SEQUENCE, join_orders_batch
+from waybill.plans.streams import as_stream, finish
 from waybill.session import shared_dir
 from waybill.streaming.order_join import join_orders
 
@@ -101,15 +101,20 @@ def test_random_logs(spark, seed):
 def test_hot_order_in_slices(spark, slices):
     rows = random_log(7, hot=0.4)
     log = changes(spark, rows)
-    hot = skew.hot_keys(log, "order_id", 50)
-    assert hot == ["hot"]
-    assert result(join_orders_batch(log, hot=hot, slices=slices)) == sorted(simulate(rows))
+    assert [r.order_id for r in skew.hot_keys(log, "order_id", 50).collect()] == ["hot"]
+    assert result(join_orders_batch(log, max_rows=50, slices=slices)) == sorted(simulate(rows))
 
 
 def test_every_order_in_slices(spark):
     rows = random_log(5)
-    hot = sorted({r[0] for r in rows})
-    assert result(join_orders_batch(changes(spark, rows), hot=hot, slices=40)) == sorted(simulate(rows))
+    assert result(join_orders_batch(changes(spark, rows), max_rows=0, slices=40)) == sorted(simulate(rows))
+
+
+def test_more_than_a_thousand_hot_orders(spark):
+    rows = random_log(6, orders=1500, events=9000)
+    log = changes(spark, rows)
+    assert skew.hot_keys(log, "order_id", 1).count() > 1000
+    assert result(join_orders_batch(log, max_rows=1, slices=9)) == sorted(simulate(rows))
 
 
 def test_slices_share_the_rows(spark):
@@ -123,19 +128,18 @@ def test_rows_of_one_instant_are_sliced(spark):
     log = changes(spark, rows)
     sizes = [r["count"] for r in skew.slice_rows(log, "order_id", ["ts", "cargo.id"], 4).groupBy(skew.SLICE).count().collect()]
     assert max(sizes) < 20
-    assert result(join_orders_batch(log, hot=["hot"], slices=4)) == sorted(simulate(rows))
+    assert result(join_orders_batch(log, max_rows=9, slices=4)) == sorted(simulate(rows))
 
 
-@pytest.mark.parametrize("rows_per_batch", [10_000, 150])
-def test_stream_equals_batch(spark, rows_per_batch):
+@pytest.mark.parametrize("slices", [1, 6])
+def test_stream_equals_batch(spark, slices):
     rows = random_log(11, events=500)
-    log, root = changes(spark, rows), shared_dir(spark, "test-join")
-
-    def start(stream):
-        writer = join_orders(stream).writeStream.format("parquet").option("path", f"{root}/out")
-        return writer.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
-
-    replay_in_order(spark, log, "test-log", start, rows_per_batch=rows_per_batch)
+    root = shared_dir(spark, "test-join")
+    stream = as_stream(spark, changes(spark, rows), "test-log", SEQUENCE, slices)
+    query = join_orders(stream).writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+    finish(query)
+    assert len([p for p in query.recentProgress if p.numInputRows]) == slices
     assert result(spark.read.parquet(f"{root}/out")) == sorted(simulate(rows))
 
 
@@ -149,19 +153,3 @@ def test_finish_raises_the_stream_error(spark, tmp_path):
     query = stream.writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     with pytest.raises(Exception, match="boom"):
         finish(query)
-
-
-def test_hot_orders_of_the_tables(spark, sf_dir, monkeypatch):
-    """The catalog's probe finds nothing in small tables, and sliced work gives the same facts."""
-    from waybill.plans import hot
-    from waybill.sources import standins
-
-    assert hot.hot_orders(spark, sf_dir) == []
-    monkeypatch.setattr(skew, "MAX_ROWS", 10)
-    monkeypatch.setattr(hot, "PROBE_SHARE", 1.0)
-    assert hot.hot_orders(spark, sf_dir) == []  # one order row per key
-    log = standins.order_changes(spark, sf_dir)
-    plain = join_orders_batch(log).groupBy("fact").count()
-    some = [str(k) for k in range(0, 1500, 3)]
-    sliced = join_orders_batch(log, hot=some, slices=7).groupBy("fact").count()
-    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain.collect()))

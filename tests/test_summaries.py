@@ -135,3 +135,27 @@ def test_fan_out_is_repeatable(spark, tmp_path):
         fanout.fan_out(df, str(tmp_path), 0)
     assert {r.id for r in fanout.read_sink(spark, str(tmp_path), "sort").collect()} == {"1", "2"}
     assert fanout.read_sink(spark, str(tmp_path), "inbound").count() == 1
+
+
+def test_names_are_looked_up_anew_in_every_micro_batch(spark, tmp_path):
+    """A dimension row that comes while the stream runs gives its name to the rows that follow."""
+    from waybill.plans.streams import as_stream, finish
+    from waybill.streaming import jobs
+
+    rows = [(f"2024-01-0{1 + i // 2} 00:00:0{i}", "a", 1.0) for i in range(6)]
+    detail = spark.createDataFrame(rows, "t string, cargo_type string, amount double").selectExpr(
+        "timestamp(t) as ts", "cargo_type", "cast(amount as decimal(20,2)) as amount")
+    calls = []
+
+    def dims():
+        calls.append(1)
+        names = [("a", f"name {len(calls)}")] if len(calls) > 2 else []
+        return {"base_dic": spark.createDataFrame(names, "id string, name string")}
+
+    target, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
+    stream = as_stream(spark, detail, "detail", slices=6)
+    finish(jobs.start_day_summary("cargo_type_order_day", stream, dims, target, checkpoint, {"availableNow": True}))
+    got = spark.read.parquet(target)
+    assert got.where("cargo_type_name is null").count() > 0
+    last = got.where("cur_date = '2024-01-03'").orderBy(F.desc("ts"), F.desc("order_count")).first()
+    assert last.order_count == 2 and last.cargo_type_name in {f"name {n}" for n in range(3, len(calls) + 1)}

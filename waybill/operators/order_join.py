@@ -56,21 +56,21 @@ def relevant(changes: DataFrame) -> DataFrame:
 
 def join_orders_batch(
     changes: DataFrame, ttl: str = WAIT, sequence: list[str] | None = None, clear_on: tuple[str, ...] = CLEARING_FACTS,
-    hot: list | None = None, slices: int | None = None,
+    max_rows: int = skew.MAX_ROWS, slices: int | None = None,
 ) -> DataFrame:
     """(fact, cargo, order) rows of a change log (see `sources.changes.order_changes`).
 
-    `hot` names waybills with more rows than one task should sort (`skew.hot_keys`); they are worked
-    in `slices` consecutive runs each (default: as many as shuffle partitions).
+    Waybills with more than `max_rows` rows, more than one task should sort, are found in the log itself and worked in
+    `slices` consecutive runs (default: as many as shuffle partitions).
     """
     # Flat columns, so that both windows see the same sort order and the second one sorts nothing.
     flat = {f"_s{i}": F.col(c) for i, c in enumerate(sequence or SEQUENCE)}
     rows = relevant(changes).withColumns(flat)
-    if not hot:
+    hot = skew.hot_keys(changes, "order_id", max_rows)
+    if hot.isEmpty():
         return _joined(rows, ttl, list(flat), clear_on, sliced=False)
-    is_hot = F.col("order_id").isin(hot)
-    cold = _joined(rows.where(~is_hot), ttl, list(flat), clear_on, sliced=False)
-    runs = skew.slice_rows(rows.where(is_hot), "order_id", list(flat), slices)
+    cold = _joined(rows.join(hot, "order_id", "left_anti"), ttl, list(flat), clear_on, sliced=False)
+    runs = skew.slice_rows(rows.join(hot, "order_id", "left_semi"), "order_id", list(flat), slices)
     return cold.unionByName(_joined(runs, ttl, list(flat), clear_on, sliced=True))
 
 

@@ -7,23 +7,21 @@ from pyspark.sql import functions as F
 
 from waybill.session import shared_dir
 
-# A key with more rows than MAX_ROWS is cut into slices; of such keys the MAX_KEYS largest are, since
-# any other holds less than 1 / MAX_KEYS of the rows.
+# A key with more rows than this is cut into slices, however many such keys there are.
 MAX_ROWS = 2_000_000
-MAX_KEYS = 1_000
 
 SLICE = "_slice"
 
 
-def hot_keys(probe: DataFrame, key: str, max_rows: int = MAX_ROWS, share: float = 1.0) -> list:
-    """Keys with more than about `max_rows` rows, counted on a sample holding `share` of the rows.
+def hot_keys(rows: DataFrame, key: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The keys with more than `max_rows` rows, as a table of one column, counted on the rows themselves.
 
-    Which keys are listed changes the split of the work, never a result.
+    Which keys are listed changes the split of the work, never a result. The table is written to the shared folder, so that it isn't counted again.
     """
-    counts = probe.where(F.col(key).isNotNull()).groupBy(key).count()
-    large = counts.where(F.col("count") > max(1, int(max_rows * share)))
-    top = large.orderBy(F.desc("count")).limit(MAX_KEYS)
-    return [row[0] for row in top.select(key).collect()]
+    path = shared_dir(rows.sparkSession, "hot-keys")
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max_rows).select(key)
+    counts.write.parquet(path)
+    return rows.sparkSession.read.schema(counts.schema).parquet(path)
 
 
 def slice_rows(hot_rows: DataFrame, key: str, order: list[str], slices: int | None = None) -> DataFrame:

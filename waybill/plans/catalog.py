@@ -14,7 +14,6 @@ from waybill.functions import scalars as S
 from waybill.operators import facts, lookups, reports, routing, snapshots, summaries
 from waybill.operators.order_join import join_orders_batch, narrow_images
 from waybill.plans import streams
-from waybill.plans.hot import hot_orders
 from waybill.plans.wire import as_wire
 from waybill.session import prepare
 from waybill.sources import changes, standins
@@ -31,7 +30,7 @@ def joined_orders(spark: SparkSession, sf_dir: str, columns: list[str] | None =
     log = standins.order_changes(spark, sf_dir)
     if columns is not None:
         log = narrow_images(log, columns)
-    return join_orders_batch(log, hot=hot_orders(spark, sf_dir))
+    return join_orders_batch(log)
 
 
 def fact_rows(spark: SparkSession, sf_dir: str, fact: str, columns: list[str] | None = None) -> DataFrame:
@@ -80,10 +79,16 @@ def envelope_fields(spark, sf_dir):
 def log_order_facts(spark, sf_dir):
     """From raw JSON text to facts in one job."""
     log = changes.order_changes(standins.order_log(spark, sf_dir))
-    joined = join_orders_batch(narrow_images(log, ["order_id", "amount"]), hot=hot_orders(spark, sf_dir))
+    joined = join_orders_batch(narrow_images(log, ["order_id", "amount"]))
     return facts.waybill_detail(joined, columns=["order_id", "amount"])
 
 
+def order_facts_in_slices(spark, sf_dir):
+    """The facts with almost every waybill worked in slices, as one that holds a third of the log would be."""
+    log = narrow_images(standins.order_changes(spark, sf_dir), ["order_id", "amount"])
+    return facts.waybill_detail(join_orders_batch(log, max_rows=2), columns=["order_id", "amount"])
+
+
 # ---------------------------------------------------------------- dimensions
 
 def _masked(source: Callable, table: str) -> Query:
@@ -306,6 +311,7 @@ _QUERIES: dict[str, Query] = {
     "table_filter": table_filter,
     "envelope_fields": envelope_fields,
     "log_order_facts": log_order_facts,
+    "order_facts_in_slices": order_facts_in_slices,
     "mask_customers": _masked(standins.user_info, "user_info"),
     "mask_addresses": _masked(standins.user_address, "user_address"),
     "mask_employees": _masked(standins.employee_info, "employee_info"),

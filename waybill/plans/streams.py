@@ -12,23 +12,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waybill.operators import facts
-from waybill.operators.order_join import join_orders_batch, narrow_images
-from waybill.plans.hot import hot_orders
+from waybill.functions.scalars import local_day
+from waybill.operators.order_join import SEQUENCE, join_orders_batch, narrow_images
 from waybill.session import ROCKSDB, shared_dir
 from waybill.sources import standins
 from waybill.streaming import dims, events, fanout, jobs
 from waybill.streaming.order_join import join_orders
 
 ONCE = {"availableNow": True}
-# Rows of a replayed log per micro-batch.
-ROWS_PER_BATCH = 1_000_000
+# A table comes in at least so many micro-batches.
+LEAST_BATCHES = 4
 
 
-def as_stream(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
-    """A table written to the shared folder and read back as a stream."""
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(path)
+def as_stream(
+    spark: SparkSession, df: DataFrame, name: str, by: list[str] = ["ts"], slices: int | None = None, late: DataFrame | None = None
+) -> DataFrame:
+    """A table as a stream in the order of `by`, one slice of about equal size per micro-batch.
+
+    The table is written once, cut by range partitioning into consecutive runs of one file each. The files then reach the
+    stream's folder one after the other, each read once, and every file is a micro-batch. There are as many slices as shuffle partitions.
+    `late` rows come after all others.
+    """
+    stage, inbox = shared_dir(spark, f"{name}-stage"), shared_dir(spark, f"{name}-inbox")
+    slices = slices or max(LEAST_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = df.repartitionByRange(slices, *by).sortWithinPartitions(*by).withColumn("_slice", F.spark_partition_id())
+    cut.write.partitionBy("_slice").parquet(stage)
+    staged = spark.read.schema(cut.schema).parquet(stage)
+    for part in range(slices):
+        staged.where(F.col("_slice") == part).drop("_slice").coalesce(1).write.mode("append").parquet(inbox)
+    if late is not None:
+        # Late is what the watermark before the last batch says, so one batch without rows comes first.
+        for rows in (df.limit(0), late):
+            rows.coalesce(1).write.mode("append").parquet(inbox)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
 
 
 def finish(query: StreamingQuery) -> None:
@@ -37,29 +53,6 @@ def finish(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def replay_in_order(
-    spark: SparkSession, log: DataFrame, name: str, start: Callable[[DataFrame], StreamingQuery], by: str = "ts",
-    rows_per_batch: int = ROWS_PER_BATCH,
-) -> None:
-    """Feed a log to a stateful job in time order, one micro-batch per slice of about equal size.
-
-    The log is written once, cut at quantiles of `by`; the slices then arrive one after the other.
-    So no micro-batch, and no waybill within one, is larger than a slice.
-    """
-    stage, inbox = shared_dir(spark, f"{name}-stage"), shared_dir(spark, f"{name}-inbox")
-    log.write.parquet(f"{stage}/log")
-    log = spark.read.parquet(f"{stage}/log")
-    slices = max(2, -(-log.count() // rows_per_batch))
-    cuts = [i / slices for i in range(1, slices)]
-    edges = log.agg(F.percentile_approx(by, cuts, max(10_000, 10 * slices))).first()[0] or []
-    edges = [None, *sorted(set(edges)), None]
-    for low, high in zip(edges, edges[1:]):
-        part = log if low is None else log.where(F.col(by) >= F.lit(low))
-        part = part if high is None else part.where(F.col(by) < F.lit(high))
-        part.write.mode("append").parquet(inbox)
-        finish(start(spark.readStream.schema(log.schema).parquet(inbox)))
-
-
 def run_to_table(spark: SparkSession, name: str, start: Callable[[str, str], StreamingQuery]) -> DataFrame:
     """Run a streaming job until its input is used up and read what it wrote."""
     root = shared_dir(spark, name)
@@ -67,9 +60,7 @@ def run_to_table(spark: SparkSession, name: str, start: Callable[[str, str], Str
     return spark.read.parquet(f"{root}/out")
 
 
-def stream_event_day(spark, sf_dir):
-    schema = standins.schema_of(spark, sf_dir, "events")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def _event_day(spark: SparkSession, stream: DataFrame) -> DataFrame:
     totals = events.running_summary(stream, ["event_type"], {
         "event_count": F.count("*"), "amount": F.sum(F.col("value").cast("decimal(20,2)"))})
     columns = ["cur_date", "event_type", "event_count", "amount", "ts"]
@@ -77,6 +68,19 @@ def stream_event_day(spark, sf_dir):
     return events.newest(emitted, ["event_type"])
 
 
+def stream_event_day(spark, sf_dir):
+    rows = standins.table(spark, sf_dir, "events")
+    return _event_day(spark, as_stream(spark, rows, "events"))
+
+
+def stream_late_rows(spark, sf_dir):
+    """All events of closed days come a second time, after the others, and change nothing."""
+    rows = standins.table(spark, sf_dir, "events")
+    last = rows.agg(local_day(F.max("ts")).alias("last"))
+    late = rows.join(F.broadcast(last), local_day(F.col("ts")) < F.col("last")).drop("last")  # one row
+    return _event_day(spark, as_stream(spark, rows, "events", late=late))
+
+
 # Order and cargo columns the summaries read from each fact.
 _NEEDED = {
     "detail": ["cargo_type", "sender_district_id", "sender_city_id", "amount"],
@@ -92,7 +96,7 @@ def _fact_table(spark: SparkSession, sf_dir: str, fact: str) -> DataFrame:
     if fact == "trip_finish":
         return facts.trip_finish(standins.trip_changes(spark, sf_dir))
     changes = narrow_images(standins.order_changes(spark, sf_dir), _NEEDED[fact])
-    return facts.waybill_detail(join_orders_batch(changes, hot=hot_orders(spark, sf_dir)), fact, _NEEDED[fact])
+    return facts.waybill_detail(join_orders_batch(changes), fact, _NEEDED[fact])
 
 
 def _day_summary(name: str):
@@ -100,7 +104,7 @@ def _day_summary(name: str):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = as_stream(spark, _fact_table(spark, sf_dir, job.fact), job.fact)
-        tables = {
+        tables = lambda: {
             dim: getattr(standins, dim)(spark, sf_dir)
             for dim in ("base_organ", "base_region_info", "base_dic", "truck_info", "truck_model")}
         emitted = run_to_table(
@@ -115,14 +119,9 @@ def stream_order_join(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         log = narrow_images(standins.order_changes(spark, sf_dir), ["order_id", "amount"])
-        root = shared_dir(spark, "order-join")
-
-        def start(changes: DataFrame) -> StreamingQuery:
-            detail = facts.waybill_detail(join_orders(changes), columns=["order_id", "amount"])
-            return fanout.start_fan_out(detail, f"{root}/out", f"{root}/checkpoint", trigger=ONCE)
-
-        replay_in_order(spark, log, "order-log", start)
-        return spark.read.parquet(f"{root}/out").drop("batch_id")
+        detail = facts.waybill_detail(join_orders(as_stream(spark, log, "order-log", SEQUENCE)), columns=["order_id", "amount"])
+        return run_to_table(
+            spark, "order-join", lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)).drop("batch_id")
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
@@ -131,14 +130,14 @@ def stream_order_join(spark, sf_dir):
 
 
 def stream_fan_out(spark, sf_dir):
-    stream = as_stream(spark, standins.bound_changes(spark, sf_dir), "bound-log")
+    stream = as_stream(spark, standins.bound_changes(spark, sf_dir), "bound-log", ["after.id", "op", "after.outbound_time"])
     steps = facts.bound_steps(stream)
     return run_to_table(
         spark, "fan-out", lambda out, ck: fanout.start_fan_out(steps, out, ck, trigger=ONCE)).drop("batch_id")
 
 
 def stream_dims(spark, sf_dir):
-    raw = as_stream(spark, standins.dim_log(spark, sf_dir), "dim-log")
+    raw = as_stream(spark, standins.dim_log(spark, sf_dir), "dim-log", ["value"])
     root = shared_dir(spark, "dims")
     finish(dims.start_dims(raw, lambda: standins.routing_rows(spark), f"{root}/out", f"{root}/checkpoint", ONCE))
     return dims.current_dim(
@@ -147,6 +146,7 @@ def stream_dims(spark, sf_dir):
 
 QUERIES = {
     "stream_event_day": stream_event_day,
+    "stream_late_rows": stream_late_rows,
     **{f"stream_{name}": _day_summary(name) for name in jobs.DAY_SUMMARIES},
     "stream_order_join": stream_order_join,
     "stream_fan_out": stream_fan_out,

@@ -91,11 +91,16 @@ DAY_SUMMARIES = {
 
 
 def start_day_summary(
-    name: str, facts: DataFrame, dims: Dims, target: str, checkpoint: str, trigger: dict | None = None,
+    name: str, facts: DataFrame, dims: Callable[[], Dims], target: str, checkpoint: str, trigger: dict | None = None,
     delay: str = "0 seconds", **options: str,
 ) -> StreamingQuery:
-    """Run one summary over the stream of its facts and append its versions to `target`."""
+    """Run one summary over the stream of its facts and append its versions to `target`.
+
+    `dims` is called for every micro-batch, so names looked up for its changed rows are the current ones. Lookups before
+    the grouping (organisation of a district, model of a truck) use the dimensions of the start: a new organisation or truck is seen by
+    the next start.
+    """
     job = DAY_SUMMARIES[name]
-    totals = running_summary(job.route(facts, dims), job.keys, job.measures(), delay=delay)
+    totals = running_summary(job.route(facts, dims()), job.keys, job.measures(), delay=delay)
     return start_summary(
-        totals, target, SUMMARY_COLUMNS[name], checkpoint, lambda batch: job.name(batch, dims), trigger, **options)
+        totals, target, SUMMARY_COLUMNS[name], checkpoint, lambda batch: job.name(batch, dims()), trigger, **options)
