@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from waybill.operators import facts, lookups, reports, routing, snapshots, summa
 from waybill.operators.order_join import join_orders_batch, narrow_images
 from waybill.plans import streams
 from waybill.plans.wire import as_wire
-from waybill.session import prepare
-from waybill.sources import changes, standins
+from waybill.session import prepare, shared_dir
+from waybill.sources import changes, standins, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +84,29 @@ def log_order_facts(spark, sf_dir):
     return facts.waybill_detail(joined, columns=["order_id", "amount"])
 
 
+def topic_round_trip(spark, sf_dir):
+    """The raw log written to a topic, read as a stream in several micro-batches, and joined to facts."""
+    topic, target, checkpoint = (shared_dir(spark, f"topic-{x}") for x in ("log", "read", "checkpoint"))
+    standins.order_log(spark, sf_dir).select("value").write.text(topic)
+    raw = changes.read_changes(spark, topic, "dwd", fmt="text", maxFilesPerTrigger="2")
+    streams.finish(raw.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target))
+    log = changes.order_changes(spark.read.schema("value string").parquet(target))
+    return facts.waybill_detail(join_orders_batch(narrow_images(log, ["order_id", "amount"])), columns=["order_id", "amount"])
+
+
+def dim_upsert(spark, sf_dir):
+    """A dimension made in the catalog, loaded, changed for every third key, compacted, and read."""
+    path, compact, name = shared_dir(spark, "dim"), shared_dir(spark, "dim-compact"), f"dim_{uuid.uuid4().hex}"
+    tables.ensure_dim(spark, name, ["id", "name"], path)
+    rows = standins.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(1).cast("long").alias("seq"))
+    tables.upsert_dim(rows, path, ["id", "name"], 0, table=name)
+    changed = rows.where("id % 3 = 0").select("id", F.upper("name").alias("name"), (F.col("seq") + 1).alias("seq"))
+    tables.upsert_dim(changed, path, ["id", "name"], 1, table=name)
+    versions = spark.table(name).groupBy("id").agg(F.count("*").alias("versions"))
+    tables.compact_dim(spark, path, compact, "id")
+    return tables.read_dim(spark, compact, "id").join(versions, "id")
+
+
 def order_facts_in_slices(spark, sf_dir):
     """The facts with almost every waybill worked in slices, as one that holds a third of the log would be."""
     log = narrow_images(standins.order_changes(spark, sf_dir), ["order_id", "amount"])
@@ -312,6 +336,8 @@ _QUERIES: dict[str, Query] = {
     "envelope_fields": envelope_fields,
     "log_order_facts": log_order_facts,
     "order_facts_in_slices": order_facts_in_slices,
+    "topic_round_trip": topic_round_trip,
+    "dim_upsert": dim_upsert,
     "mask_customers": _masked(standins.user_info, "user_info"),
     "mask_addresses": _masked(standins.user_address, "user_address"),
     "mask_employees": _masked(standins.employee_info, "employee_info"),

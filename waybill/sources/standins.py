@@ -19,9 +19,8 @@ STATUS_CODES = ["60010", "60020", "60030", "60040", "60050", "60060", "60070", "
 CANCEL_CODE = "60999"
 
 
-# Schema and number of splits of the tables seen so far, so that a table used several times in a plan
-# is not opened each time.
-_SEEN: dict[str, tuple[T.StructType, int]] = {}
+# Schema and number of splits of the tables a session has seen, so that a table used several times in a plan is not opened each time.
+_SEEN: dict[tuple[str, str], tuple[T.StructType, int]] = {}
 
 # Tables that grow with the business; the others describe it.
 FACT_TABLES = ("orders", "lineitem")
@@ -29,27 +28,17 @@ FACT_TABLES = ("orders", "lineitem")
 
 def _look(spark: SparkSession, sf_dir: str, name: str) -> tuple[T.StructType, int]:
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _SEEN:
+    key = spark.sparkContext.applicationId, path
+    if key not in _SEEN:
         df = spark.read.parquet(path)
-        _SEEN[path] = df.schema, df.rdd.getNumPartitions()
-    return _SEEN[path]
+        _SEEN[key] = df.schema, df.rdd.getNumPartitions()
+    return _SEEN[key]
 
 
 def schema_of(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
     return _look(spark, sf_dir, name)[0]
 
 
-_ROWS: dict[str, int] = {}
-
-
-def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Rows of a given table, from the file footers."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _ROWS:
-        _ROWS[path] = spark.read.schema(schema_of(spark, sf_dir, name)).parquet(path).count()
-    return _ROWS[path]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """One given table; zone-less times are UTC instants.
 
@@ -168,12 +157,6 @@ def truck_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- orders and cargo
 
-def order_keys(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
-    """A sample of the order keys, for key statistics only."""
-    orders = table(spark, sf_dir, "orders", spread=False)
-    return orders.sample(share, seed=7).select(_text("o_orderkey").alias("order_id"))
-
-
 def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One waybill per order."""
     orders = table(spark, sf_dir, "orders")

@@ -23,14 +23,19 @@ def ensure_dims(spark: SparkSession, config: DataFrame) -> None:
         ensure_dim(spark, row.sink_table, row.sink_columns)
 
 
-def upsert_dim(batch: DataFrame, path: str, columns: list[str], batch_id: int, seq: str = "seq") -> None:
+def upsert_dim(batch: DataFrame, path: str, columns: list[str], batch_id: int, seq: str = "seq", table: str | None = None) -> None:
     """Write the new versions of dimension rows of one micro-batch.
 
     Only the batch is written, never the whole dimension. A repeated batch replaces its own folder,
-    so a retry leaves the same table. `read_dim` gives one row per key.
+    so a retry leaves the same table. `read_dim` gives one row per key. `table` is the catalog's name of the dimension, if `ensure_dim`
+    made it at `path`: the batch is then one of its partitions.
     """
     rows = batch.select(*[F.col(c).cast("string").alias(c) for c in columns], F.col(seq).alias("seq"))
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    if table:
+        spark = batch.sparkSession
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (batch_id = {batch_id})")
+        spark.catalog.refreshTable(table)
 
 
 def read_dim(spark: SparkSession, path: str, pk: str) -> DataFrame:
