@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from waybill import schemas
 from waybill.functions.scalars import csv_items
 from waybill.operators import lookups, routing
 from waybill.sources import changes, tables
@@ -105,3 +107,30 @@ def test_city_province_only_for_cities(spark):
 def test_keep_columns(spark):
     df = spark.createDataFrame([({"a": "1", "b": "2"},)], "m map<string,string>")
     assert df.select(routing.keep_columns(F.col("m"), csv_items(F.lit("b,c")))).first()[0] == {"b": "2"}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_of_two_changes_in_one_millisecond_the_later_in_the_log_wins(spark, tmp_path, turned):
+    from waybill.operators.order_join import join_orders_batch
+    from waybill.sources import changes
+    from waybill.streaming import dims
+
+    def event(table, pos, op="u", **images):
+        return json.dumps({"op": op, "source": {"table": table, "file": "log.000009", "pos": pos}, "ts_ms": 5, **images})
+
+    rows = [event("base_dic", 90, after={"id": "1", "name": "old"}), event("base_dic", 1000, after={"id": "1", "name": "new"})]
+    config = spark.createDataFrame([("base_dic", "dim_dic", None, "id,name", "id", None)], schemas.CONFIG_DIM)
+    raw = spark.createDataFrame([(x,) for x in (rows[::-1] if turned else rows)], "value string")
+    for i in (0, 1):
+        one = raw.limit(1) if i == 0 else raw.exceptAll(raw.limit(1))
+        dims.store_dims(routing.route_dims(changes.dim_changes(one), config), str(tmp_path / "dims"), i)
+    assert dims.current_dim(spark, str(tmp_path / "dims"), "dim_dic", ["id", "name"]).first().name == "new"
+
+    # The cancel comes after the cargo in the log, so it finds it, although its table sorts later.
+    log = [
+        event("order_cargo", 10, "c", after={"id": "c", "order_id": "7"}),
+        event("order_info", 20, before={"status": "60020"}, after={"id": "7", "status": "60999"}),
+        event("order_cargo", 30, "c", after={"id": "d", "order_id": "7"})]
+    raw = spark.createDataFrame([(x,) for x in (log[::-1] if turned else log)], "value string")
+    facts = join_orders_batch(changes.order_changes(raw)).collect()
+    assert [(f.fact, f.cargo.id) for f in facts] == [("cancel", "c")]

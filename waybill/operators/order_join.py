@@ -19,6 +19,8 @@ from waybill.operators.facts import CARGO_COLUMNS, ORDER_COLUMNS, status_fact
 
 # Order of changes within a waybill: time, cargo before order, create before update.
 SEQUENCE = ["ts", "tbl", "op", "order.status", "cargo.id"]
+# Where the log has it, the place in the database's log orders changes of one instant.
+PLACED = [SEQUENCE[0], "place", *SEQUENCE[1:]]
 # Image fields the rules themselves read.
 _RULE_FIELDS = {"order": {"status", "update_time"}, "cargo": {"id", "order_id", "create_time"}}
 CLEARING_FACTS = ("cancel", "sign")
@@ -64,7 +66,8 @@ def join_orders_batch(
     `slices` consecutive runs (default: as many as shuffle partitions).
     """
     # Flat columns, so that both windows see the same sort order and the second one sorts nothing.
-    flat = {f"_s{i}": F.col(c) for i, c in enumerate(sequence or SEQUENCE)}
+    sequence = sequence or (PLACED if "place" in changes.columns else SEQUENCE)
+    flat = {f"_s{i}": F.col(c) for i, c in enumerate(sequence)}
     rows = relevant(changes).withColumns(flat)
     hot = skew.hot_keys(changes, "order_id", max_rows)
     if hot.isEmpty():

@@ -60,7 +60,7 @@ def route_dims(events: DataFrame, config: DataFrame) -> DataFrame:
     """Events (table, op, before, after, ts) of the configured tables, ready to be stored.
 
     Result: sink_table, sink_pk, sink_family, row_key, columns (masked column -> text value map
-    without helper entries), changed (see `changed_keys`), ts. Masking runs before the projection.
+    without helper entries), changed (see `changed_keys`), ts, place. Masking runs before the projection.
     """
     # Lists are split once per routing row, not once per map entry.
     routes = _broadcast_if_small(config).withColumn("_names", csv_items(F.col("sink_columns")))
@@ -70,7 +70,8 @@ def route_dims(events: DataFrame, config: DataFrame) -> DataFrame:
         .select(
             "sink_table", "sink_pk", F.coalesce(non_empty(F.col("sink_family")), F.lit(DEFAULT_FAMILY)).alias("sink_family"),
             F.element_at("after", F.col("sink_pk")).alias("row_key"), image.alias("columns"),
-            changed_keys(F.col("op"), F.col("before"), F.col("foreign_keys")).alias("changed"), "ts")
+            changed_keys(F.col("op"), F.col("before"), F.col("foreign_keys")).alias("changed"), "ts",
+            F.col("place") if "place" in events.columns else F.lit("").alias("place"))
     )
 
 

@@ -128,8 +128,9 @@ def route_dims(spark, sf_dir):
 
 
 def dim_latest(spark, sf_dir):
-    rows = routing.dim_rows(_routed(spark, sf_dir, ["user_info"]), "dim_user_info", ["id", "real_name", "phone_num", "email", "birthday"])
-    return routing.latest_by_key(rows, ["id"], ["seq"]).drop("seq")
+    routed = _routed(spark, sf_dir, ["user_info"]).where("sink_table = 'dim_user_info'").select("sink_table", "row_key", "columns", "ts", "place")
+    newest = routing.latest_by_key(routed, ["sink_table", "row_key"], ["ts", "place"])
+    return routing.dim_rows(newest, "dim_user_info", ["id", "real_name", "phone_num", "email", "birthday"]).drop("seq")
 
 
 def dim_columns(spark, sf_dir):

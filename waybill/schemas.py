@@ -11,6 +11,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
+# Names and types of the tables on the wire.
 ORDER_INFO = _struct(
     id=_S, order_no=_S, status=_S, collect_type=_S, user_id=_S,
     receiver_complex_id=_S, receiver_province_id=_S, receiver_city_id=_S, receiver_district_id=_S, receiver_name=_S,
@@ -44,8 +45,8 @@ DIM_IMAGE = T.MapType(_S, _S)
 
 
 def envelope(image: T.DataType = _S) -> T.StructType:
-    """Change event; with the default both images stay JSON text."""
-    return _struct(op=_S, before=image, after=image, source=_struct(table=_S), ts_ms=_L)
+    """Change event; with the default both images stay JSON text. File, position and row say where in the database's log it stood."""
+    return _struct(op=_S, before=image, after=image, source=_struct(table=_S, file=_S, pos=_L, row=_I), ts_ms=_L)
 
 
 # The three table groups of the change log.

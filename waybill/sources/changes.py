@@ -55,6 +55,12 @@ def live_changes(events: DataFrame) -> DataFrame:
     return kept.withColumnRenamed("ts_ms", "ts")
 
 
+def place_of(source: Column) -> Column:
+    """Place of an event in the database's log as sortable text; events without one are all at the same place."""
+    digits = lambda c, n: F.lpad(F.coalesce(c.cast("string"), F.lit("")), n, "0")
+    return F.concat(F.coalesce(source["file"], F.lit("")), F.lit(" "), digits(source["pos"], 20), digits(source["row"], 10))
+
+
 def normalize(events: DataFrame, drop: tuple[str, ...] = ("source",)) -> DataFrame:
     """Hoist the source table to a column of its own and drop envelope columns."""
     return events.withColumn("table", F.col("source.table")).drop(*drop)
@@ -96,17 +102,17 @@ def order_changes(raw: DataFrame) -> DataFrame:
     """Typed changes of orders and cargo.
 
     Columns: order_id, tbl, op, ts (event time), before_status, order and cargo (after images; the
-    one that does not apply is null).
+    one that does not apply is null), place (in the database's log, which orders changes of one instant).
     """
     # One parse: the table test reads the parsed envelope.
-    events = of_tables(normalize(live_changes(parse_envelope(raw, _ORDER_OR_CARGO))), ["order_info", "order_cargo"])
+    events = of_tables(normalize(live_changes(parse_envelope(raw, _ORDER_OR_CARGO)), ()), ["order_info", "order_cargo"])
     is_order = F.col("table") == "order_info"
     return events.select(
         F.when(is_order, F.col("after.id")).otherwise(F.col("after.order_id")).alias("order_id"),
         F.col("table").alias("tbl"), "op", F.timestamp_millis("ts").alias("ts"),
         F.when(is_order, F.col("before.status")).alias("before_status"),
         F.when(is_order, _order_image(F.col("after"))).alias("order"),
-        F.when(~is_order, _cargo_image(F.col("after"))).alias("cargo"))
+        F.when(~is_order, _cargo_image(F.col("after"))).alias("cargo"), place_of(F.col("source")).alias("place"))
 
 
 def bound_changes(raw: DataFrame) -> DataFrame:
@@ -118,10 +124,11 @@ def trip_changes(raw: DataFrame) -> DataFrame:
 
 
 def dim_changes(raw: DataFrame, tables: list[str] | None = None) -> DataFrame:
-    """Dimension events: table, op, before, after (column -> value maps), ts. With `tables`, texts of other tables are
+    """Dimension events: table, op, before, after (column -> value maps), ts, place. With `tables`, texts of other tables are
     not parsed into maps."""
     raw = of_tables(raw, tables) if tables else raw
-    return normalize(live_changes(parse_envelope(raw, schemas.DIM_IMAGE)))
+    events = live_changes(parse_envelope(raw, schemas.DIM_IMAGE)).withColumn("place", place_of(F.col("source")))
+    return normalize(events)
 
 
 def routing_changes(raw: DataFrame) -> DataFrame:

@@ -16,13 +16,13 @@ from waybill.sources.changes import dim_changes
 def store_dims(routed: DataFrame, root: str, batch_id: int) -> None:
     """Append routed rows, one folder per dimension; a repeated batch replaces its own rows."""
     target = f"{root.rstrip('/')}/batch_id={batch_id}"
-    routed.select("sink_table", "row_key", "columns", "ts").write.mode("overwrite").partitionBy("sink_table").parquet(target)
+    routed.select("sink_table", "row_key", "columns", "ts", "place").write.mode("overwrite").partitionBy("sink_table").parquet(target)
 
 
 def current_dim(spark: SparkSession, root: str, sink_table: str, columns: list[str]) -> DataFrame:
     """Current rows of one dimension: the newest version of each key."""
     versions = spark.read.parquet(root).where(F.col("sink_table") == sink_table)
-    newest = latest_by_key(versions, ["row_key"], ["ts", "batch_id"])
+    newest = latest_by_key(versions, ["row_key"], ["ts", "place", "batch_id"])
     return dim_rows(newest, sink_table, columns).drop("seq")
 
 

@@ -21,7 +21,7 @@ _OUT = "fact string, cargo string, `order` string"
 
 
 def _log_order(row: Row):
-    return row.ms, row.tbl, row.op, row.status or "", row.cargo_id or ""
+    return row.ms, row.place, row.tbl, row.op, row.status or "", row.cargo_id or ""
 
 
 class OrderJoin(StatefulProcessor):
@@ -76,7 +76,7 @@ def join_orders(
     rows = relevant(changes).select(
         "order_id", "tbl", "op", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
         F.col("order.status").alias("status"), F.col("cargo.id").alias("cargo_id"),
-        F.col("_status").alias("step"),
+        F.col("_status").alias("step"), F.coalesce("place", F.lit("")).alias("place") if "place" in changes.columns else F.lit("").alias("place"),
         *[t.alias(c) for c, t in text.items()])
     joined = rows.groupBy("order_id").transformWithState(
         OrderJoin(int(ttl_seconds * 1000), clear_on), outputStructType=_OUT, outputMode="append", timeMode="None")
