@@ -6,8 +6,9 @@ No bucket is expanded into all its pairs:
 
 1. each node is compared with the smallest node (hub) of its buckets, first with one hub, then with the other hubs that it
    isn't connected with yet;
-2. what is left are buckets over more than one component. Their nodes' sketches are compared block by block
-   inside the tasks, and only pairs of different components that the sketches find close come out.
+2. what is left are buckets over more than one component. Their nodes' sketches are compared block by block inside the
+   tasks; nodes with a close partner in another component come back with their full sets, and the tasks
+   return only links that join components. So what is emitted grows with the nodes, never with their pairs.
 
 An odd sketch is a bitmap of parities: each MinHash sample (the smallest hash of each of `SAMPLES` equal ranges) flips one bit, so samples
 that two documents share cancel out in the XOR of their bitmaps. The bits left over estimate the number of
@@ -31,9 +32,9 @@ from waybill.llm.components import components
 #: A pair at a similarity of 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
 SAMPLES, BITS = 1024, 1024
-SIGMAS = 5.0
+SIGMAS = 4.0
 #: Nodes of a bucket whose sketches meet in one task; larger buckets are cut into pairs of blocks.
-BLOCK = 1000
+BLOCK = 512
 #: Bits of the map of documents whose sets are needed, 1 MB; what it lets through in excess is dropped by a join.
 FILTER_BITS = 1 << 23
 
@@ -109,17 +110,24 @@ def odd_sketch(shingles: np.ndarray) -> tuple[int, bytes]:
     return len(samples), np.packbits((np.bincount(places, minlength=BITS) & 1).astype(bool)).tobytes()
 
 
-def may_be_similar(flips, samples_a, samples_b, size_a, size_b, percent: int) -> np.ndarray:
-    """Whether pairs can have the similarity, by the bits in which their sketches differ. All arguments are arrays or fit together."""
+def may_be_similar(flips, samples_a, samples_b, size_a, size_b, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether pairs can have the similarity, and how many samples they seem to share, by the bits in which their sketches differ.
+
+    Two sets at the threshold t have a union of (a + b) / (1 + t) shingles. It fills an expected number of ranges, and a share t of these has
+    the same sample in both. A pair passes unless it seems to share fewer by more than SIGMAS standard deviations.
+    All arguments are arrays or fit together.
+    """
+    t = percent / 100
     most, least = np.maximum(size_a, size_b), np.minimum(size_a, size_b)
     odd = np.minimum(2.0 * flips / BITS, 0.98)
     differ = np.log1p(-odd) / np.log1p(-2.0 / BITS)
     shared = (samples_a + samples_b - differ) / 2
-    top = np.maximum(samples_a, samples_b)
-    by_sketch = BITS / 4 * np.expm1(4 * differ / BITS) / 4
-    by_samples = top * 0.16 * (1 - top / np.maximum(most, 1))
-    enough = shared + SIGMAS * np.sqrt(by_sketch + by_samples) + 1 >= percent / 100 * top
-    return enough & (100 * least >= percent * most)
+    union = (size_a + size_b) / (1 + t)
+    filled = -SAMPLES * np.expm1(union * np.log1p(-1.0 / SAMPLES))
+    by_sketch = np.maximum(BITS / 4 * np.expm1(4 * differ / BITS) - differ, 0) / 4
+    by_samples = filled * t * (1 - t) * (1 - np.minimum(filled / np.maximum(union, 1), 1))
+    enough = shared + SIGMAS * np.sqrt(by_sketch + by_samples) + 0.5 >= t * filled
+    return enough & (100 * least >= percent * most), shared
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -152,14 +160,14 @@ def _sketch_close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
                 a, b = (np.frombuffer(b"".join(p[c]), np.uint64).reshape(len(p), -1) for c in ("sketch_a", "sketch_b"))
                 flips = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
                 args = [p[c].to_numpy() for c in ("samples_a", "samples_b", "n_shingles_a", "n_shingles_b")]
-                yield p.loc[may_be_similar(flips, *args, percent), ["a", "b"]]
+                yield p.loc[may_be_similar(flips, *args, percent)[0], ["a", "b"]]
 
     return known.mapInPandas(run, "a binary, b binary")
 
 
-def _full_sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of all nodes in the pairs: one document of each is read again."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _full_sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes: one document of each is read again."""
+    wanted = nodes.distinct()
     ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     maps = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
@@ -194,44 +202,92 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100L * n >= {percent}L * (n_a + n_b - n)").select("a", "b")
 
 
-def _left_over(members: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket that the sketches find close."""
+def _close_pairs(bucket: int, left: pd.DataFrame, right: pd.DataFrame, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (x, y) in two blocks of a bucket, and shared samples, of close pairs of different components that meet here for the first time."""
+    bits = lambda g: np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+    a, b = bits(left), bits(right)
+    names = pd.factorize(pd.concat([left["component"], right["component"]]))[0]
+    part_a, part_b = names[:len(left)], names[len(left):]
+    all_a, all_b = np.stack(left["buckets"].to_list()), np.stack(right["buckets"].to_list())
+    counts = lambda g, axis: [np.expand_dims(g[c].to_numpy(), axis) for c in ("samples", "n_shingles")]
+    found = []
+    for k in range(0, len(left), 64):
+        flips = np.zeros((len(a[k:k + 64]), len(right)), np.int64)
+        for word in range(a.shape[1]):
+            flips += np.bitwise_count(a[k:k + 64, word, None] ^ b[None, :, word])
+        own, other = counts(left.iloc[k:k + 64], 1), counts(right, 0)
+        near, shared = may_be_similar(flips, own[0], other[0], own[1], other[1], percent)
+        x, y = np.nonzero(near & (part_a[k:k + 64, None] != part_b[None, :]))
+        shared = shared[x, y]
+        x += k
+        equal = all_a[x] == all_b[y]
+        here = all_a[x, equal.argmax(1)] == bucket
+        if same:
+            here &= x < y
+        found.append((x[here], y[here], shared[here]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _links_in_block(group: pd.DataFrame, left: np.ndarray, right: np.ndarray, shared: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of a group that join their components, found among the close pairs with full sets, those that share most first."""
+    sets = [np.asarray(s).view(np.uint64) for s in group["shingles"]]
+    sizes = np.array([len(s) for s in sets])
+    names = pd.factorize(group["component"])[0]
+    links = []
+    order = np.lexsort((-shared, left))
+    left, right = left[order], right[order]
+    for x in np.unique(left):
+        partners = right[np.searchsorted(left, x):np.searchsorted(left, x, "right")]
+        while len(partners := partners[names[partners] != names[x]]):
+            now, partners = partners[:32], partners[32:]
+            all_of = np.concatenate([sets[y] for y in now])
+            place = np.minimum(np.searchsorted(sets[x], all_of), sizes[x] - 1)
+            inside = np.add.reduceat((sets[x][place] == all_of).astype(np.int64), np.cumsum(sizes[now]) - sizes[now])
+            for y in now[100 * inside >= percent * (sizes[now] + sizes[x] - inside)]:
+                if names[y] != names[x]:
+                    links.append((x, y))
+                    names[names == names[y]] = names[x]
+    return links
+
+
+def _left_over(docs: DataFrame, prints: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components, from the buckets that still hold more than one."""
     known = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (
         known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
         # Two nodes are the hub and one other, which have been compared.
         .where("low <> high and n > 2").select("bucket", "n"))
+    details = ["n_shingles", "samples", "sketch", "buckets"]
     rows = (
-        known.join(mixed, "bucket").join(nodes.select("node", "n_shingles", "samples", "sketch"), "node")
+        known.join(mixed, "bucket").join(nodes.select("node", *details), "node")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "samples", "sketch"))
-
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left = group[group["own"] == i]
-        right = group[group["own"] == j]
-        bits = lambda g: np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
-        a, b = bits(left), bits(right)
-        names = pd.factorize(pd.concat([left["component"], right["component"]]))[0]
-        part_a, part_b = names[:len(left)], names[len(left):]
-        cols = [right[c].to_numpy()[None, :] for c in ("samples", "n_shingles")]
-        found = []
-        for k in range(0, len(left), 64):
-            flips = np.zeros((len(a[k:k + 64]), len(right)), np.int64)
-            for word in range(a.shape[1]):
-                flips += np.bitwise_count(a[k:k + 64, word, None] ^ b[None, :, word])
-            rows = left.iloc[k:k + 64]
-            own = [rows[c].to_numpy()[:, None] for c in ("samples", "n_shingles")]
-            near = may_be_similar(flips, own[0], cols[0], own[1], cols[1], percent) & (part_a[k:k + 64, None] != part_b[None, :])
-            x, y = np.nonzero(near)
-            found.append(pd.DataFrame({"a": rows["node"].to_numpy()[x], "b": right["node"].to_numpy()[y]}))
-        out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": []})
-        return out if i != j else out[out["a"] < out["b"]]
-
-    pairs = rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", *details))
+
+    def sides(key: tuple, group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bucket, i, j = key
+        a, b = np.flatnonzero(group["own"] == i), np.flatnonzero(group["own"] == j)
+        if not len(a) or not len(b):
+            return (np.zeros(0, np.int64),) * 3
+        x, y, shared = _close_pairs(bucket, group.iloc[a], group.iloc[b], i == j, percent)
+        return a[x], b[y], shared
+
+    def close(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        x, y, _ = sides(key, group)
+        return group.iloc[np.union1d(x, y)].assign(i=key[1], j=key[2])[["bucket", "i", "j", "own", "node", "component", *details]]
+
+    def confirm(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        links = _links_in_block(group, *sides(key, group), percent)
+        named = group["node"].to_numpy()
+        return pd.DataFrame([(min(p), max(p)) for p in ((named[x], named[y]) for x, y in links)], columns=["a", "b"])
+
+    # At most one row per node, bucket and pair of blocks, however many pairs are close.
+    kept = staged(rows.groupBy("bucket", "i", "j").applyInPandas(close, rows.schema), "close")
+    if kept.isEmpty():
+        return kept.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    sets = _full_sets(docs, prints, kept.select("node"), width)
+    return kept.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(confirm, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -246,19 +302,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     dealt = nodes.select("node", F.explode("buckets").alias("bucket"))
     hubs = dealt.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = staged(dealt.join(hubs, "bucket"), "members")
-    nodes = staged(nodes.drop("buckets").join(members.select("node").distinct(), "node", "left_semi"), "sketches")
+    nodes = staged(nodes.join(members.select("node").distinct(), "node", "left_semi"), "sketches")
 
     near = staged(_sketch_close(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent), "pairs")
-    sets = _full_sets(docs, prints, near, width)
+    sets = _full_sets(docs, prints, near.select(F.col("a").alias("node")).union(near.select("b")), width)
     links = staged(_confirmed(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent), "links")
     parts = components(links)
     links = [links, staged(_confirmed(_apart(near, parts), sets, percent), "links")]
     parts = components(reduce(DataFrame.union, links))
 
-    rest = staged(_left_over(members, nodes, parts, percent), "pairs")
-    if not rest.isEmpty():
-        links.append(staged(_confirmed(rest, _full_sets(docs, prints, rest, width), percent), "links"))
-        parts = components(reduce(DataFrame.union, links))
+    links.append(staged(_left_over(docs, prints, members, nodes, parts, width, percent), "links"))
+    parts = components(reduce(DataFrame.union, links))
 
     known = (
         prints.select("doc_id", "text_hash", "n_shingles", "node").join(parts, "node", "left")
