@@ -13,7 +13,7 @@ from waybill.plans.catalog import queries
 from waybill.session import build_session
 
 HEADLINE = [
-    "live_changes", "route_dims", "dim_latest", "order_detail", "cancel", "sort", "trip_finish", "lookup_fk_first", "org_city",
+    "live_changes", "log_order_facts", "route_dims", "dim_latest", "order_detail", "cancel", "sort", "trip_finish", "lookup_fk_first", "org_city",
     "bound_org_sort_day", "cargo_type_order_day", "org_order_day", "bound_finish_day", "dispatch_day",
     "org_deliver_suc_day", "org_receive_day", "org_truck_model_day", "cumulative_snapshots", "order_amount_by_day",
     "sort_count_by_province_by_day",
