@@ -21,6 +21,15 @@ BUCKETS = 4096
 BLOCK_CHARS = 1 << 20
 
 
+#: Rows that a Python step receives at once; texts may be long.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps what Spark hands to a Python step at once small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, written to a table in the folder all executors share and read from there.
 

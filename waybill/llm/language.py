@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import blocks, codes, texts_of
+from waybill.llm.common import blocks, bounded_batches, codes, texts_of
 from waybill.llm.ftrl import FollowTheLeader, softmax, temperature
 
 UNKNOWN = "und"
@@ -59,7 +59,8 @@ def gram_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def tf_idf(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A row of unit length and the constant."""
     values = (1 + np.log(counts)) * idf[found]
-    return np.append(found, FEATURES), np.append(values / max(1e-9, float(np.sqrt(values @ values))), 1.0)
+    values = values / max(1e-9, float(np.sqrt(values @ values)))
+    return np.append(found, FEATURES).astype(np.int32), np.append(values, 1.0).astype(np.float32)
 
 
 @dataclass
@@ -119,8 +120,9 @@ def train(docs: DataFrame, folds: int = 5, held_out: int = 0) -> LanguageModel:
 
     Temperature is fitted on the fold after it. Without any such row the model knows no language.
     """
+    bounded_batches(docs.sparkSession)
     part = fold(F.col("doc_id"), folds)
-    learn = docs.select("text", "lang", part.alias("part"), F.xxhash64("doc_id", "lang").alias("draw")).where(
+    learn = docs.select("text", "lang", part.alias("part"), F.xxhash64("doc_id", "lang", "text").alias("draw")).where(
         (part != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     languages = sorted(sizes)
@@ -142,11 +144,15 @@ def train(docs: DataFrame, folds: int = 5, held_out: int = 0) -> LanguageModel:
                 "part": batch["part"], "lang": batch["lang"], "draw": batch["draw"],
                 "found": [f.astype(np.int32) for f, _ in rows], "counts": [c.astype(np.int32) for _, c in rows]})
 
-    drawn = sample.mapInPandas(run, "part long, lang string, draw long, found array<int>, counts array<int>").toPandas()
-    drawn = drawn[drawn["found"].str.len() > 0].sort_values(["draw", "lang"], kind="stable")
     label = {name: k for k, name in enumerate(languages)}
-    data = [(*tf_idf(np.asarray(r.found), np.asarray(r.counts), idf), label[r.lang]) for r in drawn.itertuples()]
-    calibrate = (drawn["part"] == (held_out + 1) % folds).to_numpy()
+    drawn = sample.mapInPandas(run, "part long, lang string, draw long, found array<int>, counts array<int>").where("size(found) > 0")
+    # The bounded sample, in Arrow's narrow form.
+    held = drawn.toArrow().combine_chunks()
+    keys = zip(*(held[c].to_pylist() for c in ("draw", "lang", "part")))
+    lists = [[x.values.to_numpy() for x in held[c]] for c in ("found", "counts")]
+    rows = sorted(((*key, *tf_idf(f, n, idf)) for key, f, n in zip(keys, *lists)), key=lambda r: r[:3])
+    data = [(found, values, label[lang]) for _, lang, _, found, values in rows]
+    calibrate = [part == (held_out + 1) % folds for _, _, part, _, _ in rows]
     leader = FollowTheLeader(FEATURES + 1, len(languages)).fit([d for d, c in zip(data, calibrate) if not c], ROUNDS)
     model = LanguageModel(languages, idf, leader.weights().astype(np.float32))
     others = [d for d, c in zip(data, calibrate) if c]
