@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import blocks, codes, staged, texts_of
+from waybill.llm.common import blocks, bounded_batches, codes, staged, texts_of
 from waybill.llm.ftrl import FollowTheLeader, softmax, temperature
 from waybill.llm.language import fold
 
@@ -243,8 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
     Words are chosen by their log likelihood ratio between both labels. Without labelled rows the score is 0 everywhere, with one label
     only it is that label everywhere.
     """
-    letters = letter_model(docs)
     spark = docs.sparkSession
+    bounded_batches(spark)
+    letters = letter_model(docs)
     draw = F.xxhash64("doc_id")
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -280,10 +281,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
             batch["found"] = [[keep.value[w] for w in ws if w in keep.value] for ws in batch.pop("words")]
             yield batch
 
-    drawn = bags.mapInPandas(narrow, "doc_id long, toxic int, found array<int>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
+    drawn = bags.mapInPandas(narrow, "doc_id long, toxic int, found array<int>").toPandas()
+    drawn["found"] = [tuple(sorted(f)) for f in drawn["found"]]
     data = []
-    for r in drawn.itertuples():
-        at = np.append(np.sort(np.asarray(r.found, np.int64)), len(chosen))
+    for r in drawn.sort_values(["doc_id", "toxic", "found"]).itertuples():
+        at = np.array([*r.found, len(chosen)], np.int64)
         data.append((at, np.ones(len(at)), int(r.toxic > 0)))
     last = np.arange(len(data)) % 5 == 4
     leader = FollowTheLeader(len(chosen) + 1, 2, rate=0.5, l1=2.0, l2=0.1).fit([d for d, c in zip(data, last) if not c], ROUNDS)
