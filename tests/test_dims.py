@@ -17,7 +17,7 @@ def raw(spark, *events):
 def config_event(op, table, sink, ts, before=False):
     row = {"source_table": table, "sink_table": sink, "sink_columns": "id,name", "sink_pk": "id", "foreign_keys": ""}
     images = {"before": row} if before else {"after": row}
-    return {"op": op, **images, "source": {"table": "tms_config_dim"}, "ts_ms": ts}
+    return {"op": op, **images, "source": {"table": schemas.CONFIG_TABLE}, "ts_ms": ts}
 
 
 CONFIG = "source_table string, sink_table string, sink_family string, sink_columns string, sink_pk string, foreign_keys string"

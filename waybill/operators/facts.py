@@ -26,16 +26,17 @@ TIME_COLUMNS = {
     "dispatch": "dispatch_time", "bound_finish": "bound_finish_time", "deliver": "deliver_time", "sign": "sign_time",
 }
 
-# Sink name of each fact.
+# Sink name of each fact; a deployment may put a prefix before them.
 TOPICS = {
-    "detail": "tms_dwd_trade_order_detail", "pay_suc": "tms_dwd_trade_pay_suc_detail",
-    "cancel": "tms_dwd_trade_cancel_detail", "receive": "tms_dwd_trans_receive_detail",
-    "dispatch": "tms_dwd_trans_dispatch_detail", "bound_finish": "tms_dwd_trans_bound_finish_detail",
-    "deliver": "tms_dwd_trans_deliver_detail", "sign": "tms_dwd_trans_sign_detail",
-    "inbound": "tms_dwd_bound_inbound", "sort": "tms_dwd_bound_sort", "outbound": "tms_dwd_bound_outbound",
-    "trip_finish": "tms_dwd_trans_trans_finish",
+    "detail": "dwd_trade_order_detail", "pay_suc": "dwd_trade_pay_suc_detail",
+    "cancel": "dwd_trade_cancel_detail", "receive": "dwd_trans_receive_detail",
+    "dispatch": "dwd_trans_dispatch_detail", "bound_finish": "dwd_trans_bound_finish_detail",
+    "deliver": "dwd_trans_deliver_detail", "sign": "dwd_trans_sign_detail",
+    "inbound": "dwd_bound_inbound", "sort": "dwd_bound_sort", "outbound": "dwd_bound_outbound",
+    "trip_finish": "dwd_trans_trans_finish",
 }
 
+# Cargo and order columns of the detail row, by their names on the wire.
 CARGO_COLUMNS = {
     "id": "id", "order_id": "order_id", "cargo_type": "cargo_type", "volumn_length": "volume_length",
     "volumn_width": "volume_width", "volumn_height": "volume_height", "weight": "weight",

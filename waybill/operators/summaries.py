@@ -15,7 +15,7 @@ from waybill.operators.lookups import city_province, lookup, lookup_first, org_c
 
 MONEY = "decimal(30,2)"
 
-# Columns of the serving tables in their order; `ts` is the version.
+# Columns of the serving tables in their order; `ts` is the version.
 SUMMARY_COLUMNS = {
     "bound_org_sort_day": ["cur_date", "org_id", "org_name", "city_id", "city_name", "province_id", "province_name", "sort_count", "ts"],
     "cargo_type_order_day": ["cur_date", "cargo_type", "cargo_type_name", "order_amount", "order_count", "ts"],

@@ -49,6 +49,9 @@ def envelope(image: T.DataType = _S) -> T.StructType:
     return _struct(op=_S, before=image, after=image, source=_struct(table=_S, file=_S, pos=_L, row=_I), ts_ms=_L)
 
 
+# Name of the routing table in the log, unless a call gives another.
+CONFIG_TABLE = "config_dim"
+
 # The three table groups of the change log.
 TABLE_GROUPS = {
     "dwd": ["order_info", "order_cargo", "transport_task", "order_org_bound"],
@@ -57,7 +60,7 @@ TABLE_GROUPS = {
         "express_courier", "express_courier_complex", "employee_info", "line_base_shift", "line_base_info",
         "truck_driver", "truck_info", "truck_model", "truck_team",
     ],
-    "tms_config_dim": ["tms_config_dim"],
+    "config": [CONFIG_TABLE],
 }
 # Where reading of a group starts.
-GROUP_START = {"dwd": "latest", "realtime-dim": "initial", "tms_config_dim": "initial"}
+GROUP_START = {"dwd": "latest", "realtime-dim": "initial", "config": "initial"}

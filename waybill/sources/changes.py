@@ -18,9 +18,9 @@ def table_of(value: Column | str = "value") -> Column:
 
 def read_changes(
     spark: SparkSession, topic: str, group: str, start: str | None = None, fmt: str = "text",
-    streaming: bool = True, since_ms: int | None = None, **options: str,
+    streaming: bool = True, since_ms: int | None = None, tables: list[str] | None = None, **options: str,
 ) -> DataFrame:
-    """Raw events (`value`) of one table group.
+    """Raw events (`value`) of one table group, or of its `tables` where a deployment names them otherwise.
 
     `start` is `initial` (snapshot reads, then changes) or `latest`; each group has its default. It says where a
     broker is read from when there is no checkpoint yet; afterwards the checkpoint decides, so nothing that
@@ -33,7 +33,7 @@ def read_changes(
     if fmt == "kafka":
         options.setdefault("startingOffsets", "latest" if start == "latest" else "earliest")
     raw = read_topic(spark, topic, fmt, streaming=streaming, **options)
-    raw = raw.where(table_of().isin(schemas.TABLE_GROUPS[group]))
+    raw = raw.where(table_of().isin(tables or schemas.TABLE_GROUPS[group]))
     if since_ms is not None:
         raw = raw.where(F.get_json_object("value", "$.ts_ms").cast("long") >= since_ms)
     return raw
@@ -131,7 +131,7 @@ def dim_changes(raw: DataFrame, tables: list[str] | None = None) -> DataFrame:
     return normalize(events)
 
 
-def routing_changes(raw: DataFrame) -> DataFrame:
+def routing_changes(raw: DataFrame, table: str = schemas.CONFIG_TABLE) -> DataFrame:
     """Events of the routing table, deletes included: op, before, after, ts."""
-    events = parse_envelope(of_tables(raw, ["tms_config_dim"]), schemas.CONFIG_DIM)
+    events = parse_envelope(of_tables(raw, [table]), schemas.CONFIG_DIM)
     return events.withColumnRenamed("ts_ms", "ts").drop("source")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waybill.functions.scalars import local_shift, millis
+from waybill.schemas import CONFIG_TABLE
 
 # Status codes of a waybill in the order they are reached, and the code of a cancel.
 STATUS_CODES = ["60010", "60020", "60030", "60040", "60050", "60060", "60070", "60080"]
@@ -418,5 +419,5 @@ def routing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
           .when(F.col("event_type") == "view", "r").otherwise("u"))
     no_row = F.when(F.lit(False), row)
     return table(spark, sf_dir, "events").select(
-        _envelope("tms_config_dim", op, F.when(op.isin("d", "u"), row), F.when(op != "d", row).otherwise(no_row),
+        _envelope(CONFIG_TABLE, op, F.when(op.isin("d", "u"), row), F.when(op != "d", row).otherwise(no_row),
                   F.col("event_id")).alias("value"))

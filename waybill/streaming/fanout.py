@@ -10,16 +10,17 @@ from waybill.operators.facts import TOPICS
 from waybill.operators.snapshots import SLOT
 
 
-def fan_out(batch: DataFrame, root: str, batch_id: int, fmt: str = "parquet", by: str = "fact", **options: str) -> None:
+def fan_out(batch: DataFrame, root: str, batch_id: int, fmt: str = "parquet", by: str = "fact", prefix: str = "", key: str = "order_id", **options: str) -> None:
     """Write the rows of a micro-batch to the sink their `by` column names, all in one job.
 
-    On a broker the sinks are topics and the rows JSON text; otherwise they are folders, and a
-    repeated batch replaces what it wrote before.
+    On a broker the sinks are topics (`prefix` before the names of TOPICS) and the rows JSON text, keyed by `key` so that those of one
+    waybill stay in order; otherwise they are folders, and a repeated batch replaces what it wrote before.
     """
     if fmt == "kafka":
         topics = F.create_map(*[F.lit(part) for pair in TOPICS.items() for part in pair])
         rest = [c for c in batch.columns if c != by]
-        messages = batch.select(topics[F.col(by)].alias("topic"), F.to_json(F.struct(*rest)).alias("value"))
+        keyed = [F.col(key).cast("string").alias("key")] if key in batch.columns else []
+        messages = batch.select(F.concat(F.lit(prefix), topics[F.col(by)]).alias("topic"), *keyed, F.to_json(F.struct(*rest)).alias("value"))
         messages.write.format("kafka").options(**options).save()
     else:
         target = f"{root.rstrip('/')}/batch_id={batch_id}"
