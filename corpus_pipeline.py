@@ -14,8 +14,8 @@ from waybill.llm.queries import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Texts whose best language has less than this probability are rejected.
-LEAST_SCORE = 0.5
+#: Texts whose best language has less than this probability are rejected. Short or mixed texts of a known language have more.
+LEAST_SCORE = 0.35
 #: Words of a shingle, and the similarity in percent from which documents are near-duplicates.
 SHINGLE, SIMILAR = 5, 80
 
