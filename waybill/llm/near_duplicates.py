@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import blocks, mix, staged, texts_of
+from waybill.llm.common import blocks, bounded_batches, mix, staged, texts_of
 from waybill.llm.components import components
 
 #: A pair at a similarity of 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
@@ -297,6 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     and texts without words have an empty set, are linked with nothing and are kept. A document without doc_id links
     others; its component_id is theirs, null if none has an id. Rows that repeat a doc_id are one row each.
     """
+    bounded_batches(docs.sparkSession)
     prints = staged(fingerprints(docs, width), "prints")
     nodes = staged(prints.where("node is not null").drop("doc_id", "text_hash").dropDuplicates(["node"]), "nodes")
     dealt = nodes.select("node", F.explode("buckets").alias("bucket"))

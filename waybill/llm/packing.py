@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waybill.llm.common import BUCKETS, blocks, codes, ranked, staged, texts_of
+from waybill.llm.common import BUCKETS, blocks, bounded_batches, codes, ranked, staged, texts_of
 from waybill.llm.segments import Segmenter, piece_hashes
 from waybill.llm.token_counts import split_special
 
@@ -189,6 +189,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> DataF
     rows are packed each; an empty table gives no rows; other columns are not read. Reruns agree: pieces
     are ranked by bucket, doc_id, start and checksum, and rows equal in all of these are interchangeable.
     """
+    bounded_batches(docs.sparkSession)
     pieces = staged(token_pieces(docs, path, size, end_id), "pieces")
     # At most `size` rows, whatever the number of documents.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import staged, texts_of, words
+from waybill.llm.common import bounded_batches, staged, texts_of, words
 
 #: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -153,6 +153,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score lies at or above the calibrated threshold; without labelled rows of both kinds only the fixed rules count. Repeated rows
     are judged alike; rows without doc_id have no label; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     counts = staged(text_statistics(docs), "statistics")
     total = counts.count()
     # TREES * TREE_ROWS rows in expectation, drawn by a hash of the id and the counts.
