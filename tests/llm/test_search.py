@@ -120,3 +120,34 @@ def test_coordinate_pruning_keeps_all_that_reach_the_threshold():
             kept = ip._coordinate_places(q, rows, units, local)
             assert set(np.flatnonzero(cosines >= local)) <= set(kept)
             assert len(kept) < len(rows)
+
+
+def near_axes(n, dim, seed):
+    """Whole-number vectors of one-hot direction, of any sign, and leaning to an axis more or less."""
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(n, dim)) * r.choice([0.0, 0.01, 0.05, 0.1], size=(n, 1))
+    v[np.arange(n), r.integers(0, dim, n)] += r.choice([-1.0, 1.0], n)
+    return np.floor(v * 64)
+
+
+def test_coordinate_pruning_of_queries_near_an_axis():
+    rows = near_axes(3000, 8, 6).astype(np.int64)
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    one_hot = np.eye(8, dtype=np.int64)[[0, 3]] * [[64], [-64]]
+    for q in [*one_hot, *rows[:60]]:
+        cosines = units @ (q / np.linalg.norm(q))
+        for local in (0.7, 0.8, 0.9, 0.99, 1 - 1e-9):
+            kept = ip._coordinate_places(q, rows, units, local)
+            assert set(np.flatnonzero(cosines >= local)) <= set(kept)
+            assert len(kept) < len(rows)
+
+
+def test_products_of_vectors_near_an_axis(spark):
+    """Lengths of one bucket, so that the first block gives thresholds near the lengths."""
+    v = near_axes(1500, 8, 7)
+    v = v[np.linalg.norm(v, axis=1) < 66]
+    v[:40] = np.eye(8)[np.arange(40) % 8] * 64
+    v[np.arange(len(v)), np.abs(v).argmax(1)] *= 1.125
+    v = np.floor(v)
+    rows = list(zip(range(len(v)), (v / 64).astype(np.float32).tolist()))
+    assert found(spark, rows, 20, 10) == answers(rows, 20, 10)

@@ -84,12 +84,18 @@ def _pack(ids: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes, str]:
 
 def _coordinate_places(query: np.ndarray, rows: np.ndarray, units: np.ndarray, local: float) -> np.ndarray:
     """Rows whose value at the query's largest coordinate lets the cosine be `local` or more."""
-    unit = query / np.sqrt(float(query @ query))
-    focus = int(np.abs(unit).argmax())
-    x = unit[focus]
-    slack = np.sqrt(max(0.0, 1 - local * local)) * np.sqrt(max(0.0, 1 - x * x)) + 1e-9
-    # The cosine is at most x * y + sqrt(1 - x^2) * sqrt(1 - y^2), which is local or more within this range of y.
-    return np.flatnonzero(np.abs(units[:, focus] - x * local) <= slack)
+    query = query.astype(float)
+    size = np.sqrt(query @ query)
+    focus = int(np.abs(query).argmax())
+    rest = query.copy()
+    rest[focus] = 0
+    # Signs are turned so that x > 0; sqrt(1 - x^2) comes from the other coordinates, as the difference loses digits where x is nearly 1.
+    x, y = abs(query[focus]) / size, units[:, focus] * np.sign(query[focus])
+    slack = np.sqrt(max(0.0, 1 - local * local)) * np.sqrt(rest @ rest) / size + 1e-9
+    # The cosine is at most x * y + sqrt(1 - x^2) * sqrt(1 - y^2), the cosine of the difference of two angles. It is local or more from
+    # x * local - slack on; up to x * local + slack where the query is further from its axis than the threshold allows, else up to the axis itself.
+    upper = np.inf if x >= local else x * local + slack
+    return np.flatnonzero((y >= x * local - slack) & (y <= upper))
 
 
 def search_block(queries: pd.DataFrame, matrix: np.ndarray, ids: np.ndarray, rows: np.ndarray, lengths: np.ndarray, k: int) -> list[tuple]:
