@@ -79,6 +79,21 @@ def test_sketches_lose_no_pair_at_the_threshold():
         assert nd.may_be_similar(np.int64(flips), sa, sb, len(a), len(b), 80)[0]
 
 
+@pytest.mark.parametrize("union", [10, 15, 20, 30, 50, 100, 200, 300, 400, 500])
+def test_sketches_lose_no_pair_of_small_sets(union):
+    """Thousands of pairs at the threshold and just above, whose ranges hold several shingles now and then."""
+    r = np.random.default_rng(union)
+    rows = []
+    for k in range(2000):
+        u = r.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+        both = int(np.ceil((0.8 if k % 4 else 0.82) * union))
+        cut = int(r.integers(both, union + 1))
+        a, b = np.sort(u[:cut]), np.sort(np.concatenate((u[:both], u[cut:])))
+        (sa, xa), (sb, xb) = nd.odd_sketch(a), nd.odd_sketch(b)
+        rows.append((np.bitwise_count(np.frombuffer(xa, np.uint64) ^ np.frombuffer(xb, np.uint64)).sum(), sa, sb, len(a), len(b)))
+    assert nd.may_be_similar(*np.array(rows, np.int64).T, 80)[0].all()
+
+
 def test_components(spark):
     r = random.Random(5)
     links = [(i, i + 1) for i in range(300)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(40)] + [(7, 7), (5000, 2000)]

@@ -32,7 +32,7 @@ from waybill.llm.components import components
 #: A pair at a similarity of 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
 SAMPLES, BITS = 1024, 1024
-SIGMAS = 4.0
+SIGMAS = 5.0
 #: Nodes of a bucket whose sketches meet in one task; larger buckets are cut into pairs of blocks.
 BLOCK = 512
 #: Bits of the map of documents whose sets are needed, 1 MB; what it lets through in excess is dropped by a join.
@@ -113,9 +113,10 @@ def odd_sketch(shingles: np.ndarray) -> tuple[int, bytes]:
 def may_be_similar(flips, samples_a, samples_b, size_a, size_b, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether pairs can have the similarity, and how many samples they seem to share, by the bits in which their sketches differ.
 
-    Two sets at the threshold t have a union of (a + b) / (1 + t) shingles. It fills an expected number of ranges, and a share t of these has
-    the same sample in both. A pair passes unless it seems to share fewer by more than SIGMAS standard deviations.
-    All arguments are arrays or fit together.
+    Two sets at the threshold t have a union of u = (a + b) / (1 + t) shingles. The ranges it fills are those of the larger set, whose number is
+    known, and those of the empty ones that the other set's own shingles fall into, which has an occupancy's mean and variance. A share t of
+    the filled ranges has the same sample in both, with the variance of a draw of so many out of u shingles. A pair passes unless it
+    seems to share fewer by more than SIGMAS standard deviations and one sample. All arguments are arrays or fit together.
     """
     t = percent / 100
     most, least = np.maximum(size_a, size_b), np.minimum(size_a, size_b)
@@ -123,10 +124,15 @@ def may_be_similar(flips, samples_a, samples_b, size_a, size_b, percent: int) ->
     differ = np.log1p(-odd) / np.log1p(-2.0 / BITS)
     shared = (samples_a + samples_b - differ) / 2
     union = (size_a + size_b) / (1 + t)
-    filled = -SAMPLES * np.expm1(union * np.log1p(-1.0 / SAMPLES))
+    known = np.where(size_a >= size_b, samples_a, samples_b)
+    free, others = SAMPLES - known, np.maximum(union - most, 0)
+    # Probabilities that the other set's own shingles leave out one given range, and two given ranges.
+    one, two = np.exp(others * np.log1p(-1.0 / SAMPLES)), np.exp(others * np.log1p(-2.0 / SAMPLES))
+    filled = known + free * (1 - one)
+    occupancy = np.maximum(free * (one - two + free * (two - one * one)), 0)
+    drawn = filled * t * (1 - t) * np.clip((union - filled + np.sqrt(occupancy)) / np.maximum(union - 1, 1), 0, 1)
     by_sketch = np.maximum(BITS / 4 * np.expm1(4 * differ / BITS) - differ, 0) / 4
-    by_samples = filled * t * (1 - t) * (1 - np.minimum(filled / np.maximum(union, 1), 1))
-    enough = shared + SIGMAS * np.sqrt(by_sketch + by_samples) + 0.5 >= t * filled
+    enough = shared + SIGMAS * np.sqrt(by_sketch + drawn + t * t * occupancy) + 1 >= t * filled
     return enough & (100 * least >= percent * most), shared
 
 
