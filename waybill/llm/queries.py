@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waybill.llm import (
-    inner_products, language, mixing, near_duplicates, packing, personal_data, quality, token_counts, toxicity, url_filters)
+    hard_negatives, html_text, inner_products, language, mixing, near_duplicates, packing, personal_data, quality, spelling, token_counts,
+    toxicity, url_filters)
 from waybill.llm.common import table
 
 #: Fixed value: the vocabulary the contracts name.
@@ -56,6 +58,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Fixed value: labels as the contract of hard negatives has them, some moved to the next one.
+MOVED_LABEL = "case when vec_id % 7 = 0 then (label + 1) % 10 else label end"
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", F.expr(MOVED_LABEL)))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -67,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_inner_products": op8_inner_products,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling": op12_spelling,
+    "op13_html_text": op13_html_text,
 }
 
 #: The others learn models, follow a library, or need set comparisons that SQL is too slow for on whole tables.
@@ -74,4 +95,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
     "op6_url_filters": url_filters.oracle(),
     "op8_inner_products": inner_products.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(label=MOVED_LABEL),
 }
