@@ -7,7 +7,8 @@ from simulation import simulate
 
 from waybill.operators import skew
 from waybill.operators.order_join import SEQUENCE, join_orders_batch
-from waybill.plans.streams import as_stream, finish
+from waybill.plans import standins
+from waybill.plans.streams import as_stream, end_marker, finish
 from waybill.session import shared_dir
 from waybill.streaming.order_join import join_orders
 
@@ -135,11 +136,13 @@ def test_rows_of_one_instant_are_sliced(spark):
 def test_stream_equals_batch(spark, slices):
     rows = random_log(11, events=500)
     root = shared_dir(spark, "test-join")
-    stream = as_stream(spark, changes(spark, rows), "test-log", SEQUENCE, slices)
+    # Facts wait for the watermark, so a row without a waybill comes last.
+    log = changes(spark, rows)
+    stream = as_stream(spark, log, "test-log", SEQUENCE, slices, end_marker(log, tbl="order_cargo"))
     query = join_orders(stream).writeStream.format("parquet").option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
     finish(query)
-    assert len([p for p in query.recentProgress if p.numInputRows]) == slices
+    assert len([p for p in query.recentProgress if p.numInputRows]) == slices + 1
     assert result(spark.read.parquet(f"{root}/out")) == sorted(simulate(rows))
 
 
@@ -153,3 +156,50 @@ def test_finish_raises_the_stream_error(spark, tmp_path):
     query = stream.writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     with pytest.raises(Exception, match="boom"):
         finish(query)
+
+
+@pytest.mark.parametrize("seed, bucket", [(12, 1), (13, 60_000)])
+def test_stream_over_files_out_of_order(spark, seed, bucket):
+    """Files turned round in time, rows of one waybill in many of them; buckets of one millisecond and of the whole log."""
+    rows = random_log(seed, events=400, hot=0.3)
+    log = changes(spark, rows)
+    root = shared_dir(spark, "test-unordered")
+    marker = end_marker(log, tbl="order_cargo")
+    stream = as_stream(spark, log, "test-log", SEQUENCE, 6, marker, lambda n: [2, 0, 1, 5, 3, 4])
+    joined = join_orders(stream, delay="60 seconds", bucket_ms=bucket)
+    query = joined.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+    finish(query)
+    assert result(spark.read.parquet(f"{root}/out")) == sorted(simulate(rows))
+
+
+def test_the_log_is_read_once(spark, tmp_path):
+    """What the facts are read from afterwards is the written table, and building them starts one job over the log."""
+    log = changes(spark, random_log(14))
+    log.write.parquet(str(tmp_path / "log"))
+    joined = join_orders_batch(spark.read.parquet(str(tmp_path / "log")))
+    assert not any("/log/" in f for f in joined.inputFiles()) and all("keyed-rows" in f for f in joined.inputFiles())
+
+
+@pytest.mark.parametrize("max_rows, named", [(10, True), (150, True), (260, False), (10_000, False)])
+def test_hot_orders_are_found_while_the_rows_are_written(spark, max_rows, named):
+    rows = random_log(15, events=900, hot=0.25)
+    log = changes(spark, rows)
+    table, hot = skew.written_once(log, "order_id", max_rows)
+    counts = {r.order_id: r["count"] for r in log.groupBy("order_id").count().collect()}
+    assert table.count() == 900
+    assert sorted(r.order_id for r in hot.collect()) == sorted(k for k, n in counts.items() if n > max_rows) if hot is not None else max(counts.values()) <= max_rows
+    assert named == (hot is not None and not hot.isEmpty())
+
+
+def test_many_rows_are_counted_where_the_summary_cannot_tell(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TOLD_APART", 1.0)
+    rows = random_log(16, events=300, hot=0.5)
+    _, hot = skew.written_once(changes(spark, rows), "order_id", 50)
+    assert [r.order_id for r in hot.collect()] == ["hot"]
+
+
+def test_clearing_rules_show_in_the_hard_cases(spark, sf_dir):
+    """With cargo kept after cancel or signing the facts of the registered query would be others."""
+    log = standins.hard_changes(spark, sf_dir)
+    facts = {name: join_orders_batch(log, clear_on=on).count() for name, on in (("both", ("cancel", "sign")), ("none", ()), ("cancel", ("cancel",)))}
+    assert facts["both"] < facts["cancel"] < facts["none"]

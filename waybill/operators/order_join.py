@@ -62,15 +62,15 @@ def join_orders_batch(
 ) -> DataFrame:
     """(fact, cargo, order) rows of a change log (see `sources.changes.order_changes`).
 
-    Waybills with more than `max_rows` rows, more than one task should sort, are found in the log itself and worked in
-    `slices` consecutive runs (default: as many as shuffle partitions).
+    The rows that matter are written once to the shared folder; the log is not read again. Waybills with more than `max_rows` of
+    them, more than one task should sort, are found while they are written and worked in `slices` consecutive runs (default: as many as shuffle partitions).
     """
     # Flat columns, so that both windows see the same sort order and the second one sorts nothing.
     sequence = sequence or (PLACED if "place" in changes.columns else SEQUENCE)
     flat = {f"_s{i}": F.col(c) for i, c in enumerate(sequence)}
-    rows = relevant(changes).withColumns(flat)
-    hot = skew.hot_keys(changes, "order_id", max_rows)
-    if hot.isEmpty():
+    rows, hot = skew.written_once(relevant(changes).drop("before_status"), "order_id", max_rows)
+    rows = rows.withColumns(flat)
+    if hot is None or hot.isEmpty():
         return _joined(rows, ttl, list(flat), clear_on, sliced=False)
     cold = _joined(rows.join(hot, "order_id", "left_anti"), ttl, list(flat), clear_on, sliced=False)
     runs = skew.slice_rows(rows.join(hot, "order_id", "left_semi"), "order_id", list(flat), slices)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,14 @@ from pyspark.sql import types as T
 from waybill import schemas
 from waybill.functions import masks
 from waybill.functions import scalars as S
-from waybill.operators import facts, lookups, reports, routing, snapshots, summaries
+from waybill.operators import facts, lookups, refresh, reports, routing, snapshots, summaries
 from waybill.operators.order_join import join_orders_batch, narrow_images
-from waybill.plans import streams
+from waybill.plans import standins, streams
 from waybill.plans.wire import as_wire
 from waybill.session import prepare, shared_dir
-from waybill.sources import changes, standins, tables
+from waybill.sources import changes, tables, topics
+from waybill.sources.versions import VersionedTable
+from waybill.streaming import dims
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +97,34 @@ def topic_round_trip(spark, sf_dir):
     return facts.waybill_detail(join_orders_batch(narrow_images(log, ["order_id", "amount"])), columns=["order_id", "amount"])
 
 
+def topic_twice(spark, sf_dir):
+    """The log written to a topic by an at-least-once writer, every third part of it twice, and read once."""
+    topic, target, checkpoint = (shared_dir(spark, f"twice-{x}") for x in ("log", "read", "checkpoint"))
+    events = changes.parse_envelope(standins.order_log(spark, sf_dir), changes.ORDER_OR_CARGO)
+    # A place in the database's log for every event: what tells a message sent twice from two messages.
+    place = F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(1 << 60))
+    placed = events.withColumn("source", F.struct(F.col("source.table").alias("table"), F.lit("log.1").alias("file"), place.alias("pos"), F.lit(0).alias("row")))
+    parts, n = streams.write_slices(spark, placed, "parts", ["ts_ms"])
+    for k in range(n):
+        part = spark.read.schema(placed.schema).parquet(f"{parts}/slice={k}").coalesce(1)
+        for _ in range(2 if k % 3 == 2 else 1):
+            topics.write_topic(part, topic, "text")
+    raw = changes.read_changes(spark, topic, "dwd", fmt="text", maxFilesPerTrigger="2")
+    # A message may come again as long as its part does: the topic as a whole spans seven years.
+    once = changes.once(changes.order_changes(raw), within="4000 days")
+    streams.finish(once.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target))
+    log = spark.read.schema(once.schema).parquet(target)
+    return facts.waybill_detail(join_orders_batch(narrow_images(log, ["order_id", "amount"])), columns=["order_id", "amount"])
+
+
+def hard_order_facts(spark, sf_dir):
+    """Facts of waybills that go through the hard cases of the order join."""
+    joined = join_orders_batch(standins.hard_changes(spark, sf_dir))
+    return joined.select(
+        "fact", F.col("cargo.order_id").alias("order_id"), F.col("cargo.id").alias("cargo_id"), F.col("order.status").alias("status"),
+        F.col("order.amount").alias("amount"), F.col("order.update_time").alias("order_time"), F.col("cargo.create_time").alias("cargo_time"))
+
+
 def dim_upsert(spark, sf_dir):
     """A dimension made in the catalog, loaded, changed for every third key, compacted, and read."""
     path, compact, name = shared_dir(spark, "dim"), shared_dir(spark, "dim-compact"), f"dim_{uuid.uuid4().hex}"
@@ -148,6 +179,31 @@ def config_latest(spark, sf_dir):
     return routing.config_latest(changes.routing_changes(standins.routing_log(spark, sf_dir)))
 
 
+def route_dims_as_of(spark, sf_dir):
+    """Dimension events by the routing in force at their place in the log, which changes and ends midway."""
+    versions = routing.routing_versions(changes.routing_changes(standins.routing_moves(spark)))
+    routed = routing.route_dims_as_of(changes.dim_changes(standins.dim_log(spark, sf_dir)), versions)
+    return _cells(routed, "columns", "sink_table", "row_key", "ts")
+
+
+def dims_from_config(spark, sf_dir):
+    """Tables made by the routing rows of a scan and of the stream, filled by that stream, and read through the catalog."""
+    root, scan, made = shared_dir(spark, "dim-tables"), shared_dir(spark, "config"), f"t{uuid.uuid4().hex}_"
+    standins.routing_rows(spark).where("source_table = 'user_info'").write.parquet(scan)
+    log = standins.dim_log(spark, sf_dir).union(standins.routing_moves(spark, standins.ROUTING_BIRTHS))
+    timed = log.withColumn("at", F.get_json_object("value", "$.ts_ms").cast("long"))
+    raw = streams.as_stream(spark, timed, "dim-log", ["at", "value"]).select("value")
+    streams.finish(dims.start_dim_tables(
+        raw, tables.read_config(spark, scan), lambda sink: made + sink, root, f"{root}/checkpoint", streams.ONCE))
+    cells = []
+    for sink in ("dim_user_info", "dim_base_organ", "dim_truck_info"):
+        rows = routing.latest_by_key(spark.table(made + sink), ["id"], ["seq", "batch_id"])
+        named = [c for c in rows.columns if c not in ("seq", "batch_id")]
+        cells.append(rows.select(F.lit(sink).alias("sink_table"), F.col("id").alias("row_key"), F.inline(
+            F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in named]))).where("value is not null"))
+    return reduce(DataFrame.union, cells)
+
+
 # ---------------------------------------------------------------- facts
 
 def _fact(name: str) -> Query:
@@ -287,6 +343,47 @@ def org_sort_snapshots(spark, sf_dir):
     return named.select(summaries.SUMMARY_COLUMNS["bound_org_sort_day"])
 
 
+def latest_after_fold(spark, sf_dir):
+    """Amounts per day from versions that came in six batches and were folded twice on the way."""
+    versions = org_order_series(spark, sf_dir)
+    path = shared_dir(spark, "series")
+    versions.write.parquet(path)
+    written = spark.read.schema(versions.schema).parquet(path)
+    store = VersionedTable(shared_dir(spark, "folded"), versions.schema, ["cur_date", "org_id", "org_name", "city_id"], ["ts"], "cur_date")
+    for k in range(6):
+        store.write(written.where(F.floor(F.hour(F.col("ts") + S.local_shift()) / 4) == k), k)
+        if k in (2, 4):
+            store.fold(spark)
+    return reports.order_amount_by_day(store.versions(spark))
+
+
+def refreshed_names(spark, sf_dir):
+    """Names in a summary after organisations and regions changed: only rows that show them have a second version."""
+    name, facts_of = "bound_org_sort_day", ["org_id", "sort_count"]
+    rows = bound_org_sort_day(spark, sf_dir).withColumn("ts", F.timestamp_millis(F.lit(1000)))
+    store = VersionedTable(shared_dir(spark, "named"), rows.schema, ["cur_date", "org_id"], ["ts"])
+    store.write(rows, 0)
+    config = standins.routing_rows(spark).union(standins.region_route(spark))
+    routed = routing.route_dims(changes.dim_changes(standins.name_log(spark, sf_dir)), config).drop("sink_family")
+    newest = routing.latest_by_key(routed, ["sink_table", "row_key"], ["ts", "place"])
+    organ = routing.dim_rows(newest, "dim_base_organ", ["id", "org_name", "org_parent_id", "region_id"])
+    region = routing.dim_rows(newest, "dim_base_region_info", ["id", "parent_id", "name", "dict_code"])
+    changed = refresh.with_children(refresh.changed_rows(routed), organ)
+    again = refresh.refreshed(
+        store.read(spark), changed, name, facts_of, lambda df: lookups.city_province(lookups.org_city(df, organ), region))
+    store.write(again.withColumn("ts", F.timestamp_millis(F.lit(2000))), 1)
+    return store.read(spark)
+
+
+def order_amount_today(spark, sf_dir):
+    """The amount report without a date, over the series moved so that its last day is the current business day."""
+    series = org_order_series(spark, sf_dir)
+    last = series.agg(F.max("cur_date").alias("last"))
+    today = S.local_day(F.current_timestamp())
+    moved = series.join(F.broadcast(last)).withColumn("cur_date", F.date_add("cur_date", F.datediff(today, "last"))).drop("last")  # one row
+    return reports.order_amount(moved).withColumn("today", today)
+
+
 def order_amount(spark, sf_dir):
     return reports.order_amount(org_order_series(spark, sf_dir), REPORT_DATE)
 
@@ -338,6 +435,8 @@ _QUERIES: dict[str, Query] = {
     "log_order_facts": log_order_facts,
     "order_facts_in_slices": order_facts_in_slices,
     "topic_round_trip": topic_round_trip,
+    "topic_twice": topic_twice,
+    "hard_order_facts": hard_order_facts,
     "dim_upsert": dim_upsert,
     "mask_customers": _masked(standins.user_info, "user_info"),
     "mask_addresses": _masked(standins.user_address, "user_address"),
@@ -353,6 +452,8 @@ _QUERIES: dict[str, Query] = {
     "dim_columns": dim_columns,
     "changed_keys": changed_keys,
     "config_latest": config_latest,
+    "route_dims_as_of": route_dims_as_of,
+    "dims_from_config": dims_from_config,
     "order_detail": _fact("detail"),
     "pay_suc": _fact("pay_suc"),
     "cancel": _fact("cancel"),
@@ -382,6 +483,9 @@ _QUERIES: dict[str, Query] = {
     "latest_snapshot": latest_snapshot,
     "org_order_snapshots": org_order_snapshots,
     "org_sort_snapshots": org_sort_snapshots,
+    "latest_after_fold": latest_after_fold,
+    "refreshed_names": refreshed_names,
+    "order_amount_today": order_amount_today,
     "order_amount": order_amount,
     "order_amount_by_day": order_amount_by_day,
     "sort_count_by_province": sort_count_by_province,

@@ -364,6 +364,17 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).alias("value"))
 
 
+def _log_of(name: str, df: DataFrame, updates: list) -> DataFrame:
+    """Each row as a snapshot read, plus (happens, column, old, new, time) updates; one pass."""
+    image = F.struct(*df.columns)
+    events = [_envelope(name, F.lit("r"), F.when(F.lit(False), image), image, F.lit(1000).cast("long"))]
+    events += [
+        F.when(happens, _envelope(name, F.lit("u"), image.withField(column, old), image.withField(column, new),
+                                  F.lit(at).cast("long")))
+        for happens, column, old, new, at in updates]
+    return df.select(F.explode(F.array_compact(F.array(*events))).alias("value"))
+
+
 def dim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw log of dimension tables: a snapshot read of every row, then some updates.
 
@@ -372,28 +383,18 @@ def dim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     number = F.col("id").cast("long")
 
-    def log_of(name: str, df: DataFrame, updates: list) -> DataFrame:
-        """Each row as a snapshot read, plus (happens, column, old, new, time) updates; one pass."""
-        image = F.struct(*df.columns)
-        events = [_envelope(name, F.lit("r"), F.when(F.lit(False), image), image, F.lit(1000).cast("long"))]
-        events += [
-            F.when(happens, _envelope(name, F.lit("u"), image.withField(column, old), image.withField(column, new),
-                                      F.lit(at).cast("long")))
-            for happens, column, old, new, at in updates]
-        return df.select(F.explode(F.array_compact(F.array(*events))).alias("value"))
-
     def email(generation: int) -> Column:
         return F.concat(F.lit(f"g{generation}-"), F.col("id"), F.lit("@mail.com"))
 
     moved = _text(F.col("region_id").cast("long") + 1)
     station = F.col("org_parent_id").isNotNull() & (number % 2 == 0)
     parts = [
-        log_of("user_info", user_info(spark, sf_dir), [
+        _log_of("user_info", user_info(spark, sf_dir), [
             (number % 3 == 0, "email", F.col("email"), email(2), 2000),
             (number % 6 == 0, "email", email(2), email(3), 3000)]),
-        log_of("base_organ", base_organ(spark, sf_dir), [(station, "region_id", F.col("region_id"), moved, 2000)]),
-        log_of("truck_info", truck_info(spark, sf_dir), []),
-        log_of("base_region_info", base_region_info(spark, sf_dir), []),
+        _log_of("base_organ", base_organ(spark, sf_dir), [(station, "region_id", F.col("region_id"), moved, 2000)]),
+        _log_of("truck_info", truck_info(spark, sf_dir), []),
+        _log_of("base_region_info", base_region_info(spark, sf_dir), []),
     ]
     return reduce(DataFrame.union, parts)
 
@@ -408,6 +409,81 @@ def routing_rows(spark: SparkSession) -> DataFrame:
         AS routes(source_table, sink_table, sink_family, sink_columns, sink_pk, foreign_keys)""")
 
 
+def name_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw log of organisations and regions, then changes of what summaries show.
+
+    Every third station and every fourth city get another name, every fifth hub another city, one province another name.
+    """
+    number = F.col("id").cast("long")
+    station, hub = F.col("org_parent_id").isNotNull(), F.col("org_parent_id").isNull()
+    moved = _text(100 + (F.col("region_id").cast("long") - 100 + 1) % 25)
+    renamed = F.concat("name", F.lit("*"))
+    return _log_of("base_organ", base_organ(spark, sf_dir), [
+        (station & (number % 3 == 0), "org_name", F.col("org_name"), F.concat("org_name", F.lit(" II")), 2000),
+        (hub & (number % 5 == 0), "region_id", F.col("region_id"), moved, 2000)],
+    ).union(_log_of("base_region_info", base_region_info(spark, sf_dir), [
+        ((F.col("dict_code") == "City") & (number % 4 == 0), "name", F.col("name"), renamed, 2000),
+        ((F.col("dict_code") == "Province") & (number == 1001), "name", F.col("name"), renamed, 2000)]))
+
+
+def region_route(spark: SparkSession) -> DataFrame:
+    """The routing row of regions, which `routing_rows` leaves out."""
+    return spark.sql("""
+        SELECT 'base_region_info' source_table, 'dim_base_region_info' sink_table, CAST(NULL AS string) sink_family, 'id,parent_id,name,dict_code' sink_columns,
+          'id' sink_pk, 'parent_id' foreign_keys""")
+
+
+# Changes of routing rows in the course of `dim_log` (whose events are of 1000, 2000 and 3000): time, operation, table, columns.
+ROUTING_MOVES = [
+    (0, "c", "user_info", "id,real_name"), (1500, "u", "user_info", "id,email"), (2500, "d", "user_info", ""),
+    (1500, "c", "base_organ", "id,region_id"), (1000, "r", "truck_info", "id,truck_no")]
+ROUTING_BIRTHS = [
+    (500, "c", "truck_info", "id,truck_no"), (1500, "c", "base_organ", "id,org_name,region_id"), (2500, "d", "user_info", "")]
+
+
+def routing_moves(spark: SparkSession, moves: list[tuple] = ROUTING_MOVES) -> DataFrame:
+    """Raw log of changes of routing rows."""
+    rows = spark.createDataFrame(moves, "at long, op string, name string, listed string")
+    image = F.struct(
+        F.col("name").alias("source_table"), F.concat(F.lit("dim_"), "name").alias("sink_table"), F.col("listed").alias("sink_columns"), F.lit("id").alias("sink_pk"))
+    gone = F.col("op") == "d"
+    return rows.select(_envelope(CONFIG_TABLE, F.col("op"), F.when(gone, image), F.when(~gone, image), F.col("at")).alias("value"))
+
+
+# What can happen to a waybill, by key modulo 6: seconds after placement, table, operation, statuses before and after, cargo number.
+# Updates after a cancel and after signing, a second cargo row, a cargo update, two placements before the cargo, changes of one instant.
+HARD_CASES = [
+    (0, -1, "order_cargo", "c", None, None, 1), (0, 0, "order_info", "c", None, "60010", None), (0, 10, "order_info", "u", "60010", "60999", None),
+    (0, 20, "order_info", "u", "60010", "60020", None), (0, 30, "order_cargo", "c", None, None, 2), (0, 40, "order_info", "u", "60020", "60030", None),
+    (1, -1, "order_cargo", "c", None, None, 1), (1, 0, "order_info", "c", None, "60010", None), (1, 10, "order_info", "u", "60070", "60080", None),
+    (1, 20, "order_info", "u", "60080", "60999", None),
+    (2, 0, "order_info", "c", None, "60010", None), (2, 1, "order_cargo", "c", None, None, 1), (2, 2, "order_cargo", "c", None, None, 2),
+    (2, 10, "order_info", "u", "60010", "60020", None),
+    (3, -1, "order_cargo", "c", None, None, 1), (3, 0, "order_info", "c", None, "60010", None), (3, 5, "order_cargo", "u", None, None, 2),
+    (3, 10, "order_info", "u", "60010", "60020", None), (3, 15, "order_info", "u", "60030", "60040", None), (3, 20, "order_info", "r", "60010", "60020", None),
+    (4, 0, "order_info", "c", None, "60010", None), (4, 3, "order_info", "c", None, "60010", None), (4, 4, "order_cargo", "c", None, None, 1),
+    (4, 8, "order_cargo", "c", None, None, 2), (4, 9, "order_info", "u", "60020", "60030", None),
+    (5, 0, "order_cargo", "c", None, None, 1), (5, 0, "order_info", "c", None, "60010", None), (5, 10, "order_info", "u", "60020", "60030", None),
+    (5, 10, "order_info", "u", "60010", "60020", None), (5, 20, "order_info", "u", "60040", "60050", None), (5, 20, "order_info", "u", "60050", "60999", None)]
+
+
+def hard_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed change log with the hard cases of the order join: each order goes through those of its key."""
+    key, case = F.col("o_orderkey"), F.col("case")
+    listed = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("kind", "after", "tbl", "op", "s0", "s1", "number"), row)]) for row in HARD_CASES]
+    kinds = "struct<kind: int, after: int, tbl: string, op: string, s0: string, s1: string, number: int>"
+    cases = F.array(*[c.cast(kinds) for c in listed])
+    rows = table(spark, sf_dir, "orders").select(
+        key, "o_orderdate", "o_totalprice", F.explode(F.filter(cases, lambda c: c["kind"] == key % 6)).alias("case"))
+    at, is_order = _later(F.col("o_orderdate"), key * 37 % 86400 + case["after"]), case["tbl"] == "order_info"
+    return rows.select(
+        _text(key).alias("order_id"), case["tbl"].alias("tbl"), case["op"].alias("op"), at.alias("ts"), case["s0"].alias("before_status"),
+        F.when(is_order, F.struct(
+            _text(key).alias("id"), case["s1"].alias("status"), at.alias("update_time"), F.col("o_totalprice").cast("decimal(20,2)").alias("amount"))).alias("order"),
+        F.when(~is_order, F.struct(
+            _text(key * 10 + case["number"]).alias("id"), _text(key).alias("order_id"), at.alias("create_time"))).alias("cargo"))
+
+
 def routing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change log of routing rows made from user events: one source table per user."""
     row = F.struct(

@@ -5,18 +5,21 @@ Logs that have to exist as files before a stream can read them are written to th
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from waybill.operators import facts
 from waybill.functions.scalars import local_day
 from waybill.operators.order_join import SEQUENCE, join_orders_batch, narrow_images
-from waybill.session import ROCKSDB, shared_dir
-from waybill.sources import standins
-from waybill.streaming import dims, events, fanout, jobs
+from waybill.plans import standins
+from waybill.session import shared_dir
+from waybill.sources import files
+from waybill.streaming import dims, events, fanout, jobs, series
 from waybill.streaming.order_join import join_orders
 
 ONCE = {"availableNow": True}
@@ -25,26 +28,45 @@ LEAST_BATCHES = 4
 
 
 def as_stream(
-    spark: SparkSession, df: DataFrame, name: str, by: list[str] = ["ts"], slices: int | None = None, late: DataFrame | None = None
+    spark: SparkSession, df: DataFrame, name: str, by: list[str] = ["ts"], slices: int | None = None, late: DataFrame | None = None,
+    order: Callable[[int], list[int]] = lambda n: list(range(n)),
 ) -> DataFrame:
-    """A table as a stream in the order of `by`, one slice of about equal size per micro-batch.
+    """A table as a stream of LEAST_BATCHES micro-batches (or of one per slice, where `slices` or `late` are given), in the order of `by`.
 
-    The table is written once, cut by range partitioning into consecutive runs of one file each. The files then reach the
-    stream's folder one after the other, each read once, and every file is a micro-batch. There are as many slices as shuffle partitions.
-    `late` rows come after all others.
+    All slices are written at once, cut by range partitioning into consecutive runs of one file each; the files' times then say in which
+    order the stream takes them up. There are as many slices as shuffle partitions. `order` may name another one of their
+    places. `late` rows come after all others.
     """
-    stage, inbox = shared_dir(spark, f"{name}-stage"), shared_dir(spark, f"{name}-inbox")
+    inbox, n = write_slices(spark, df, name, by, slices)
+    return read_slices(spark, df.schema, inbox, n, late, order, 1 if slices or late is not None else -(-n // LEAST_BATCHES))
+
+
+def write_slices(spark: SparkSession, df: DataFrame, name: str, by: list[str], slices: int | None = None) -> tuple[str, int]:
+    """A folder of files, each a consecutive run of the rows, and how many there are."""
+    inbox = shared_dir(spark, f"{name}-inbox")
     slices = slices or max(LEAST_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = df.repartitionByRange(slices, *by).sortWithinPartitions(*by).withColumn("_slice", F.spark_partition_id())
-    cut.write.partitionBy("_slice").parquet(stage)
-    staged = spark.read.schema(cut.schema).parquet(stage)
-    for part in range(slices):
-        staged.where(F.col("_slice") == part).drop("_slice").coalesce(1).write.mode("append").parquet(inbox)
+    cut = df.repartitionByRange(slices, *by).sortWithinPartitions(*by).withColumn("slice", F.spark_partition_id())
+    cut.write.partitionBy("slice").parquet(inbox)
+    return inbox, slices
+
+
+def read_slices(
+    spark: SparkSession, schema: T.StructType, inbox: str, slices: int, late: DataFrame | None = None,
+    order: Callable[[int], list[int]] = lambda n: list(range(n)), files_per_batch: int = 1,
+) -> DataFrame:
+    """The files of `write_slices` as a stream; `late` rows come in a micro-batch of their own."""
+    numbers = order(slices)
     if late is not None:
         # Late is what the watermark before the last batch says, so one batch without rows comes first.
-        for rows in (df.limit(0), late):
-            rows.coalesce(1).write.mode("append").parquet(inbox)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        for number, rows in ((slices, late.limit(0)), (slices + 1, late)):
+            rows.coalesce(1).write.parquet(f"{inbox}/slice={number}")
+            numbers.append(number)
+    begin = int(time.time() * 1000) - 3_600_000
+    for place, number in enumerate(numbers):
+        folder = f"{inbox}/slice={number}"
+        for file in files.names(spark, folder):
+            files.set_time(spark, f"{folder}/{file}", begin + 1000 * place)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{inbox}/*")
 
 
 def finish(query: StreamingQuery) -> None:
@@ -81,6 +103,22 @@ def stream_late_rows(spark, sf_dir):
     return _event_day(spark, as_stream(spark, rows, "events", late=late))
 
 
+def end_marker(df: DataFrame, **values) -> DataFrame:
+    """One row two days after the last one, with nulls but for `values`: it moves the watermark past all rows."""
+    last = df.agg((F.max("ts") + F.expr("interval 2 days")).cast(df.schema["ts"].dataType).alias("ts"))
+    given = {"ts": F.col("ts"), **{c: F.lit(v) for c, v in values.items()}}
+    return last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+
+
+def stream_event_series(spark, sf_dir):
+    """The running totals of events, fired by event time; the marker's own key never comes out."""
+    rows = standins.table(spark, sf_dir, "events").select("event_type", "ts")
+    stream = as_stream(spark, rows, "events", late=end_marker(rows))
+    totals = series.event_series(stream, ["event_type"], {"event_count": "1"})
+    return run_to_table(
+        spark, "event-series", lambda out, ck: totals.writeStream.format("parquet").option("checkpointLocation", ck).trigger(**ONCE).start(out))
+
+
 # Order and cargo columns the summaries read from each fact.
 _NEEDED = {
     "detail": ["cargo_type", "sender_district_id", "sender_city_id", "amount"],
@@ -99,6 +137,25 @@ def _fact_table(spark: SparkSession, sf_dir: str, fact: str) -> DataFrame:
     return facts.waybill_detail(join_orders_batch(changes), fact, _NEEDED[fact])
 
 
+def late_dims(spark: SparkSession, sf_dir: str, dim: str) -> Callable[[], jobs.Dims]:
+    """Dimensions as a stream of facts sees them: every third row of `dim` (organisations or trucks) is only there from the third look on, and
+    every fifth one belongs to another district or model at first."""
+    at = {"base_organ": "region_id", "truck_info": "truck_model_id"}[dim]
+    names = ("base_organ", "base_region_info", "base_dic", "truck_info", "truck_model")
+    looks = []
+
+    def now() -> jobs.Dims:
+        looks.append(1)
+        dims = {name: getattr(standins, name)(spark, sf_dir) for name in names}
+        if len(looks) < 3:
+            number = F.col("id").cast("long")
+            moved = F.when(number % 5 == 0, F.concat(F.substring(at, 1, 3), F.lit("1"))).otherwise(F.col(at))
+            dims[dim] = dims[dim].where(number % 3 != 0).withColumn(at, moved)
+        return dims
+
+    return now
+
+
 def _day_summary(name: str):
     job = jobs.DAY_SUMMARIES[name]
 
@@ -107,26 +164,41 @@ def _day_summary(name: str):
         tables = lambda: {
             dim: getattr(standins, dim)(spark, sf_dir)
             for dim in ("base_organ", "base_region_info", "base_dic", "truck_info", "truck_model")}
-        emitted = run_to_table(
-            spark, name, lambda out, ck: jobs.start_day_summary(name, stream, tables, out, ck, ONCE))
-        return events.newest(emitted, job.keys)
+        # Organisations and trucks that come while facts do: rows under what was known before are taken back.
+        look = late_dims(spark, sf_dir, "truck_info" if job.key == "truck_id" else "base_organ") if isinstance(job, jobs.BoundSummary) else tables
+        emitted = run_to_table(spark, name, lambda out, ck: jobs.start_day_summary(name, stream, look, out, ck, ONCE))
+        return jobs.standing(emitted, name)
 
     return query
 
 
+def near_shuffled(n: int) -> list[int]:
+    """Places turned round in groups of three."""
+    return [k for a in range(0, n, 3) for k in reversed(range(a, min(a + 3, n)))]
+
+
+def lag_of(slices: DataFrame, order: list[int]) -> int:
+    """Milliseconds by which a file's first row is behind the newest row of the files before it; slices: slice, first, last."""
+    spans = {r["slice"]: (r["first"], r["last"]) for r in slices.collect()}  # a row per file
+    newest, lag = None, 0
+    for n in order:
+        if n in spans:
+            lag = max(lag, (newest or spans[n][0]) - spans[n][0])
+            newest = max(newest or spans[n][1], spans[n][1])
+    return lag
+
+
 def stream_order_join(spark, sf_dir):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        log = narrow_images(standins.order_changes(spark, sf_dir), ["order_id", "amount"])
-        detail = facts.waybill_detail(join_orders(as_stream(spark, log, "order-log", SEQUENCE)), columns=["order_id", "amount"])
-        return run_to_table(
-            spark, "order-join", lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)).drop("batch_id")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    """The order join over files that come out of their order in time."""
+    log = narrow_images(standins.order_changes(spark, sf_dir), ["order_id", "amount"])
+    inbox, slices = write_slices(spark, log, "order-log", SEQUENCE)
+    written = spark.read.schema(T.StructType([*log.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(inbox)
+    spans = written.groupBy("slice").agg(F.unix_millis(F.min("ts")).alias("first"), F.unix_millis(F.max("ts")).alias("last"))
+    lag = lag_of(spans, near_shuffled(slices))
+    marker = end_marker(written.drop("slice"), tbl="order_cargo").withColumn("ts", F.col("ts") + F.expr(f"interval {lag} milliseconds"))
+    stream = read_slices(spark, log.schema, inbox, slices, marker, near_shuffled)
+    detail = facts.waybill_detail(join_orders(stream, delay=f"{lag + 1} milliseconds"), columns=["order_id", "amount"])
+    return run_to_table(spark, "order-join", lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)).drop("batch_id")
 
 
 def stream_fan_out(spark, sf_dir):
@@ -147,6 +219,7 @@ def stream_dims(spark, sf_dir):
 QUERIES = {
     "stream_event_day": stream_event_day,
     "stream_late_rows": stream_late_rows,
+    "stream_event_series": stream_event_series,
     **{f"stream_{name}": _day_summary(name) for name in jobs.DAY_SUMMARIES},
     "stream_order_join": stream_order_join,
     "stream_fan_out": stream_fan_out,

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings every job of the package expects; all can change at run time.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 RUNTIME_CONF = {
     # Instants are stored in UTC; business days are computed with a fixed +08:00 shift.
     "spark.sql.session.timeZone": "UTC",
@@ -16,13 +18,13 @@ RUNTIME_CONF = {
     # Hot join keys are split at run time, even where that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # State with timers and maps needs it, and it does not live on the heap.
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
 }
 
 # Settings fixed when a session starts. Call sites of column expressions only serve error messages.
 START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply RUNTIME_CONF to a session made by somebody else."""

@@ -78,7 +78,7 @@ def typed_changes(raw: DataFrame, table: str, image: T.StructType) -> DataFrame:
 
 
 # One schema for both kinds of image, so the log is read and parsed once.
-_ORDER_OR_CARGO = T.StructType(
+ORDER_OR_CARGO = T.StructType(
     schemas.ORDER_INFO.fields + [f for f in schemas.ORDER_CARGO.fields if f.name not in schemas.ORDER_INFO.names])
 
 
@@ -105,7 +105,7 @@ def order_changes(raw: DataFrame) -> DataFrame:
     one that does not apply is null), place (in the database's log, which orders changes of one instant).
     """
     # One parse: the table test reads the parsed envelope.
-    events = of_tables(normalize(live_changes(parse_envelope(raw, _ORDER_OR_CARGO)), ()), ["order_info", "order_cargo"])
+    events = of_tables(normalize(live_changes(parse_envelope(raw, ORDER_OR_CARGO)), ()), ["order_info", "order_cargo"])
     is_order = F.col("table") == "order_info"
     return events.select(
         F.when(is_order, F.col("after.id")).otherwise(F.col("after.order_id")).alias("order_id"),
@@ -115,6 +115,14 @@ def order_changes(raw: DataFrame) -> DataFrame:
         F.when(~is_order, _cargo_image(F.col("after"))).alias("cargo"), place_of(F.col("source")).alias("place"))
 
 
+def once(changes: DataFrame, within: str) -> DataFrame:
+    """Events of a stream without those that a writer sent again: the first of each place in the database's log.
+
+    `within` is how much event time may lie between a message and its repetition, and how long its place is remembered.
+    """
+    return changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within).dropDuplicatesWithinWatermark(["place"])
+
+
 def bound_changes(raw: DataFrame) -> DataFrame:
     return typed_changes(raw, "order_org_bound", schemas.ORDER_ORG_BOUND)
 
@@ -132,6 +140,6 @@ def dim_changes(raw: DataFrame, tables: list[str] | None = None) -> DataFrame:
 
 
 def routing_changes(raw: DataFrame, table: str = schemas.CONFIG_TABLE) -> DataFrame:
-    """Events of the routing table, deletes included: op, before, after, ts."""
-    events = parse_envelope(of_tables(raw, [table]), schemas.CONFIG_DIM)
+    """Events of the routing table, deletes included: op, before, after, ts, place."""
+    events = parse_envelope(of_tables(raw, [table]), schemas.CONFIG_DIM).withColumn("place", place_of(F.col("source")))
     return events.withColumnRenamed("ts_ms", "ts").drop("source")

@@ -1,84 +1,115 @@
-"""Order rows meet the cargo row of the same waybill: the rules of `operators.order_join` with state.
+"""Order rows meet the cargo row of the same waybill: the rules of `operators.order_join` with state, for rows in any order.
 
-Per waybill the state keeps the held cargo and the waiting order as JSON text. The held cargo goes
-with the cancel or the signing, the waiting order once its time is over. Times come from the events,
-never from the clock of the machine, so a replay gives the same facts. Rows of one waybill in one
-micro-batch are put in log order first; the size of a micro-batch is bounded by the source options
-(maxFilesPerTrigger, maxOffsetsPerTrigger), and so is what a task holds for one waybill.
+A waybill's rows wait in a reorder buffer, parted into buckets of event time, until the watermark passes the end of their bucket; a timer stands
+there. Timers of a waybill fire in the order of time, so its rows meet the rules in log order, however they came; only the rows of one bucket
+are put in order together. The watermark's delay says how far out of order rows may be; those that come later than that are
+taken when they come. Times are those of the events, so a replay in other micro-batches gives the same facts.
+
+Per waybill the state keeps the buffer, the held cargo and the waiting order. Images go through as text that nothing in between reads, and only
+with the fields that `narrow_images` left. The held cargo goes with the cancel or the signing, the waiting order once its time is over.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import Row
 
 from waybill.operators.order_join import CLEARING_FACTS, relevant
 
-_STATE = "image string, since bigint"
-_OUT = "fact string, cargo string, `order` string"
+_FIELDS = ["ms", "place", "tbl", "op", "status", "cargo_id", "step", "image"]
+_ROW = "ms bigint, place string, tbl string, op string, status string, cargo_id string, step string, image string"
+_KEPT = "cargo string, waiting string, since bigint"
+_OUT = ["fact", "cargo", "order"]
+_IMAGE_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
-
-def _log_order(row: Row):
-    return row.ms, row.place, row.tbl, row.op, row.status or "", row.cargo_id or ""
+# Length of a bucket of the reorder buffer.
+BUCKET_MS = 60_000
 
 
 class OrderJoin(StatefulProcessor):
     """Facts of one waybill from its order and cargo rows."""
 
-    def __init__(self, ttl_ms: int, clear_on: tuple[str, ...]) -> None:
-        self.ttl_ms = ttl_ms
-        self.clear_on = clear_on
+    def __init__(self, ttl_ms: int, clear_on: tuple[str, ...], bucket_ms: int) -> None:
+        self.ttl_ms, self.clear_on, self.bucket_ms = ttl_ms, clear_on, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cargo_state = handle.getValueState("cargo", _STATE)
-        self.order_state = handle.getValueState("waiting", _STATE)
-
-    def handleInputRows(self, key, rows, timerValues):
-        kept = [self._read(self.cargo_state), self._read(self.order_state)]
-        cargo, waiting = kept
-        for row in sorted(rows, key=_log_order):
-            if waiting and row.ms - waiting[1] >= self.ttl_ms:
-                waiting = None
-            if row.tbl == "order_cargo":
-                cargo = (row.cargo, row.ms)
+        self.handle = handle
+        self.kept = handle.getValueState("kept", _KEPT)
+        self.buffer = handle.getMapState("buffer", "due bigint", f"rows array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            due = (part["ms"] // self.bucket_ms + 1) * self.bucket_ms
+            part = part[_FIELDS].astype(object).where(part[_FIELDS].notna(), None)
+            for at, some in part.groupby(due, sort=False):
+                at, new = int(at), list(some.itertuples(index=False, name=None))
+                if self.buffer.containsKey((at,)):
+                    new = [tuple(r) for r in self.buffer.getValue((at,))[0]] + new
+                else:
+                    self.handle.registerTimer(at)
+                self.buffer.updateValue((at,), (new,))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.buffer.containsKey((due,)):
+            return
+        rows = [tuple(r) for r in self.buffer.getValue((due,))[0]]
+        self.buffer.removeKey((due,))
+        before = tuple(self.kept.get()) if self.kept.exists() else (None, None, None)
+        facts, after = self.in_order(rows, before)
+        if after == (None, None, None):
+            self.kept.clear()
+        elif after != before:
+            self.kept.update(after)
+        if facts:
+            yield pd.DataFrame(facts, columns=_OUT)
+
+    def in_order(self, rows: list[tuple], kept: tuple) -> tuple[list[tuple], tuple]:
+        """Facts of the rows of one bucket, and what is kept after them: held cargo, waiting order and since when it waits."""
+        cargo, waiting, since = kept
+        facts = []
+        for ms, _, tbl, op, _, _, step, image in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3], r[4] or "", r[5] or "")):
+            if waiting and ms - since >= self.ttl_ms:
+                waiting = since = None
+            if tbl == "order_cargo":
+                cargo = image
                 if waiting:
-                    yield Row(fact="detail", cargo=row.cargo, order=waiting[0])
-            elif row.op == "c" and cargo:
-                yield Row(fact="detail", cargo=cargo[0], order=row.order)
-            elif row.op == "c":
-                waiting = (row.order, row.ms)
-            elif row.step and cargo:
-                yield Row(fact=row.step, cargo=cargo[0], order=row.order)
-                cargo = None if row.step in self.clear_on else cargo
-        for state, old, new in ((self.cargo_state, kept[0], cargo), (self.order_state, kept[1], waiting)):
-            if new and new != old:
-                state.update(new)
-            elif old and not new:
-                state.clear()
-
-    @staticmethod
-    def _read(state):
-        value = state.get() if state.exists() else None
-        return tuple(value) if value else None
+                    facts.append(("detail", cargo, waiting))
+            elif op == "c" and cargo:
+                facts.append(("detail", cargo, image))
+            elif op == "c":
+                waiting, since = image, ms
+            elif step and cargo:
+                facts.append((step, cargo, image))
+                cargo = None if step in self.clear_on else cargo
+        return facts, (cargo, waiting, since)
 
     def close(self) -> None:
         pass
 
 
 def join_orders(
-    changes: DataFrame, ttl_seconds: float = 5, clear_on: tuple[str, ...] = CLEARING_FACTS
+    changes: DataFrame, ttl_seconds: float = 5, clear_on: tuple[str, ...] = CLEARING_FACTS, delay: str = "0 seconds", bucket_ms: int = BUCKET_MS
 ) -> DataFrame:
-    """(fact, cargo, order) rows of a stream of typed changes; needs the RocksDB state provider."""
+    """(fact, cargo, order) rows of a stream of typed changes; needs the RocksDB state provider.
+
+    `delay` is how far behind the newest row others may come. Facts go out when the watermark passes their bucket, so the last ones wait for a later row, which
+    may be one without order_id.
+    """
     kinds = {c: changes.schema[c].dataType for c in ("cargo", "order")}
-    text = {c: F.to_json(c, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}) for c in kinds}
-    rows = relevant(changes).select(
-        "order_id", "tbl", "op", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-        F.col("order.status").alias("status"), F.col("cargo.id").alias("cargo_id"),
-        F.col("_status").alias("step"), F.coalesce("place", F.lit("")).alias("place") if "place" in changes.columns else F.lit("").alias("place"),
-        *[t.alias(c) for c, t in text.items()])
-    joined = rows.groupBy("order_id").transformWithState(
-        OrderJoin(int(ttl_seconds * 1000), clear_on), outputStructType=_OUT, outputMode="append", timeMode="None")
-    images = [F.from_json(c, kind, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias(c) for c, kind in kinds.items()]
-    return joined.select("fact", *images)
+    timed = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    place = F.coalesce("place", F.lit("")) if "place" in changes.columns else F.lit("")
+    # Rows without order_id move the watermark, so they must not be filtered before it: the test names the time, too.
+    timed = timed.withColumn("order_id", F.when(F.col("ts").isNotNull(), F.col("order_id")))
+    # Without the time column itself: rows behind the watermark are not dropped.
+    rows = relevant(timed).select(
+        "order_id", F.unix_millis("ts").alias("ms"), place.alias("place"), "tbl", "op", F.col("order.status").alias("status"), F.col("cargo.id").alias("cargo_id"),
+        F.col("_status").alias("step"), F.coalesce(*[F.to_json(c, _IMAGE_TIME) for c in kinds]).alias("image"))
+    joined = rows.groupBy("order_id").transformWithStateInPandas(
+        OrderJoin(int(ttl_seconds * 1000), clear_on, bucket_ms), outputStructType="fact string, cargo string, `order` string", outputMode="append", timeMode="EventTime")
+    return joined.select("fact", *[F.from_json(c, kind, _IMAGE_TIME).alias(c) for c, kind in kinds.items()])
