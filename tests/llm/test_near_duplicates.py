@@ -112,3 +112,12 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in part if any(x in p and p[0] != p[1] for p in links)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+@pytest.mark.parametrize("tasks", [1, 2])
+def test_words_that_polynomials_confuse_are_not_linked(spark, n, tasks):
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    df = spark.createDataFrame(list(enumerate([*texts, *(f"{t} with some more" for t in texts)])), "doc_id long, text string").repartition(tasks, "doc_id")
+    assert {r.doc_id: r.component_id for r in nd.near_duplicates(df, 4, 80).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}

@@ -42,48 +42,38 @@ _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+# Fixed value: the key of the word hashes. Executors must agree on it.
+_KEY = b"near-duplicates"
+#: Words whose hashes a Python worker keeps.
+MAX_WORDS = 1_000_000
+
+
+class _WordHashes(dict):
+    """64-bit keyed hashes of words; what a Python worker has met is kept, up to MAX_WORDS."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MAX_WORDS:
+            self.clear()
+        n = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        return n
+
+
+_HASHES = _WordHashes()
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a text of fewer than `width` words is one shingle, without words none."""
-    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b"\n".join(parts), np.uint8)]
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    solid = ~_WHITE[data]
-    if not solid.any():
-        return [np.zeros(0, np.uint64)] * len(texts)
-    edges = np.diff(np.concatenate(([False], solid, [False])).astype(np.int8))
-    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    lengths = last - first
-    # A polynomial in an odd base over the bytes of each word.
-    powers = np.full(int(lengths.max()), _STEP, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    terms = (data[solid].astype(np.uint64) + np.uint64(0x2545F491)) * powers[inside]
-    words = mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) ^ (lengths.astype(np.uint64) << np.uint64(48)))
-    upto = np.searchsorted(first, ends)
-    rolled = words[:max(0, len(words) - width + 1)].copy()
-    for k in range(1, width):
-        rolled = rolled * _STEP + words[k:k + len(rolled)]
-    rolled = mix(rolled)
-    out, begin = [], 0
-    for end in upto.tolist():
-        n = end - begin
-        if n >= width:
-            out.append(np.unique(rolled[begin:end - width + 1]))
-        elif n:
-            whole = np.array([n], np.uint64)
-            for k in range(begin, end):
-                whole = whole * _STEP + words[k:k + 1]
-            out.append(mix(whole))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        begin = end
+    out = []
+    for text in texts:
+        # bytes.lower() turns A-Z only, bytes.split() parts at exactly the white space of WORD.
+        named = text.encode("utf-8", "surrogatepass").lower().split()
+        words = np.fromiter(map(_HASHES.__getitem__, named), np.uint64, len(named))
+        size = min(width, len(words))
+        rolled = words[:len(words) - size + 1].copy() if size else words
+        for k in range(1, size):
+            rolled = rolled * _STEP + words[k:k + len(rolled)]
+        # A whole text of fewer words is never a shingle of another length.
+        out.append(np.unique(mix(rolled if size == width else rolled ^ np.uint64(size))) if size else words)
     return out
 
 
