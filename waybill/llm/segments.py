@@ -3,8 +3,8 @@
 A byte-level BPE tokenizer first cuts a text into pieces (words with their leading space, numbers, runs of signs,
 white space) and then encodes each piece by itself. The cutting is a transducer of nine states over eighteen symbols,
 one output per started piece. A text may be read from any place: the map of a chunk says, for every state before
-it, the state after it and the number of pieces it starts; maps of neighbours compose, and a prefix scan of them
-gives the state before every chunk. The chunks are so worked side by side, whatever a text's length.
+it, the state after it; maps of neighbours compose, and a prefix scan of them gives the state before every chunk. From there the
+chunks are read once more, side by side, whatever a text's length, and put out where pieces start.
 """
 
 from __future__ import annotations
@@ -137,16 +137,24 @@ def chunk_maps(rows: np.ndarray) -> np.ndarray:
     return at // np.uint8(2 * FIRST)
 
 
-def piece_hashes(codes: np.ndarray, starts: np.ndarray, powers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the length of each piece. powers: a list of one array, which grows with the longest piece."""
+def equal_pieces(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces with the same characters as one group: a place of each group among the pieces, and the group of each piece.
+
+    Pieces are grouped by a hash, then each is compared with its group's first one; where two differ, all are grouped by their characters.
+    """
     lengths = np.diff(np.append(starts, len(codes)))
-    longest = int(lengths.max(initial=0))
-    if len(powers[0]) < longest:
-        grown = np.full(2 * longest, _ODD, np.uint64)
-        grown[0] = 1
-        powers[0] = np.multiply.accumulate(grown)
     inside = np.arange(len(codes)) - np.repeat(starts, lengths)
-    terms = (codes.astype(np.uint64) + np.uint64(0x51ED27)) * powers[0][inside]
-    hashes = np.add.reduceat(terms, starts) if len(starts) else np.zeros(0, np.uint64)
-    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return hashes ^ (hashes >> np.uint64(32)) ^ lengths.astype(np.uint64), lengths
+    powers = np.full(int(lengths.max()), _ODD, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    hashes = np.add.reduceat((codes + np.uint64(0x51ED27)) * powers[inside], starts) ^ (lengths.astype(np.uint64) << np.uint64(40))
+    _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+    same = lengths == lengths[first][group]
+    # Where lengths differ the comparison would run over another piece's end.
+    model = np.repeat(np.where(same, starts[first][group], starts), lengths) + inside
+    if not same.all() or not np.array_equal(codes[model], codes):
+        known: dict[bytes, int] = {}
+        ends = np.append(starts[1:], len(codes))
+        group = np.array([known.setdefault(codes[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist())])
+        first = np.unique(group, return_index=True)[1]
+    return first, group

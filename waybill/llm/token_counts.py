@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from waybill.llm.common import blocks, bounded_batches, codes, texts_of
-from waybill.llm.segments import Segmenter, piece_hashes
+from waybill.llm.segments import Segmenter, equal_pieces
 
 MAX_STATES = 150_000
 MAX_PIECES = 2_000_000
+#: Characters from which a piece is counted anew each time.
+LONG = 64
 BEGIN = -1
 
 
@@ -119,8 +121,21 @@ class PieceTransducer:
         return total
 
 
+class _Known(dict):
+    """Token counts by piece; a piece that is missing is counted, and kept unless it is long."""
+
+    def __init__(self, count) -> None:
+        self.count = count
+
+    def __missing__(self, piece: str) -> int:
+        n = self.count(piece.encode())
+        if len(piece) <= LONG:
+            self[piece] = n
+        return n
+
+
 class Counter:
-    """Counts tokens of texts; distinct pieces are counted once while they fit MAX_PIECES."""
+    """Counts tokens of texts. Pieces are known by their characters, not by a hash of them, and counted once while they fit MAX_PIECES."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -128,8 +143,7 @@ class Counter:
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.segments, self.transducer = Segmenter(tokenizer), PieceTransducer(tokenizer)
-        self.known: dict[int, int] = {}
-        self.powers = [np.zeros(0, np.uint64)]
+        self.known = _Known(self.transducer.count)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         parts, owners, total = split_special(texts, self.special)
@@ -137,19 +151,14 @@ class Counter:
         starts = self.segments.starts(at, borders)
         if not len(starts):
             return total
-        hashes, lengths = piece_hashes(at, starts, self.powers)
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MAX_PIECES:
+        if len(self.known) > MAX_PIECES:
             self.known.clear()
-        known, count, keys = self.known, self.transducer.count, distinct.tolist()
-        found = [known.get(h) for h in keys]
-        if None in found:
-            joined = "".join(parts)
-            for k, n in enumerate(found):
-                if n is None:
-                    begin = starts[first[k]]
-                    found[k] = known[keys[k]] = count(joined[begin:begin + lengths[first[k]]].encode())
-        per_piece = np.array(found, np.int64)[place]
+        joined = "".join(parts)
+        first, group = equal_pieces(at, starts)
+        begin = starts[first].tolist()
+        end = np.append(starts, len(at))[first + 1].tolist()
+        distinct = np.array([self.known[joined[a:b]] for a, b in zip(begin, end)], np.int64)
+        per_piece = distinct[group]
         np.add.at(total, owners[np.searchsorted(borders, starts, "right") - 1], per_piece)
         return total
 
@@ -180,18 +189,21 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     results = "n_bytes long, n_tokens long, over_limit boolean"
     names = [f.split()[0] for f in results.split(", ")]
     kept = [c for c in docs.columns if c != text and c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text"))
+    whole = "_text"
+    while whole in kept:
+        whole += "_"
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(whole))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, Counter(path))
         for batch in batches:
-            texts = texts_of(batch.pop("_text"))
+            texts = texts_of(batch.pop(whole))
             n = np.zeros(len(texts), np.int64)
             for a, b in blocks(texts):
                 n[a:b] = counter.counts(texts[a:b])
             yield batch.assign(n_bytes=[len(t.encode()) for t in texts], n_tokens=n, over_limit=n > limit)
 
-    schema = source.drop("_text").schema
+    schema = source.drop(whole).schema
     for field in results.split(", "):
         schema = schema.add(*field.split())
     return source.mapInPandas(run, schema)
