@@ -97,3 +97,78 @@ def test_shortest_pack_first(seed):
         for length, each, _ in p.parts:
             placed[length] += each * p.count
     assert dict(placed) == histogram
+
+
+ENCODER = packing.Encoder(PATH)
+
+
+def swapped(n):
+    """Two words of n letters that every polynomial hash modulo a power of two confuses."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXTS)
+def test_ids_of_odd_texts(texts):
+    texts = [*texts, "a<|endoftext|>b <|endoftext|> ", " ".join(texts) * 5, "  ".join(texts), "it's, we'll. don't! x　 y\x85 z\xa0 1,2 a.\n b ..."]
+    assert [i.tolist() for i in ENCODER.ids(texts)] == [ids_of(t) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab'.,!é1 \n", max_size=30), max_size=30))
+def test_ids_of_words_with_signs(texts):
+    assert [i.tolist() for i in ENCODER.ids(texts)] == [ids_of(t) for t in texts]
+
+
+def test_every_settled_character_is_cut_alike():
+    """Each one after and before a letter, a number, a sign, a space and a line break."""
+    settled = [chr(c) for c in range(0x2100) if packing._SETTLED.fullmatch(chr(c))]
+    texts = [f"a{c}a 1{c}1 !{c}! {c} {c}{c}\n{c}a\n{c} {c}1 a{c} 1{c} {c}'s it'{c}s" for c in settled]
+    assert len(settled) > 600 and [i.tolist() for i in ENCODER.ids(texts)] == [ids_of(t) for t in texts]
+
+
+def test_random_letters_encode_alike():
+    r = random.Random(5)
+    texts = ["".join(r.choice("etaoinsrhldcumfé' ") for _ in range(400)) for _ in range(300)] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 590)])) for _ in range(200)) for _ in range(300)]
+    assert ENCODER.core and [i.tolist() for i in ENCODER.ids(texts)] == [ids_of(t) for t in texts]
+
+
+@pytest.mark.parametrize("change", [{"unk_token": "a"}, {"ignore_merges": True}])
+def test_other_tokenizers_are_left_to_the_library(tmp_path, change):
+    import json
+
+    given = json.loads(TOKENIZER.to_str())
+    given["model"].update(change)
+    (tmp_path / "t.json").write_text(json.dumps(given))
+    assert packing.Encoder(str(tmp_path / "t.json")).core is None
+    given = json.loads(TOKENIZER.to_str())
+    given["model"]["merges"][300:302] = given["model"]["merges"][300:302][::-1]
+    (tmp_path / "u.json").write_text(json.dumps(given))
+    turned = packing.Encoder(str(tmp_path / "u.json"))
+    assert turned.core is None and turned.ids(["some text 中"])[0].tolist() == Tokenizer.from_file(str(tmp_path / "u.json")).encode("some text 中", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+@pytest.mark.parametrize("tasks", [1, 2])
+def test_words_that_polynomials_confuse(spark, n, tasks):
+    a, b = swapped(n)
+    assert COUNTER.counts([a, b]).tolist() == [len(ids_of(a)), len(ids_of(b))] and [i.tolist() for i in ENCODER.ids([a, b])] == [ids_of(a), ids_of(b)]
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").repartition(tasks, "doc_id")
+    counted = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, PATH).collect()}
+    assert counted == {1: len(ids_of(a)), 2: len(ids_of(b))}
+    crc = lambda t: zlib.crc32(np.array([*ids_of(t), 1], "<u4").tobytes())
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(df, PATH).collect()} == {1: crc(a), 2: crc(b)}
+
+
+def test_a_column_with_the_name_of_a_helper(spark):
+    df = spark.createDataFrame([(1, "two words", "x", "y")], "doc_id long, text string, _text string, _text_ string")
+    row = token_counts.token_counts(df, PATH).first()
+    assert (row._text, row._text_, row.n_tokens) == ("x", "y", len(ids_of("two words")))
+
+
+def test_pieces_with_equal_hashes_are_told_apart():
+    a, b = swapped(1024)
+    at, borders = codes([a, b, a, "c", b, "c"])
+    first, group = segments.equal_pieces(at, borders[:-1])
+    assert len(first) == 3 and group[0] == group[2] != group[1] == group[4] and group[3] == group[5]
