@@ -28,18 +28,22 @@ CLEARING_FACTS = ("cancel", "sign")
 WAIT = "5 seconds"
 
 
+def wanted_fields(columns: list[str]) -> dict[str, set[str]]:
+    """Fields of the order and cargo images that the named detail columns and the join need."""
+    source = {name: c for c, name in CARGO_COLUMNS.items()}
+    return {
+        "order": {c for c in columns if c in ORDER_COLUMNS} | _RULE_FIELDS["order"],
+        "cargo": {source[c] for c in columns if c in source} | _RULE_FIELDS["cargo"],
+    }
+
+
 def narrow_images(changes: DataFrame, columns: list[str]) -> DataFrame:
     """Only the image fields that the named detail columns and the join need.
 
     Images travel through the shuffle as a whole, so a summary that reads five columns of the detail
-    should not ship all of them.
+    should not ship all of them. `sources.changes.order_changes` can leave the others out of the parse already.
     """
-    source = {name: c for c, name in CARGO_COLUMNS.items()}
-    wanted = {
-        "order": {c for c in columns if c in ORDER_COLUMNS} | _RULE_FIELDS["order"],
-        "cargo": {source[c] for c in columns if c in source} | _RULE_FIELDS["cargo"],
-    }
-    for image, names in wanted.items():
+    for image, names in wanted_fields(columns).items():
         kept = [F.col(f"{image}.{f}").alias(f) for f in changes.schema[image].dataType.names if f in names]
         changes = changes.withColumn(image, F.when(F.col(image).isNotNull(), F.struct(*kept)))
     return changes

@@ -14,7 +14,7 @@ from waybill import schemas
 from waybill.functions import masks
 from waybill.functions import scalars as S
 from waybill.operators import facts, lookups, refresh, reports, routing, snapshots, summaries
-from waybill.operators.order_join import join_orders_batch, narrow_images
+from waybill.operators.order_join import join_orders_batch, narrow_images, wanted_fields
 from waybill.plans import standins, streams
 from waybill.plans.wire import as_wire
 from waybill.session import prepare, shared_dir
@@ -82,9 +82,8 @@ def envelope_fields(spark, sf_dir):
 
 def log_order_facts(spark, sf_dir):
     """From raw JSON text to facts in one job."""
-    log = changes.order_changes(standins.order_log(spark, sf_dir))
-    joined = join_orders_batch(narrow_images(log, ["order_id", "amount"]))
-    return facts.waybill_detail(joined, columns=["order_id", "amount"])
+    log = changes.order_changes(standins.order_log(spark, sf_dir), wanted_fields(["order_id", "amount"]))
+    return facts.waybill_detail(join_orders_batch(log), columns=["order_id", "amount"])
 
 
 def topic_round_trip(spark, sf_dir):
@@ -93,8 +92,8 @@ def topic_round_trip(spark, sf_dir):
     standins.order_log(spark, sf_dir).select("value").write.text(topic)
     raw = changes.read_changes(spark, topic, "dwd", fmt="text", maxFilesPerTrigger="2")
     streams.finish(raw.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target))
-    log = changes.order_changes(spark.read.schema("value string").parquet(target))
-    return facts.waybill_detail(join_orders_batch(narrow_images(log, ["order_id", "amount"])), columns=["order_id", "amount"])
+    log = changes.order_changes(spark.read.schema("value string").parquet(target), wanted_fields(["order_id", "amount"]))
+    return facts.waybill_detail(join_orders_batch(log), columns=["order_id", "amount"])
 
 
 def topic_twice(spark, sf_dir):
@@ -111,10 +110,10 @@ def topic_twice(spark, sf_dir):
             topics.write_topic(part, topic, "text")
     raw = changes.read_changes(spark, topic, "dwd", fmt="text", maxFilesPerTrigger="2")
     # A message may come again as long as its part does: the topic as a whole spans seven years.
-    once = changes.once(changes.order_changes(raw), within="4000 days")
+    once = changes.once(changes.order_changes(raw, wanted_fields(["order_id", "amount"])), within="4000 days")
     streams.finish(once.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target))
     log = spark.read.schema(once.schema).parquet(target)
-    return facts.waybill_detail(join_orders_batch(narrow_images(log, ["order_id", "amount"])), columns=["order_id", "amount"])
+    return facts.waybill_detail(join_orders_batch(log), columns=["order_id", "amount"])
 
 
 def hard_order_facts(spark, sf_dir):

@@ -82,37 +82,44 @@ ORDER_OR_CARGO = T.StructType(
     schemas.ORDER_INFO.fields + [f for f in schemas.ORDER_CARGO.fields if f.name not in schemas.ORDER_INFO.names])
 
 
-def _order_image(image: Column) -> Column:
-    names = [n for n in schemas.ORDER_INFO.names if n != "is_deleted"]
-    return (
-        F.struct(*[image[n].alias(n) for n in names])
-        .withField("create_time", S.instant_of_iso(image["create_time"]))
-        .withField("update_time", S.instant_of_iso(image["update_time"]))
-        .withField("estimate_arrive_time", S.instant_of_wall_millis(image["estimate_arrive_time"]))
-    )
+# How fields are typed that are not on the wire as they should be.
+_TYPED = {
+    "order": {"create_time": S.instant_of_iso, "update_time": S.instant_of_iso, "estimate_arrive_time": S.instant_of_wall_millis},
+    "cargo": {"create_time": S.instant_of_iso},
+}
+_FIELDS = {
+    "order": [n for n in schemas.ORDER_INFO.names if n != "is_deleted"],
+    "cargo": [n for n in schemas.ORDER_CARGO.names if n not in ("update_time", "is_deleted")],
+}
 
 
-def _cargo_image(image: Column) -> Column:
-    names = [n for n in schemas.ORDER_CARGO.names if n not in ("update_time", "is_deleted")]
-    fields = F.struct(*[image[n].alias(n) for n in names])
-    return fields.withField("create_time", S.instant_of_iso(image["create_time"]))
+def _image(kind: str, image: Column, fields: set[str] | None) -> Column:
+    typed = _TYPED[kind]
+    return F.struct(*[
+        (typed[n](image[n]) if n in typed else image[n]).alias(n) for n in _FIELDS[kind] if fields is None or n in fields])
 
 
-def order_changes(raw: DataFrame) -> DataFrame:
+def order_changes(raw: DataFrame, fields: dict[str, set[str]] | None = None) -> DataFrame:
     """Typed changes of orders and cargo.
 
     Columns: order_id, tbl, op, ts (event time), before_status, order and cargo (after images; the
     one that does not apply is null), place (in the database's log, which orders changes of one instant).
+    With `fields` (see `operators.order_join.wanted_fields`) the images have only these, and the parser skips all others.
     """
+    schema = ORDER_OR_CARGO
+    if fields is not None:
+        needed = {"id", "order_id", "status"}.union(*fields.values())
+        schema = T.StructType([f for f in schema.fields if f.name in needed])
     # One parse: the table test reads the parsed envelope.
-    events = of_tables(normalize(live_changes(parse_envelope(raw, ORDER_OR_CARGO)), ()), ["order_info", "order_cargo"])
+    events = of_tables(normalize(live_changes(parse_envelope(raw, schema)), ()), ["order_info", "order_cargo"])
     is_order = F.col("table") == "order_info"
+    wanted = fields or {"order": None, "cargo": None}
     return events.select(
         F.when(is_order, F.col("after.id")).otherwise(F.col("after.order_id")).alias("order_id"),
         F.col("table").alias("tbl"), "op", F.timestamp_millis("ts").alias("ts"),
         F.when(is_order, F.col("before.status")).alias("before_status"),
-        F.when(is_order, _order_image(F.col("after"))).alias("order"),
-        F.when(~is_order, _cargo_image(F.col("after"))).alias("cargo"), place_of(F.col("source")).alias("place"))
+        F.when(is_order, _image("order", F.col("after"), wanted["order"])).alias("order"),
+        F.when(~is_order, _image("cargo", F.col("after"), wanted["cargo"])).alias("cargo"), place_of(F.col("source")).alias("place"))
 
 
 def once(changes: DataFrame, within: str) -> DataFrame:
