@@ -142,11 +142,13 @@ def top_products(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFra
     answered once, and queries with one vec_id but different vectors once each. Vectors of fewer components
     end in zeros. Fewer than k other rows give them all; an empty table gives no rows.
     """
-    vectors = staged(scaled(embeddings).withColumn("bucket", F.expr(_bucket("length"))), "vectors")
+    # Of rows that repeat an id and a vector no more than k can be in an answer; they are folded before they meet.
+    folded = scaled(embeddings).groupBy("vec_id", "v", "length").agg(F.count("*").alias("copies"))
+    each = folded.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k))))).drop("copies", "copy")
+    vectors = staged(each.withColumn("bucket", F.expr(_bucket("length"))), "vectors")
     sizes = vectors.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"))
     cut = vectors.join(sizes, "bucket").withColumn(
         "block", F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    # Rows that repeat an id and a vector many times stay together; numbering parts them.
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -192,10 +194,15 @@ def top_products(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFra
 
     asked = staged(dealt.select("lowest", "part", "vec_id", "v", "length", "least").groupBy("lowest", "part").applyInPandas(
         pack_queries, "lowest int, part int, q_ids binary, q_rows binary, q_kind string, q_length binary, q_least binary"), "queries")
-    # Blocks of queries meet the buckets they can use: an equi-join on the bucket. Numbers of buckets are few, as lengths double.
-    used = sorted(r["bucket"] for r in blocks.select("bucket").distinct().collect())
-    every_bucket = F.filter(F.array(*[F.lit(b) for b in used]), lambda b: b >= F.col("lowest"))
-    pairs = asked.withColumn("bucket", F.explode(every_bucket)).join(blocks, "bucket").repartition(F.xxhash64("lowest", "part", "bucket", "block"))
+    # Blocks of queries meet the blocks of the buckets they can use: an equi-join on bucket and block, so that lengths that are all alike are still
+    # as many keys as blocks. There are few buckets, as lengths double.
+    used = [(r["bucket"], r["blocks"]) for r in blocks.groupBy("bucket").agg((F.max("block") + 1).alias("blocks")).orderBy("bucket").collect()]
+    known = F.array(*[F.struct(F.lit(b).alias("bucket"), F.sequence(F.lit(0), F.lit(n - 1)).alias("blocks")) for b, n in used])
+    met = asked.withColumn("met", F.explode(F.filter(known, lambda b: b["bucket"] >= F.col("lowest"))))
+    met = met.select(*asked.columns, F.col("met.bucket").alias("bucket"), F.explode("met.blocks").alias("block"))
+    # Few bytes stand for much work here, which is not to be merged into few tasks.
+    tasks = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = met.repartition(tasks, "bucket", "block").join(blocks.repartition(tasks, "bucket", "block"), ["bucket", "block"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
