@@ -152,8 +152,10 @@ class Index:
         self.n, self.dim = shape["n"], max(shape["dim"] or 0, 2)
         dim = self.dim
         codes = int(np.clip(np.ceil(np.sqrt(self.n / BLOCK)), FEWEST_CODES, MOST_CODES))
-        # The rows first in the order of a hash: a sample that does not depend on partitions.
-        sample = rows.orderBy(F.xxhash64("vec_id", "label", "v"), "vec_id", "label").limit(SAMPLE).select("v").toPandas()["v"]
+        # Rows are distinct, so a share of their hashes is about that share of them, whatever the partitions; the order makes the fit repeatable.
+        space = 1 << 30
+        drawn = rows.where(F.pmod(F.xxhash64("vec_id", "label", "v"), F.lit(space)) < min(space, SAMPLE * space // max(1, self.n)))
+        sample = drawn.limit(2 * SAMPLE).select("v", "vec_id", "label").toPandas().sort_values(["vec_id", "label"], kind="stable")["v"]
         books = Codebooks(_matrix(sample, dim), codes)
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
