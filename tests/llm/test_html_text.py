@@ -144,5 +144,5 @@ def test_odd_rows(spark, network, given):
 
 
 def test_training_without_pages(spark):
-    network = H.train(spark.createDataFrame([], "page_id long, html string"), laid_out=20)
+    network = H.train(spark.createDataFrame([], "page_id long, url string, html string"), laid_out=20)
     assert H.Extractor(network).texts([""]) == [""]

@@ -469,9 +469,11 @@ def paragraphs_of(pages: list[str]) -> list[str]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, laid_out: int = PAGES) -> Network:
-    """A network trained on layouts of texts from a sample of the pages: the first ones in the order of a hash, `sample` at most."""
-    rows = pages.where(F.length("html") > 0).orderBy(F.xxhash64("html"), "html").limit(sample).select("html").collect()
-    layouts = Layouts(paragraphs_of([r.html for r in rows]))
+    """A network trained on layouts of texts from a sample of the pages: a share of their hashes that is about `sample` of them."""
+    n, space = pages.count(), 1 << 30
+    drawn = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(space)) < min(space, sample * space // max(1, n)))
+    rows = drawn.where(F.length("html") > 0).limit(2 * sample).select("html").collect()
+    layouts = Layouts(paragraphs_of(sorted(r.html for r in rows)))
     known = [p for p in (layouts.page() for _ in range(laid_out)) if p[0].texts]
     network = Network()
     network.train([p for p, _ in known], [y for _, y in known])
