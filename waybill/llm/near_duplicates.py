@@ -167,8 +167,8 @@ def _full_sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, width: int)
     ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     maps = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    # FILTER_BITS bits at most, whatever the number of documents.
-    held = {r["k"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little") for r in maps.collect()}
+    # FILTER_BITS bits at most, whatever the number of documents; kept packed.
+    held = {r["k"]: bytes(r["bits"]) for r in maps.collect()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = 1 << 15
@@ -179,7 +179,7 @@ def _full_sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, width: int)
             keep = np.zeros(len(batch), bool)
             for k, bits in held.items():
                 mine = number == k
-                keep[mine] = bits[bit[mine]].astype(bool)
+                keep[mine] = (np.frombuffer(bits, np.uint8)[bit[mine] >> 3] >> (bit[mine] & 7)) & 1 == 1
             texts = texts_of(batch["text"][keep])
             for a, b in blocks(texts):
                 sets = [s for s in shingle_sets(texts[a:b], width) if len(s)]
