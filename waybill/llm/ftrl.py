@@ -45,7 +45,10 @@ class FollowTheLeader:
 
 
 def temperature(logits: np.ndarray, labels: Iterable[int]) -> float:
-    """The divisor of the logits that gives the least log loss on rows that weights were not learned from."""
+    """The divisor of the logits that gives the least log loss on rows that weights were not learned from.
+
+    Where the loss has no minimum within the limits, as on rows without an error, nothing is learned from it: the divisor is 1.
+    """
     labels = np.fromiter(labels, np.int64)
     if not len(labels):
         return 1.0
@@ -55,8 +58,9 @@ def temperature(logits: np.ndarray, labels: Iterable[int]) -> float:
         top = scaled.max(1)
         return float(np.mean(np.log(np.exp(scaled - top[:, None]).sum(1)) + top - scaled[np.arange(len(labels)), labels]))
 
-    low, high = np.log(0.2), np.log(20.0)
-    for _ in range(60):
+    limits = low, high = np.log(0.02), np.log(50.0)
+    for _ in range(80):
         a, b = low + (high - low) / 3, high - (high - low) / 3
         low, high = (low, b) if loss(np.exp(a)) < loss(np.exp(b)) else (a, high)
-    return float(np.exp((low + high) / 2))
+    best = (low + high) / 2
+    return 1.0 if min(best - limits[0], limits[1] - best) < 1e-3 else float(np.exp(best))

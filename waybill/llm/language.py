@@ -25,6 +25,11 @@ ORDERS = (1, 2, 3)
 #: Rows that weights and temperature are learned from: at most about this many per language, and in all.
 PER_LANGUAGE, IN_ALL = 1500, 24_000
 ROUNDS = 3
+#: Stretches of a calibration row that the temperature is fitted on, and their characters (from, below).
+WINDOWS, WINDOW = 3, (6, 40)
+#: n-grams count as known if this share of all learned rows has them. A text is familiar if its share of known n-grams is SLACK times that which
+#: all but OUTSIDE of the calibration rows exceed.
+KNOWN_FROM, OUTSIDE, SLACK = 0.002, 0.005, 0.9
 
 
 @lru_cache(1)
@@ -63,19 +68,26 @@ def tf_idf(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.n
     return np.append(found, FEATURES).astype(np.int32), np.append(values, 1.0).astype(np.float32)
 
 
+def known_share(found: np.ndarray, counts: np.ndarray, known: np.ndarray) -> float:
+    """The share of a text's n-grams that the learned languages have."""
+    return float(counts[known[found]].sum() / counts.sum())
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     idf: np.ndarray
     weights: np.ndarray
     heat: float = 1.0
+    known: np.ndarray | None = None
+    least_known: float = 0.0
 
     def logits(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         rows, values = tf_idf(found, counts, self.idf)
         return values @ self.weights[rows]
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
-        names, scores = [], []
+        names, scores, familiar = [], [], []
         for a, b in blocks(texts):
             for found, counts in gram_counts(texts[a:b]):
                 if len(found) and self.languages:
@@ -83,10 +95,12 @@ class LanguageModel:
                     best = int(p.argmax())
                     names.append(self.languages[best])
                     scores.append(float(p[best]))
+                    familiar.append(known_share(found, counts, self.known) >= self.least_known)
                 else:
                     names.append(UNKNOWN)
                     scores.append(0.0)
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+                    familiar.append(False)
+        return pd.DataFrame({"lang_pred": names, "score": scores, "familiar": familiar})
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -118,7 +132,7 @@ def _document_frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, folds: int = 5, held_out: int = 0) -> LanguageModel:
     """A model from text and lang of the rows whose fold isn't `held_out` and whose lang and text aren't null.
 
-    Temperature is fitted on the fold after it. Without any such row the model knows no language.
+    Temperature and the limit of familiar texts are fitted on the fold after it. Without any such row the model knows no language.
     """
     bounded_batches(docs.sparkSession)
     part = fold(F.col("doc_id"), folds)
@@ -127,48 +141,70 @@ def train(docs: DataFrame, folds: int = 5, held_out: int = 0) -> LanguageModel:
     sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], np.ones(FEATURES), np.zeros((FEATURES + 1, 0)))
+        return LanguageModel([], np.ones(FEATURES), np.zeros((FEATURES + 1, 0)), known=np.zeros(FEATURES, bool))
     n_with, total = _document_frequencies(learn)
     idf = np.log((1 + total) / (1 + n_with)) + 1
+    known = n_with >= np.maximum(2, KNOWN_FROM * total)
 
     per_language = max(50, min(PER_LANGUAGE, IN_ALL // len(languages)))
     space = 1 << 30
     shares = F.create_map([x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(space, per_language * space // n)))])
     sample = learn.where(F.pmod("draw", F.lit(space)) < shares[F.col("lang")])
 
+    calibration = (held_out + 1) % folds
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = texts_of(batch["text"])
-            rows = [r for a, b in blocks(texts) for r in gram_counts(texts[a:b])]
-            yield pd.DataFrame({
-                "part": batch["part"], "lang": batch["lang"], "draw": batch["draw"],
-                "found": [f.astype(np.int32) for f, _ in rows], "counts": [c.astype(np.int32) for _, c in rows]})
+            texts, parts = texts_of(batch["text"]), batch["part"].to_numpy()
+            for a, b in blocks(texts):
+                out = []
+                for k, (found, counts) in zip(range(a, b), gram_counts(texts[a:b])):
+                    if not len(found):
+                        continue
+                    key = batch["draw"].iloc[k], batch["lang"].iloc[k]
+                    if parts[k] != calibration:
+                        out.append((*key, False, 0.0, *(x.tobytes() for x in tf_idf(found, counts, idf))))
+                        continue
+                    share = known_share(found, counts, known)
+                    for window, few in gram_counts(windows(texts[k], int(key[0]))):
+                        if len(window):
+                            out.append((*key, True, share, *(x.tobytes() for x in tf_idf(window, few, idf))))
+                yield pd.DataFrame(out, columns=["draw", "lang", "calibrates", "share", "found", "values"])
 
     label = {name: k for k, name in enumerate(languages)}
-    drawn = sample.mapInPandas(run, "part long, lang string, draw long, found array<int>, counts array<int>").where("size(found) > 0")
-    # The bounded sample, in Arrow's narrow form.
-    held = drawn.toArrow().combine_chunks()
-    keys = zip(*(held[c].to_pylist() for c in ("draw", "lang", "part")))
-    lists = [[x.values.to_numpy() for x in held[c]] for c in ("found", "counts")]
-    rows = sorted(((*key, *tf_idf(f, n, idf)) for key, f, n in zip(keys, *lists)), key=lambda r: r[:3])
-    data = [(found, values, label[lang]) for _, lang, _, found, values in rows]
-    calibrate = [part == (held_out + 1) % folds for _, _, part, _, _ in rows]
-    leader = FollowTheLeader(FEATURES + 1, len(languages)).fit([d for d, c in zip(data, calibrate) if not c], ROUNDS)
-    model = LanguageModel(languages, idf, leader.weights().astype(np.float32))
-    others = [d for d, c in zip(data, calibrate) if c]
+    # The bounded sample as rows of bytes in one Arrow table, which the arrays below only look into.
+    held = sample.mapInPandas(run, "draw long, lang string, calibrates boolean, share double, found binary, values binary").toArrow()
+    keys = sorted(zip(held["draw"].to_pylist(), held["lang"].to_pylist(), held["calibrates"].to_pylist(), range(held.num_rows)))
+    found, values, share = (held[c] for c in ("found", "values", "share"))
+    bytes_of = lambda column, k, kind: np.frombuffer(column[k].as_buffer(), kind)
+    rows = [(bytes_of(found, k, np.int32), bytes_of(values, k, np.float32), label[lang]) for _, lang, calibrates, k in keys if not calibrates]
+    leader = FollowTheLeader(FEATURES + 1, len(languages)).fit(rows, ROUNDS)
+    model = LanguageModel(languages, idf, leader.weights().astype(np.float32), known=known)
+    others = [(k, label[lang]) for _, lang, calibrates, k in keys if calibrates]
     if others:
-        model.heat = temperature(np.array([v @ model.weights[r] for r, v, _ in others]), [y for *_, y in others])
+        logits = np.array([bytes_of(values, k, np.float32) @ model.weights[bytes_of(found, k, np.int32)] for k, _ in others])
+        model.heat = temperature(logits, [y for _, y in others])
+        model.least_known = SLACK * float(np.quantile([share[k].as_py() for k, _ in others], OUTSIDE))
     return model
 
 
+def windows(text: str, draw: int) -> list[str]:
+    """A few short stretches of a text, their places drawn from `draw`. On whole texts a model errs too seldom for its confidence to be told."""
+    r = np.random.default_rng(draw & 0xFFFFFFFF)
+    sizes = r.integers(*WINDOW, WINDOWS)
+    return [text[a:a + n] for a, n in zip((r.random(WINDOWS) * np.maximum(1, len(text) - sizes)).astype(int).tolist(), sizes.tolist())]
+
+
 def judge(spark: SparkSession, model: LanguageModel):
-    """A function from a text column to a struct of lang_pred and score. Only the text is looked at, whole.
+    """A function from a text column to a struct of lang_pred, score and familiar. Only the text is looked at, whole.
 
-    lang_pred is `und` and score 0 where the text is null, has no letter, or the model knows no language.
+    lang_pred is `und`, score 0 and familiar false where the text is null, has no letter, or the model knows no language; of languages with one score the
+    first by name is named. familiar is false for texts made of n-grams that none of the languages has. Very long texts are worked whole, in blocks of
+    texts; an empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(model)  # FEATURES + 1 rows by the number of languages
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, familiar boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
         return shared.value.predict(texts_of(texts))
 
