@@ -21,13 +21,14 @@ BUCKETS = 4096
 BLOCK_CHARS = 1 << 20
 
 
-#: Rows that a Python step receives at once; texts may be long.
-BATCH_ROWS = 2000
+#: Rows and bytes that a Python step receives at once, unless a single row has more; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 25
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps what Spark hands to a Python step at once small."""
+    """Keeps what Spark hands to a Python step at once small, for this session from now on: queries are run after they are built."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
