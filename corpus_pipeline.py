@@ -14,8 +14,8 @@ from waybill.llm.queries import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Texts whose best language has less than this probability are rejected. Short or mixed texts of a known language have more.
-LEAST_SCORE = 0.35
+#: Texts whose best language has less than this probability are rejected, and texts unfamiliar to all languages.
+LEAST_SCORE = 0.5
 #: Words of a shingle, and the similarity in percent from which documents are near-duplicates.
 SHINGLE, SIMILAR = 5, 80
 
@@ -24,7 +24,8 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents in a language the model knows; it is trained on this stage's input."""
     rows = docs.select(F.struct("*").alias("row"))
     judged = rows.withColumn("judged", language.judge(spark, language.train(docs))("row.text"))
-    return judged.where((F.col("judged.lang_pred") != language.UNKNOWN) & (F.col("judged.score") >= LEAST_SCORE)).select("row.*")
+    kept = (F.col("judged.lang_pred") != language.UNKNOWN) & F.col("judged.familiar") & (F.col("judged.score") >= LEAST_SCORE)
+    return judged.where(kept).select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
