@@ -2,8 +2,8 @@
 
 Base entities are the seeds. Candidates are runs of words with digits or an `@` that look like an entity of a kind. The words around
 a candidate are its lexical patterns. Patterns and instances (distinct candidate texts) form a graph that is scored in rounds: a pattern
-by the instances it surrounds, an instance by its patterns. Patterns of high confidence then find candidates that the fixed
-patterns miss. DataFrame and SQL functions only.
+by the instances it surrounds, out of all places where its words stand in the corpus, an instance by its other patterns. Patterns of high
+confidence then find candidates that the fixed patterns miss. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -44,11 +44,12 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 SHAPES = {
     "email": r"{v} rlike '^[^\\s@]+@[^\\s@]+$'",
     "ip": r"{v} rlike '^[0-9]+(?:[.,:][0-9]+){{3}}$|^[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{0,4}}){{2,7}}$'",
-    "card": f"{{v}} rlike '^[0-9](?:[ ./-]?[0-9])++$' and length({_DIGITS}) between 12 and 19",
+    # Digits that fail the check digit are no card, whatever stands beside them.
+    "card": f"{{v}} rlike '^[0-9](?:[ ./-]?[0-9])++$' and {VALID['card']}",
     "phone": f"{{v}} rlike '^[+]?[(]?[0-9][0-9()./ -]*+$' and length({_DIGITS}) between 7 and 15",
 }
 #: Characters of context on either side of a candidate, rounds of scoring, distinct seeds a pattern needs, and its least confidence.
-CONTEXT, ROUNDS, SUPPORT, CONFIDENCE = 64, 3, 3, 0.8
+CONTEXT, ROUNDS, SUPPORT, CONFIDENCE = 256, 3, 3, 0.6
 
 
 def _literal(pattern: str) -> str:
@@ -109,27 +110,44 @@ def _patterns() -> Column:
 
 
 def _graph(candidates: DataFrame) -> DataFrame:
-    """Distinct edges (pattern, kind, value, seed) between patterns and instances."""
+    """Distinct edges (pattern, kind, value, seed, n) between patterns with a word in them and instances; n: how often they stand together."""
     rows = candidates.withColumn("kind", F.explode(F.array_union("seeds", "kinds"))).withColumn("pattern", F.explode(_patterns()))
-    return rows.groupBy("pattern", "kind", "value").agg(F.max(F.expr("array_contains(seeds, kind)")).alias("seed"))
+    worded = rows.where(F.col("pattern").rlike(r"^\S+ .*\p{L}"))
+    return worded.groupBy("pattern", "kind", "value").agg(F.max(F.expr("array_contains(seeds, kind)")).alias("seed"), F.count("*").alias("n"))
 
 
-def confident_patterns(candidates: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence) after ROUNDS rounds over the graph."""
+def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, occurrences): how often the words of the patterns stand anywhere in the texts, beside whatever."""
+    plain = F.expr("case when text rlike '[0-9]' then regexp_replace(lower(text), '[0-9]+', '0') else lower(text) end")
+    words = texts.select(F.split(F.trim(F.regexp_replace(plain, r"\s+", " ")), " ").alias("w"))
+    pairs = words.select(F.expr("inline(transform(w, (x, i) -> named_struct('one', x, 'two', case when i > 0 then concat(w[i - 1], ' ', x) end)))"))
+    marked = pairs.select(F.explode(F.expr("array(concat('L ', one), concat('LL ', two), concat('R ', one))")).alias("pattern"))
+    return marked.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("occurrences"))
+
+
+def confident_patterns(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence) after ROUNDS rounds over the graph.
+
+    A pattern's confidence is the share of all its occurrences in the corpus that stand beside an instance of the kind: seeds count
+    whole, other instances as far as their other patterns vouch for them. So words that stand beside everything are worth nothing, and no
+    pattern is raised by what only it supports.
+    """
     edges = staged(_graph(candidates), "edges")
-    scores = staged(edges.groupBy("value", "kind").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double")), "scores")
+    supported = staged(edges.groupBy("pattern", "kind").agg(F.expr("count_if(seed)").alias("support")).where(F.col("support") >= SUPPORT), "supported")
+    known = staged(_occurrences(texts, supported.select("pattern").distinct()), "occurrences")
+    edges = staged(edges.join(supported.join(known, "pattern"), ["pattern", "kind"]), "edges")
 
-    def patterns() -> DataFrame:
-        known = edges.drop("seed").join(scores, ["value", "kind"])
-        return known.groupBy("pattern", "kind").agg(
-            F.expr("round(sum(score) / (count(*) + 1), 6)").alias("confidence"), F.expr("count_if(seed)").alias("support")).where(F.col("support") >= SUPPORT)
+    def scored(vouched: DataFrame) -> DataFrame:
+        return vouched.groupBy("pattern", "kind", "occurrences").agg(F.sum(F.expr("n * score")).alias("beside")).select(
+            "pattern", "kind", F.expr("round(beside / (occurrences + 1), 6)").alias("confidence"))
 
+    patterns = staged(scored(edges.withColumn("score", F.col("seed").cast("double"))), "patterns")
     for _ in range(ROUNDS - 1):
-        missing = edges.join(patterns(), ["pattern", "kind"]).groupBy("value", "kind").agg(
-            F.expr("round(1 - exp(sum(ln(1 - least(confidence, 0.99D)))), 6)").alias("by_patterns"))
-        scores = staged(scores.join(missing, ["value", "kind"], "left").select(
-            "value", "kind", "seed", F.expr("case when seed then 1D else coalesce(by_patterns, 0D) end").alias("score")), "scores")
-    return patterns().where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence")
+        doubt = edges.join(patterns, ["pattern", "kind"]).withColumn("doubt", F.expr("ln(1 - least(confidence, 0.99D))"))
+        whole = doubt.groupBy("value", "kind").agg(F.sum("doubt").alias("all"))
+        others = doubt.join(whole, ["value", "kind"]).withColumn("score", F.expr("case when seed then 1D else round(1 - exp(least(all - doubt, 0D)), 6) end"))
+        patterns = staged(scored(others), "patterns")
+    return patterns.where(F.col("confidence") >= CONFIDENCE)
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -142,7 +160,7 @@ def located(docs: DataFrame) -> DataFrame:
     found = with_candidates(with_base(read)).select("doc_id", F.xxhash64("text").alias("text_hash"), "base", "candidates")
     found = staged(found, "found")
     rows = found.where(F.size("candidates") > 0).select("doc_id", "text_hash", F.inline("candidates"))
-    sure = confident_patterns(rows)
+    sure = confident_patterns(rows, read.select("text"))
     loose = rows.where(F.size("seeds") == 0).withColumn("kind", F.explode("kinds")).withColumn("pattern", F.explode(_patterns()))
     at = "case kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end"
     added = (
