@@ -259,6 +259,18 @@ def test_hidden_identifiers_are_found_by_their_contexts(spark, hidden):
     assert len(added & want) >= 0.9 * len(want) and len(added & want) >= 0.9 * len(added)
 
 
+def test_doubled_letters_of_words_that_count(letters):
+    suspects = {toxicity.collapsed(w): w for w in ("idiot", "worthless", "scum")}
+    texts = ["an iddiot and a letter", "worthless book", "worthles", "sccum"]
+    assert toxicity.restore(texts, letters, {}, suspects) == ["an idiot and a letter", "worthless book", "worthles", "scum"]
+    assert toxicity.restore(texts, letters, {}) == texts
+
+
+@pytest.mark.parametrize("text", ["good book!", "(see it)", "%%% *** ###", "money$$$ noise***", "a b", "1999 and 2001", "e.g. this", "what?!", "* item * item"])
+def test_plain_texts_stay(letters, text):
+    assert toxicity.restore([text], letters, {}) == [text]
+
+
 def test_native(spark, sf_dir):
     plan = personal_data.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -276,7 +288,8 @@ def letters(documents):
 
 @pytest.mark.parametrize("seen, meant", [
     ("1d10t", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("iiidiooot", "idiot"), ("w0rthl3ss", "worthless"), ("$cum", "scum"),
-    ("stuuupid", "stupid"), ("S-C-U-M", "scum")])
+    ("stuuupid", "stupid"), ("S-C-U-M", "scum"), ("i  d  i  o  t", "idiot"), ("i . d . i . o . t", "idiot"), ("s\nc\nu\nm", "scum"), ("sc*m", "scum"),
+    ("worthle$$", "worthless")])
 def test_restores_disguised_words(letters, seen, meant):
     assert toxicity.restore([f"the {seen} and that"], letters, {}) == [f"the {meant} and that"]
 

@@ -27,18 +27,20 @@ from waybill.llm.language import fold
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e"}
-#: What stands between letters that are set apart.
-BETWEEN = " .-_*"
-#: Costs (negative log) of the channel: a letter written as another sign, one repeated, a sign dropped.
-SWAP, REPEAT, DROP = 1.0, 0.3, 4.0
+#: Signs that stand for a letter behind others, too, where `!` or `(` would be plain punctuation; and one inside a word that hides a vowel.
+TRAILING, HIDING, VOWELS = "@$€", "*", "aeiou"
+#: What stands between letters that are set apart, one to GAP of them.
+BETWEEN, GAP = " .-_*\n\t", 3
+#: Costs (negative log) of the channel: a letter written as another sign, one repeated, a sign dropped, a vowel hidden.
+SWAP, REPEAT, DROP, HIDE = 1.0, 0.3, 4.0, 2.0
 
 #: Language model: n-grams of this order, hashed to this many counters. A context's counter is that of its n-gram without the last letter.
 ORDER, COUNTERS = 4, 1 << 18
 ALPHABET = 40
 SMOOTH = 4.0
 
-#: The classifier is fitted on at most this many labelled rows and this many words or beginnings.
-LABELLED, WORDS = 20_000, 4096
+#: The classifier is fitted on at most this many labelled rows (twice that of different texts, where ids repeat) and this many words or beginnings.
+LABELLED, WORDS = 20_000, 1 << 16
 #: Least log likelihood ratio of a word between both labels; below it chance explains the difference.
 LEAST_RATIO = 4.0
 PREFIXES = (5, 7)
@@ -46,6 +48,7 @@ ROUNDS = 10
 
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
+_APART = re.compile(f"[{re.escape(BETWEEN)}]+")
 
 
 def _symbol(char: str) -> int:
@@ -100,20 +103,21 @@ class LetterModel:
         return found
 
 
-def decode(token: str, model: LetterModel) -> str:
-    """The best path through the lattice of a disguised word. Paths with the same last three letters are one state, so work is linear in the length."""
+def decode(token: str, model: LetterModel, least_run: int = 3) -> str:
+    """The best path through the lattice of a disguised word, in which runs of `least_run` equal letters may be repetitions. Paths with the same last three letters are one state, so work is linear in the length."""
     # State: last three symbols and last letter -> (cost, letters so far as a linked list).
     states: dict[tuple, tuple[float, tuple | None]] = {(0, 0, 0, ""): (0.0, None)}
-    spaced = len(token) > 2 and all(c in BETWEEN for c in token[1::2])
-    if spaced:
-        token = token[::2]
-    long_runs = {c for c, n in ((m[1], len(m[0])) for m in _RUN.finditer(token)) if n > 2}
+    apart = _APART.split(token)
+    if len(apart) > 2 and all(len(c) == 1 for c in apart):
+        token = "".join(apart)
+    runs = {m[1] for m in _RUN.finditer(token) if len(m[0]) >= least_run}
     for char in token:
         options = [(x, SWAP) for x in LEET.get(char, "")]
         if char.isalpha():
             options.append((char, 0.0))
         elif not options:
             options.append(("", DROP))
+            options += [(v, HIDE) for v in VOWELS if char in HIDING]
         new: dict[tuple, tuple[float, tuple | None]] = {}
         for (a, b, c, last), (cost, path) in states.items():
             for letter, extra in options:
@@ -122,7 +126,7 @@ def decode(token: str, model: LetterModel) -> str:
                     key, total = (b, c, d, letter), cost + extra + model.cost(a, b, c, d)
                     if key not in new or total < new[key][0]:
                         new[key] = total, (path, letter)
-                if not letter or letter == last and (char in long_runs or len(options) > 1):
+                if not letter or letter == last and (char in runs or len(options) > 1):
                     total = cost + extra + (REPEAT if letter else 0)
                     key = (a, b, c, last)
                     if key not in new or total < new[key][0]:
@@ -136,62 +140,96 @@ def decode(token: str, model: LetterModel) -> str:
     return "".join(reversed(out))
 
 
-def disguised(texts: list[str]) -> list[list[tuple[int, int]]]:
-    """Where disguised words are in texts in lower case: words with three equal letters in a row, a sign for a letter before a
-    letter, or a digit after one; and three or more single letters set apart by single separators."""
-    chars, borders = codes([f"   {t}   " for t in texts])
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.diff(np.concatenate(([False], mask, [False])).astype(np.int8))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def disguised(texts: list[str]) -> list[list[tuple[int, int, bool]]]:
+    """Where disguised words may be in texts in lower case, by place: (first, last, sure).
+
+    Sure ones are words with three equal letters in a row, a sign for a letter before a letter, one or two TRAILING signs or a digit behind one, a
+    sign that hides a vowel between letters; and three or more single letters set apart by up to GAP separators. Words with a doubled letter
+    only may be.
+    """
+    chars, borders = codes([f"    {t}    " for t in texts])
     letter, swapped = _symbols()[chars] > 0, _swapped()[chars]
-    part = letter | (swapped > 0)
-    hit = np.zeros(len(chars), bool)
-    if len(chars) < 6:
+    if len(chars) < 9:
         return [[] for _ in texts]
+    hiding = np.zeros(len(chars), bool)
+    hiding[1:-1] = np.isin(chars[1:-1], [ord(c) for c in HIDING]) & letter[:-2] & letter[2:]
+    part = letter | (swapped > 0) | hiding
+    hit, doubled = hiding.copy(), np.zeros(len(chars), bool)
     same = letter[:-1] & (chars[:-1] == chars[1:])
-    hit[:-2] = same[:-1] & same[1:]
-    hit[:-1] |= (swapped[:-1] > 0) & letter[1:]
+    hit[:-2] |= same[:-1] & same[1:]
+    doubled[:-1] = same
+    # A bracket opens more often than it stands for a letter, but not behind one.
+    opens = chars == ord("(")
+    opens[1:] &= ~letter[:-1]
+    part &= ~opens
+    hit[:-1] |= (swapped[:-1] > 0) & ~opens[:-1] & letter[1:]
     hit[1:] |= letter[:-1] & (swapped[1:] == 2)
+    trailing = np.isin(chars, [ord(c) for c in TRAILING])
+    hit[1:-2] |= letter[:-3] & trailing[1:-2] & ~(trailing[2:-1] & trailing[3:])
     single = np.zeros(len(chars), bool)
     single[1:-1] = part[1:-1] & ~part[:-2] & ~part[2:]
-    between = np.isin(chars, [ord(c) for c in BETWEEN])
     chain = single.copy()
-    chain[1:-1] |= between[1:-1] & single[:-2] & single[2:]
-    spans = []
-    for mask, least, hits in ((part, 1, hit), (chain, 5, None)):
-        edges = np.diff(np.concatenate(([False], mask, [False])).astype(np.int8))
-        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        if hits is None:
-            chosen = last - first >= least
-        else:
-            chosen = np.zeros(len(first), bool)
-            chosen[np.searchsorted(first, np.flatnonzero(hits & mask), "right") - 1] = True
-        spans.append(np.stack([first[chosen], last[chosen]], 1))
-    spans = np.concatenate(spans)
+    for a, b in zip(*_runs(np.isin(chars, [ord(c) for c in BETWEEN]) & ~part)):
+        if 0 < a and b < len(chars) and b - a <= GAP and single[a - 1] and single[b]:
+            chain[a:b] = True
+    first, last = _runs(part)
+
+    def words_with(places: np.ndarray) -> np.ndarray:
+        chosen = np.zeros(len(first), bool)
+        chosen[np.searchsorted(first, np.flatnonzero(places & part), "right") - 1] = True
+        return chosen
+
+    sure = words_with(hit)
+    maybe = words_with(doubled) & ~sure
+    starts, ends = _runs(chain)
+    singles = np.concatenate(([0], np.cumsum(single)))
+    long = singles[ends] - singles[starts] >= 3
+    spans = np.concatenate([
+        np.stack([first[c], last[c], np.full(c.sum(), flag)], 1) for c, flag in ((sure, 1), (maybe, 0))] + [np.stack([starts[long], ends[long], np.ones(long.sum(), int)], 1)])
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    out: list[list[tuple[int, int, bool]]] = [[] for _ in texts]
     owner = np.searchsorted(borders, spans[:, 0], "right") - 1
-    for i, a, b in zip(owner.tolist(), *(spans - borders[owner][:, None] - 3).T.tolist()):
-        out[i].append((a, b))
+    for i, a, b, flag in zip(owner.tolist(), *(spans[:, :2] - borders[owner][:, None] - 4).T.tolist(), spans[:, 2].tolist()):
+        if not out[i] or a >= out[i][-1][1]:
+            out[i].append((a, b, bool(flag)))
     return out
 
 
-def restore(texts: list[str], model: LetterModel, known: dict[str, str]) -> list[str]:
-    """The texts in lower case with their disguised words restored. known: words restored before, kept up to a bound."""
-    texts = [t.lower() for t in texts]
+def collapsed(word: str) -> str:
+    """A word with each run of a letter as one."""
+    return _RUN.sub(r"\1", word)
+
+
+def restore(texts: list[str], model: LetterModel, known: dict[str, str], suspects: dict[str, str] | None = None) -> list[str]:
+    """The texts in lower case with their disguised words restored.
+
+    known: words restored before, kept up to a bound. suspects: words that count, by their collapsed form; a word with a doubled letter is decoded
+    if it is another way to write one of these.
+    """
+    texts, suspects = [t.lower() for t in texts], suspects or {}
     out = []
     for a, b in blocks(texts):
         for text, spans in zip(texts[a:b], disguised(texts[a:b])):
             parts, done = [], 0
-            for first, last in spans:
+            for first, last, sure in spans:
                 token = text[first:last]
+                if not sure and suspects.get(collapsed(token), token) == token:
+                    continue
                 word = known.get(token)
                 if word is None:
                     if len(known) > 100_000:
                         known.clear()
-                    word = decode(token, model)
+                    word = decode(token, model, 3 if sure else 2)
                     if len(token) <= 64:
                         known[token] = word
                 parts += [text[done:first], word]
                 done = last
-            out.append("".join([*parts, text[done:]]) if spans else text)
+            out.append("".join([*parts, text[done:]]) if parts else text)
     return out
 
 
@@ -229,7 +267,8 @@ class ToxicityModel:
 
     def scores(self, texts: list[str]) -> list[float]:
         out, names = [], self.words.keys()
-        for text in restore(texts, self.letters, self.known):
+        suspects = {collapsed(w): w for w in names if w[0] != "^"}
+        for text in restore(texts, self.letters, self.known, suspects):
             found = names & features(text)
             # In one order, so that sums of the same words are the same number.
             logits = self.bias + sum((self.words[w] for w in sorted(found)), np.zeros(2))
@@ -240,8 +279,8 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> ToxicityModel:
     """A model from at most LABELLED labelled rows whose fold isn't `held_out`; the letter model from all texts.
 
-    Words are chosen by their log likelihood ratio between both labels. Without labelled rows the score is 0 everywhere, with one label
-    only it is that label everywhere.
+    Words are chosen by their log likelihood ratio between both labels. Without labelled rows, as from empty tables, the score is 0 everywhere, with one label
+    only it is that label everywhere. Long texts are read whole.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -251,8 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
         .where((fold(F.col("doc_id"), folds) != held_out) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .orderBy(draw, "doc_id", "toxic").limit(LABELLED))
-    # LABELLED rows at most.
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id")
+    # LABELLED rows at most. Rows that repeat an id and a text count once.
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text", "toxic"])
     shared = spark.sparkContext.broadcast(letters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,6 +301,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": found})
 
     bags = staged(rows.mapInPandas(run, "doc_id long, toxic int, words array<string>"), "bags")
+    # Different texts under a labelled id may be many; of them a share of their hashes is kept.
+    total, space = bags.count(), 1 << 30
+    if total > 2 * LABELLED:
+        bags = bags.where(F.pmod(F.xxhash64("doc_id", "words"), F.lit(space)) < 2 * LABELLED * space // total)
     sizes = {r["toxic"]: r["n"] for r in bags.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
