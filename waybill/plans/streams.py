@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from waybill.operators import facts
 from waybill.functions.scalars import local_day
-from waybill.operators.order_join import SEQUENCE, join_orders_batch, narrow_images
+from waybill.operators import facts, reports
+from waybill.operators.order_join import SEQUENCE, join_orders_batch, narrow_images, wanted_fields
 from waybill.plans import standins
 from waybill.session import shared_dir
 from waybill.sources import files
+from waybill.sources.changes import order_changes, read_changes
 from waybill.streaming import dims, events, fanout, jobs, series
 from waybill.streaming.order_join import join_orders
 
@@ -201,6 +202,34 @@ def stream_order_join(spark, sf_dir):
     return run_to_table(spark, "order-join", lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)).drop("batch_id")
 
 
+def wired_chain(spark, sf_dir):
+    """From a topic of raw messages to the report: a stream joins orders and cargo and fans facts out, a second one reads the sink of placed
+    orders and keeps the summary of organisations, some of which come late; the amounts per day are read from its versions."""
+    root, columns = shared_dir(spark, "chain"), ["sender_district_id", "sender_city_id", "amount"]
+    at = F.get_json_object("value", "$.ts_ms").cast("long")
+    log = standins.order_log(spark, sf_dir).withColumn("at", at)
+    slices = max(LEAST_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    log.repartitionByRange(slices, "at").sortWithinPartitions("at").select("value").write.text(f"{root}/topic")
+    # A message two days after all others that belongs to no waybill.
+    last = log.agg(F.max("at").alias("at")).select(F.to_json(F.struct(
+        F.lit("c").alias("op"), F.struct(F.lit("end").alias("id")).alias("after"), F.struct(F.lit("order_cargo").alias("table")).alias("source"),
+        (F.col("at") + 2 * 86_400_000).alias("ts_ms"))).alias("value"))
+    begin = int(time.time() * 1000) - 3_600_000
+    for place, name in enumerate(files.names(spark, f"{root}/topic")):
+        files.set_time(spark, f"{root}/topic/{name}", begin + 1000 * place)
+    last.coalesce(1).write.mode("append").text(f"{root}/topic")
+
+    raw = read_changes(spark, f"{root}/topic", "dwd", fmt="text", maxFilesPerTrigger="2")
+    detail = facts.waybill_detail(join_orders(order_changes(raw, wanted_fields(columns))), columns=columns)
+    finish(fanout.start_fan_out(detail, f"{root}/facts", f"{root}/join", trigger=ONCE))
+
+    schema = detail.drop("fact").schema
+    placed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/facts/*/fact=detail")
+    finish(jobs.start_day_summary(
+        "org_order_day", placed, late_dims(spark, sf_dir, "base_organ"), f"{root}/summary", f"{root}/fold", ONCE, delay="1 day"))
+    return reports.order_amount_by_day(jobs.standing(spark.read.parquet(f"{root}/summary"), "org_order_day").withColumn("version", F.lit(0)), "version")
+
+
 def stream_fan_out(spark, sf_dir):
     stream = as_stream(spark, standins.bound_changes(spark, sf_dir), "bound-log", ["after.id", "op", "after.outbound_time"])
     steps = facts.bound_steps(stream)
@@ -222,6 +251,7 @@ QUERIES = {
     "stream_event_series": stream_event_series,
     **{f"stream_{name}": _day_summary(name) for name in jobs.DAY_SUMMARIES},
     "stream_order_join": stream_order_join,
+    "wired_chain": wired_chain,
     "stream_fan_out": stream_fan_out,
     "stream_dims": stream_dims,
 }
