@@ -46,7 +46,8 @@ def read_dim(spark: SparkSession, path: str, pk: str) -> DataFrame:
 
 
 def compact_dim(spark: SparkSession, path: str, target: str, pk: str) -> None:
-    """Current rows of a dimension as the first folder of a new one; readers then switch over."""
+    """Current rows of a dimension nobody writes to as the first folder of a new one; readers then switch over. Beside a writer, use
+    `sources.versions.VersionedTable`."""
     versions = latest_by_key(spark.read.parquet(path), [pk], ["seq", "batch_id"]).drop("batch_id")
     versions.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id=-1")
 
