@@ -66,8 +66,11 @@ class Encoder:
         texts = [w.decode("utf-8", "replace") for w in known]
         whole = [(t, i) for t, w, i in zip(texts, known, known.values()) if t.encode() == w]
         # The token of a whole word is what the library gives for it; tokens that are parts of characters can't be asked for, so the core is.
-        if any(e.ids != [i] for e, (t, i) in zip(self._alone([t for t, _ in whole]), whole) if _one_piece(t)):
-            return None
+        # A few at a time: what the library returns for a text is large.
+        for a in range(0, len(whole), 1000):
+            some = [(t, i) for t, i in whole[a:a + 1000] if _one_piece(t)]
+            if any(e.ids != [i] for e, (_, i) in zip(self._alone([t for t, _ in some]), some)):
+                return None
         if any(core._encode_single_piece(w) != [i] for w, i in known.items()):
             return None
         return tiktoken.Encoding("byte-level", pat_str=_CUT, mergeable_ranks=known, special_tokens={})
