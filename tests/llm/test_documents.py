@@ -337,3 +337,102 @@ def test_toxicity(spark, make, odd, empty):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7) for x in scored.values())
     assert toxicity.score_all(odd, labels.limit(0)).where("predicted = 0").count() == len(ODD)
     assert toxicity.score_all(empty, labels).count() == 0
+
+
+# Plain versions of the language model's parts
+
+
+def plain_grams(text):
+    """Features of a text's 1- to 3-grams, in whole numbers of 32 bits."""
+    kept = []
+    for c in f" {text.lower()} ":
+        if c.isalpha():
+            kept.append(c)
+        elif not kept or kept[-1] != " ":
+            kept.append(" ")
+    found = Counter()
+    for n in (1, 2, 3):
+        for k in range(len(kept) - n + 1):
+            h = 0
+            for c in kept[k:k + n]:
+                h = (h * 0x01000193 + ord(c)) % 2 ** 32
+            h = ((h ^ h >> 15) * 0x2C1B3C6D + n) % 2 ** 32
+            found[h * 0x9E3779B1 % 2 ** 32 >> 16] += 1
+    return found
+
+
+@pytest.mark.parametrize("texts", [["Ab, b--a!"], ["x", "", "12", "Ünï 中文 a b c"], ["The quick brown fox"] * 2 + ["  spaces\n\tand\x00more  "]])
+def test_gram_counts(texts):
+    for text, (found, counts) in zip(texts, language.gram_counts(texts), strict=True):
+        expected = plain_grams(text) if any(c.isalpha() for c in text) else {}
+        assert dict(zip(found.tolist(), counts.tolist())) == dict(expected)
+
+
+def test_tf_idf_row():
+    idf = np.linspace(1, 3, language.FEATURES)
+    rows, values = language.tf_idf(np.array([3, 70]), np.array([1, 5]), idf)
+    plain = [(1 + np.log(1)) * idf[3], (1 + np.log(5)) * idf[70]]
+    size = sum(v * v for v in plain) ** 0.5
+    assert rows.tolist() == [3, 70, language.FEATURES] and values.tolist() == pytest.approx([plain[0] / size, plain[1] / size, 1.0], rel=1e-6)
+
+
+def test_steps_of_the_leader():
+    """Two steps against the rule, one coordinate and class at a time."""
+    rate, offset, l1, l2 = 0.7, 1.3, 0.04, 0.02
+    leader = ftrl.FollowTheLeader(4, 3, rate, offset, l1, l2)
+    z, n = [[0.0] * 3 for _ in range(4)], [[0.0] * 3 for _ in range(4)]
+
+    def weight(i, c):
+        sign = 1 if z[i][c] > 0 else -1
+        return 0.0 if abs(z[i][c]) <= l1 else (sign * l1 - z[i][c]) / ((offset + n[i][c] ** 0.5) / rate + l2)
+
+    for rows, values, label in (([0, 2], [0.6, -0.8], 1), ([2, 3], [1.0, 0.5], 0), ([0, 3], [0.2, 0.9], 1)):
+        leader.learn(np.array(rows), np.array(values), label)
+        w = {(i, c): weight(i, c) for i in rows for c in range(3)}
+        logits = [sum(v * w[i, c] for i, v in zip(rows, values)) for c in range(3)]
+        total = sum(np.exp(x) for x in logits)
+        for i, v in zip(rows, values):
+            for c in range(3):
+                g = v * (np.exp(logits[c]) / total - (c == label))
+                z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / rate * w[i, c]
+                n[i][c] += g * g
+    np.testing.assert_allclose(leader.weights(), [[weight(i, c) for c in range(3)] for i in range(4)], rtol=1e-9)
+
+
+def test_temperature_is_within_its_limits():
+    r = np.random.default_rng(1)
+    labels = r.integers(0, 3, 400)
+    logits = r.normal(size=(400, 3)) + 2 * np.eye(3)[labels]
+    heat = ftrl.temperature(logits * 5, labels)
+    loss = lambda t: -np.log(ftrl.softmax(logits * 5 / t)[np.arange(400), labels]).mean()
+    assert loss(heat) <= min(loss(heat * 1.01), loss(heat * 0.99)) + 1e-9 and 2 < heat < 10
+    assert ftrl.temperature(np.eye(3)[labels], labels) == 1.0  # no error to learn from
+
+
+def plain_decode(token, model, least_run=3):
+    """All readings of a disguised word, the cheapest first."""
+    apart = [c for c in re.split(r"[ .\-_*\n\t]+", token)]
+    if len(apart) > 2 and all(len(c) == 1 for c in apart):
+        token = "".join(apart)
+    runs = {m[1] for m in re.finditer(r"(.)\1+", token) if len(m[0]) >= least_run}
+    readings = [("", 0.0)]
+    for c in token:
+        options = [(x, toxicity.SWAP) for x in toxicity.LEET.get(c, "")] + ([(c, 0.0)] if c.isalpha() else [])
+        if not options:
+            options = [("", toxicity.DROP)] + [(v, toxicity.HIDE) for v in toxicity.VOWELS if c in toxicity.HIDING]
+        readings = [x for word, cost in readings for letter, extra in options for x in (
+            [(word + letter, cost + extra)] + ([(word, cost + extra + toxicity.REPEAT)] if letter and word.endswith(letter) and (c in runs or len(options) > 1) else []))]
+
+    def total(word, cost):
+        s = [0, 0, 0, *map(toxicity._symbol, word), 0]
+        return cost + sum(model.cost(*s[k:k + 4]) for k in range(len(s) - 3))
+
+    return min(total(*x) for x in readings), {w for w, c in readings if abs(total(w, c) - min(total(*x) for x in readings)) < 1e-9}
+
+
+@pytest.mark.parametrize("token", ["i d i o t", "i  d.i -o t", "iiidiot", "stuuupid", "sc*m", "w0rth1ess", "a$$", "$cuuum", "1l1l"])
+def test_decoding_is_the_cheapest_reading(letters, token):
+    _, best = plain_decode(token, letters)
+    assert toxicity.decode(token, letters) in best
+    _, best = plain_decode(token, letters, 2)
+    assert toxicity.decode(token, letters, 2) in best

@@ -50,7 +50,7 @@ def temperature(logits: np.ndarray, labels: Iterable[int]) -> float:
     Where the loss has no minimum within the limits, as on rows without an error, nothing is learned from it: the divisor is 1.
     """
     labels = np.fromiter(labels, np.int64)
-    if not len(labels):
+    if not len(labels) or (logits.argmax(1) == labels).all():
         return 1.0
 
     def loss(t: float) -> float:
