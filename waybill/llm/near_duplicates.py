@@ -45,7 +45,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 # Fixed value: the key of the word hashes. Executors must agree on it.
 _KEY = b"near-duplicates"
 #: Words whose hashes a Python worker keeps.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 1 << 17
 
 
 class _WordHashes(dict):
