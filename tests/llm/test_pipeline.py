@@ -94,7 +94,9 @@ def test_equal_ids_with_unlike_texts_go_through_all_stages(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null").limit(60)
     texts = [r.text for r in given.collect() if len(r.text) > 200][:12]
     rows = [(7, t, "en", "s", len(t)) for t in texts] + [(7, texts[0], "en", "s", 1)] * 3 + [(8, " ".join(texts * 60), "en", "t", 1), (None, texts[1], "en", None, 1)]
-    docs = given.unionByName(spark.createDataFrame(rows, given.schema))
+    # Without the documents they were taken from, which would stand for them.
+    others = given.join(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "left_anti").select(given.columns)
+    docs = others.unionByName(spark.createDataFrame(rows, given.schema))
     for name, stage in corpus_pipeline.STAGES[:3]:
         docs = staged(stage(spark, docs, sf_dir), "stage")
     assert docs.where("doc_id = 7 or doc_id = 8 or doc_id is null").select("doc_id", "text").distinct().count() > 5
