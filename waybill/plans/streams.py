@@ -28,18 +28,23 @@ ONCE = {"availableNow": True}
 LEAST_BATCHES = 4
 
 
+def files_at_once(n: int) -> int:
+    """Files of a micro-batch, for `n` files in LEAST_BATCHES of them. Every micro-batch runs a task for each part of the state, so their number must not grow with the files."""
+    return max(1, n // LEAST_BATCHES)
+
+
 def as_stream(
     spark: SparkSession, df: DataFrame, name: str, by: list[str] = ["ts"], slices: int | None = None, late: DataFrame | None = None,
     order: Callable[[int], list[int]] = lambda n: list(range(n)),
 ) -> DataFrame:
-    """A table as a stream of LEAST_BATCHES micro-batches (or of one per slice, where `slices` or `late` are given), in the order of `by`.
+    """A table as a stream of LEAST_BATCHES micro-batches (or of one per slice, where `slices` are given), in the order of `by`.
 
     All slices are written at once, cut by range partitioning into consecutive runs of one file each; the files' times then say in which
     order the stream takes them up. There are as many slices as shuffle partitions. `order` may name another one of their
     places. `late` rows come after all others.
     """
     inbox, n = write_slices(spark, df, name, by, slices)
-    return read_slices(spark, df.schema, inbox, n, late, order, 1 if slices or late is not None else -(-n // LEAST_BATCHES))
+    return read_slices(spark, df.schema, inbox, n, late, order, 1 if slices else files_at_once(n))
 
 
 def write_slices(spark: SparkSession, df: DataFrame, name: str, by: list[str], slices: int | None = None) -> tuple[str, int]:
@@ -56,20 +61,30 @@ def read_slices(
     order: Callable[[int], list[int]] = lambda n: list(range(n)), files_per_batch: int = 1,
 ) -> DataFrame:
     """The files of `write_slices` as a stream; `late` rows come in a micro-batch of their own."""
-    numbers = order(slices)
+    begin, found = int(time.time() * 1000) - 3_600_000, 0
+    for place, number in enumerate(order(slices)):
+        found += _timed(spark, f"{inbox}/slice={number}", begin + 1000 * place)
     if late is not None:
-        # Late is what the watermark before the last batch says, so one batch without rows comes first.
-        for number, rows in ((slices, late.limit(0)), (slices + 1, late)):
-            rows.coalesce(1).write.parquet(f"{inbox}/slice={number}")
-            numbers.append(number)
-    begin = int(time.time() * 1000) - 3_600_000
-    for place, number in enumerate(numbers):
-        folder = f"{inbox}/slice={number}"
-        for file in files.names(spark, folder):
-            files.set_time(spark, f"{folder}/{file}", begin + 1000 * place)
+        # Late is what the watermark before the last batch says, so one batch without rows comes first, after files without rows that fill the one before.
+        blank = f"{inbox}/slice={slices}"
+        late.limit(0).coalesce(1).write.parquet(blank)
+        empty = files.names(spark, blank)[0]
+        for k in range(1, -found % files_per_batch + files_per_batch):
+            files.copy(spark, f"{blank}/{empty}", f"{blank}/{k}-{empty}")
+        late.repartition(files_per_batch).write.parquet(f"{inbox}/slice={slices + 1}")
+        for number in (slices, slices + 1):
+            _timed(spark, f"{inbox}/slice={number}", begin + 1000 * number)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{inbox}/*")
 
 
+def _timed(spark: SparkSession, folder: str, millis: int) -> int:
+    """Give the files of a folder their time; how many there are."""
+    found = files.names(spark, folder)
+    for file in found:
+        files.set_time(spark, f"{folder}/{file}", millis)
+    return len(found)
+
+
 def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:

@@ -23,6 +23,12 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def copy(spark: SparkSession, path: str, target: str) -> None:
+    """Copy a file."""
+    fs, place = _at(spark, path)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, place, *_at(spark, target), False, spark._jsc.hadoopConfiguration())
+
+
 def mark(spark: SparkSession, path: str) -> None:
     """Create an empty file. It is there or not, never in part, so it can commit what was written before."""
     fs, place = _at(spark, path)
