@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from waybill.plans import streams
+from waybill.plans import catalog, standins, streams
 from waybill.sources import files
 
 
@@ -38,3 +38,12 @@ def test_a_copied_file_reads_as_the_first(spark, tmp_path):
     (name,) = files.names(spark, str(tmp_path / "a"))
     files.copy(spark, str(tmp_path / "a" / name), str(tmp_path / "a" / f"k-{name}"))
     assert spark.read.parquet(str(tmp_path / "a")).count() == 6
+
+
+def test_a_topic_is_kept_once_and_packed(spark, sf_dir, tmp_path, monkeypatch):
+    """The topic and what is read from it take less than a third of its text; both were as large as the text before."""
+    monkeypatch.setattr(catalog, "shared_dir", lambda _, purpose: str(tmp_path / purpose))
+    size = lambda folder: sum(f.stat().st_size for f in (tmp_path / folder).rglob("*") if f.is_file())
+    text = standins.order_log(spark, sf_dir).agg(F.sum(F.length("value"))).first()[0]
+    catalog.topic_round_trip(spark, sf_dir)
+    assert size("topic-log") + size("topic-read") < text / 3
