@@ -1,8 +1,8 @@
 """Order rows meet the cargo row of the same waybill: the rules of `operators.order_join` with state, for rows in any order.
 
-A waybill's rows wait in a reorder buffer, parted into buckets of event time, until the watermark passes the end of their bucket; a timer stands
-there. Timers of a waybill fire in the order of time, so its rows meet the rules in log order, however they came; only the rows of one bucket
-are put in order together. The watermark's delay says how far out of order rows may be; those that come later than that are
+A waybill's rows wait in a reorder buffer until the watermark passes the end of their bucket of event time; a timer stands at the end of the
+earliest one. When it fires, all rows that are due by then are put in order and meet the rules, and a timer is set for the earliest of the
+rest: a micro-batch costs a waybill a few calls to its state, however many rows it brings. The watermark's delay says how far out of order rows may be; those that come later than that are
 taken when they come. Times are those of the events, so a replay in other micro-batches gives the same facts.
 
 Per waybill the state keeps the buffer, the held cargo and the waiting order. Images go through as text that nothing in between reads, and only
@@ -39,38 +39,43 @@ class OrderJoin(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", _KEPT)
-        self.buffer = handle.getMapState("buffer", "due bigint", f"rows array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>")
+        self.buffer = handle.getListState("buffer", _ROW)
+
+    def due(self, ms: int) -> int:
+        return (int(ms) // self.bucket_ms + 1) * self.bucket_ms
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            due = (part["ms"] // self.bucket_ms + 1) * self.bucket_ms
-            part = part[_FIELDS].astype(object).where(part[_FIELDS].notna(), None)
-            for at, some in part.groupby(due, sort=False):
-                at, new = int(at), list(some.itertuples(index=False, name=None))
-                if self.buffer.containsKey((at,)):
-                    new = [tuple(r) for r in self.buffer.getValue((at,))[0]] + new
-                else:
-                    self.handle.registerTimer(at)
-                self.buffer.updateValue((at,), (new,))
+            columns = [part[c].tolist() for c in _FIELDS]
+            self.buffer.appendList([tuple(None if v != v else v for v in row) for row in zip(*columns)])
+            self.handle.registerTimer(self.due(min(columns[0])))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.buffer.containsKey((due,)):
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.buffer.get()]
+        ready = lambda r: self.due(r[0]) <= at or self.due(r[0]) < now
+        rows, rest = [r for r in held if ready(r)], [r for r in held if not ready(r)]
+        if not rows:
             return
-        rows = [tuple(r) for r in self.buffer.getValue((due,))[0]]
-        self.buffer.removeKey((due,))
+        if rest:
+            self.buffer.put(rest)
+            self.handle.registerTimer(self.due(min(r[0] for r in rest)))
+        else:
+            self.buffer.clear()
         before = tuple(self.kept.get()) if self.kept.exists() else (None, None, None)
         facts, after = self.in_order(rows, before)
-        if after == (None, None, None):
+        if after == before:
+            pass
+        elif after == (None, None, None):
             self.kept.clear()
-        elif after != before:
+        else:
             self.kept.update(after)
         if facts:
             yield pd.DataFrame(facts, columns=_OUT)
 
     def in_order(self, rows: list[tuple], kept: tuple) -> tuple[list[tuple], tuple]:
-        """Facts of the rows of one bucket, and what is kept after them: held cargo, waiting order and since when it waits."""
+        """Facts of rows that are due together, and what is kept after them: held cargo, waiting order and since when it waits."""
         cargo, waiting, since = kept
         facts = []
         for ms, _, tbl, op, _, _, step, image in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3], r[4] or "", r[5] or "")):
