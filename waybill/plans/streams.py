@@ -204,6 +204,15 @@ def lag_of(slices: DataFrame, order: list[int]) -> int:
     return lag
 
 
+def span_of(batches: DataFrame) -> int:
+    """Milliseconds by which a batch's first row is at most behind the newest row up to its end; batches: batch_id, first, last."""
+    span, newest = 0, None
+    for r in batches.orderBy("batch_id").collect():  # a row per batch
+        newest = max(newest or r["last"], r["last"])
+        span = max(span, newest - r["first"])
+    return span
+
+
 def stream_order_join(spark, sf_dir):
     """The order join over files that come out of their order in time."""
     log = narrow_images(standins.order_changes(spark, sf_dir), ["order_id", "amount"])
@@ -211,8 +220,10 @@ def stream_order_join(spark, sf_dir):
     written = spark.read.schema(T.StructType([*log.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(inbox)
     spans = written.groupBy("slice").agg(F.unix_millis(F.min("ts")).alias("first"), F.unix_millis(F.max("ts")).alias("last"))
     lag = lag_of(spans, near_shuffled(slices))
+    at_once = files_at_once(slices)
+    at_once -= at_once > 1 and at_once % 3 == 0  # so that some groups of three lie in two micro-batches
     marker = end_marker(written.drop("slice"), tbl="order_cargo").withColumn("ts", F.col("ts") + F.expr(f"interval {lag} milliseconds"))
-    stream = read_slices(spark, log.schema, inbox, slices, marker, near_shuffled)
+    stream = read_slices(spark, log.schema, inbox, slices, marker, near_shuffled, at_once)
     detail = facts.waybill_detail(join_orders(stream, delay=f"{lag + 1} milliseconds"), columns=["order_id", "amount"])
     return run_to_table(spark, "order-join", lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)).drop("batch_id")
 
@@ -224,24 +235,30 @@ def wired_chain(spark, sf_dir):
     at = F.get_json_object("value", "$.ts_ms").cast("long")
     log = standins.order_log(spark, sf_dir).withColumn("at", at)
     slices = max(LEAST_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    log.repartitionByRange(slices, "at").sortWithinPartitions("at").select("value").write.text(f"{root}/topic")
+    log.repartitionByRange(slices, "at").sortWithinPartitions("at").select("value").write.text(f"{root}/topic", compression="gzip")
     # A message two days after all others that belongs to no waybill.
     last = log.agg(F.max("at").alias("at")).select(F.to_json(F.struct(
         F.lit("c").alias("op"), F.struct(F.lit("end").alias("id")).alias("after"), F.struct(F.lit("order_cargo").alias("table")).alias("source"),
         (F.col("at") + 2 * 86_400_000).alias("ts_ms"))).alias("value"))
-    begin = int(time.time() * 1000) - 3_600_000
-    for place, name in enumerate(files.names(spark, f"{root}/topic")):
+    begin, found = int(time.time() * 1000) - 3_600_000, files.names(spark, f"{root}/topic")
+    for place, name in enumerate(found):
         files.set_time(spark, f"{root}/topic/{name}", begin + 1000 * place)
     last.coalesce(1).write.mode("append").text(f"{root}/topic")
 
-    raw = read_changes(spark, f"{root}/topic", "dwd", fmt="text", maxFilesPerTrigger="2")
+    raw = read_changes(spark, f"{root}/topic", "dwd", fmt="text", maxFilesPerTrigger=str(files_at_once(len(found))))
     detail = facts.waybill_detail(join_orders(order_changes(raw, wanted_fields(columns))), columns=columns)
     finish(fanout.start_fan_out(detail, f"{root}/facts", f"{root}/join", trigger=ONCE))
 
     schema = detail.drop("fact").schema
-    placed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/facts/*/fact=detail")
+    sinks = [f"{root}/facts/{batch}/fact=detail" for batch in files.names(spark, f"{root}/facts")]
+    at_once = files_at_once(sum(len(files.names(spark, sink)) for sink in sinks))
+    placed = spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(f"{root}/facts/*/fact=detail")
+    # The files of one micro-batch of the join hold the same span of time and may come in several of the summary.
+    written = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("fact", T.StringType())])).parquet(f"{root}/facts")
+    spans = written.where("fact = 'detail'").groupBy("batch_id").agg(F.unix_millis(F.min("ts")).alias("first"), F.unix_millis(F.max("ts")).alias("last"))
     finish(jobs.start_day_summary(
-        "org_order_day", placed, late_dims(spark, sf_dir, "base_organ"), f"{root}/summary", f"{root}/fold", ONCE, delay="1 day"))
+        "org_order_day", placed, late_dims(spark, sf_dir, "base_organ"), f"{root}/summary", f"{root}/fold", ONCE,
+        delay=f"{86_400_000 + span_of(spans)} milliseconds"))
     return reports.order_amount_by_day(jobs.standing(spark.read.parquet(f"{root}/summary"), "org_order_day").withColumn("version", F.lit(0)), "version")
 
 
