@@ -3,14 +3,16 @@
 import random
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from waybill.operators import snapshots
 from waybill.plans.streams import as_stream, end_marker, finish
 from waybill.session import shared_dir
-from waybill.streaming.series import event_series
+from waybill.streaming.series import SlotTotals, event_series
 
 DAY = datetime(2024, 1, 1, 15, 59, tzinfo=timezone.utc)
 
@@ -60,3 +62,55 @@ def test_late_rows_of_an_open_day_count_from_the_next_boundary(spark):
         finish(series.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     rows = spark.read.schema(series.schema).parquet(f"{root}/out").where("k = 'a'").collect()
     assert sorted((int((r.version.replace(tzinfo=timezone.utc) - DAY).total_seconds()), r.n, int(r.v)) for r in rows) == [(10, 1, 1), (30, 4, 1111), (80, 1, 1)]
+
+
+class OneKey:
+    """State and timers of one key, with the number of calls to them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def _called(self, result=None):
+        self.calls += 1
+        return result
+
+    def exists(self):
+        return self._called(self.value is not None)
+
+    def get(self):
+        return self._called(self.value)
+
+    def update(self, value):
+        self.value = self._called(value)
+
+    def clear(self):
+        self.value = self._called()
+
+    def registerTimer(self, at):
+        self._called(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._called(self.timers.discard(at))
+
+
+@pytest.mark.parametrize("slots", [5, 3_000])
+def test_calls_to_the_state_do_not_grow_with_the_slots(slots):
+    """A day of slots comes in two micro-batches, the earlier half last, then the watermark passes half of them and then all."""
+    key, processor = OneKey(), SlotTotals(["k"], ["n"], ["bigint"], 10_000)
+    processor.init(key)
+    at = lambda watermark: SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+    for part in (range(slots // 2, slots), range(slots // 2)):
+        rows = pd.DataFrame({"slot": [10_000 * (n + 1) for n in part], "n": 1})
+        assert list(processor.handleInputRows(("a", 86_400_000), iter([rows]), at(0))) == []
+    assert key.timers == {10_000}
+    out = []
+    for watermark in (10_000 * (slots // 2), 86_400_000):
+        for timer in sorted(t for t in key.timers if t <= watermark):
+            key.timers.discard(timer)
+            out += processor.handleExpiredTimer(("a", 86_400_000), at(watermark), SimpleNamespace(getExpiryTimeInMs=lambda t=timer: t))
+    rows = pd.concat(out)
+    assert rows[["slot", "n"]].values.tolist() == [[10_000 * (n + 1), n + 1] for n in range(slots)]
+    assert key.value is None and key.calls <= 20

@@ -98,6 +98,21 @@ def run_to_table(spark: SparkSession, name: str, start: Callable[[str, str], Str
     return spark.read.parquet(f"{root}/out")
 
 
+def with_parts(spark: SparkSession, parts: int, start: Callable[[str, str], StreamingQuery]) -> Callable[[str, str], StreamingQuery]:
+    """The start of a stream whose state lies in at most so many parts: a query takes the number over when it starts and keeps it."""
+    name = "spark.sql.shuffle.partitions"
+
+    def run(out: str, checkpoint: str) -> StreamingQuery:
+        given = spark.conf.get(name)
+        spark.conf.set(name, str(min(int(given), parts)))
+        try:
+            return start(out, checkpoint)
+        finally:
+            spark.conf.set(name, given)
+
+    return run
+
+
 def _event_day(spark: SparkSession, stream: DataFrame) -> DataFrame:
     totals = events.running_summary(stream, ["event_type"], {
         "event_count": F.count("*"), "amount": F.sum(F.col("value").cast("decimal(20,2)"))})
@@ -131,8 +146,9 @@ def stream_event_series(spark, sf_dir):
     rows = standins.table(spark, sf_dir, "events").select("event_type", "ts")
     stream = as_stream(spark, rows, "events", late=end_marker(rows))
     totals = series.event_series(stream, ["event_type"], {"event_count": "1"})
-    return run_to_table(
-        spark, "event-series", lambda out, ck: totals.writeStream.format("parquet").option("checkpointLocation", ck).trigger(**ONCE).start(out))
+    # Keys are types of events and days, each with the slots of a day at most, so more parts than cores would only be more Python workers to start.
+    start = lambda out, ck: totals.writeStream.format("parquet").option("checkpointLocation", ck).trigger(**ONCE).start(out)
+    return run_to_table(spark, "event-series", with_parts(spark, spark.sparkContext.defaultParallelism, start))
 
 
 # Order and cargo columns the summaries read from each fact.

@@ -1,9 +1,9 @@
 """The running series of a summary, fired by event time: the cumulative value of a key and day at each 10-second boundary that changed it.
 
-Rows are added up per slot inside the tasks first, so a hot key sends few rows. The state of a key and day is its total and the sums of its
-open slots; a timer stands at the end of each. When the watermark passes a timer, the slot goes into the total and the
-total goes out, versioned by the boundary; the boundary that ends the day is the last, and the state goes with it. What is emitted
-depends on event times alone, not on micro-batches or clocks.
+Rows are added up per slot inside the tasks first, so a hot key sends few rows. The state of a key and day is one value: its total and the sums of its
+open slots, in lists, so that a micro-batch reads and writes it once, however many slots it touches. One timer stands at the end of the earliest open slot. When the
+watermark passes it, all slots up to the watermark go into the total one after the other and the totals go out, each versioned by its boundary; the
+boundary that ends the day is the last, and the state goes with it. What is emitted depends on event times alone, not on micro-batches or clocks.
 """
 
 from __future__ import annotations
@@ -27,13 +27,27 @@ DAY_MS = 86_400_000
 class SlotTotals(StatefulProcessor):
     """Cumulative totals of one key and day; the key's last field is the end of the day."""
 
-    def __init__(self, keys: list[str], measures: list[str], kinds: str, slot_ms: int) -> None:
+    def __init__(self, keys: list[str], measures: list[str], kinds: list[str], slot_ms: int) -> None:
         self.keys, self.measures, self.kinds, self.slot_ms = keys, measures, kinds, slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", self.kinds)
-        self.open = handle.getMapState("open", "slot bigint", self.kinds)
+        lists = [f"`open{i}` array<{kind}>" for i, kind in enumerate(self.kinds)]
+        totals = [f"`total{i}` {kind}" for i, kind in enumerate(self.kinds)]
+        self.state = handle.getValueState("slots", ", ".join(["`slots` array<bigint>", *lists, *totals]))
+
+    def _read(self) -> tuple[dict[int, tuple], tuple | None]:
+        """Sums of the open slots, and the total so far (None: no slot was emitted)."""
+        if not self.state.exists():
+            return {}, None
+        slots, *values = self.state.get()
+        n = len(self.measures)
+        total = tuple(values[n:])
+        return dict(zip(slots, zip(*values[:n]))), None if total[0] is None else total
+
+    def _write(self, held: dict[int, tuple], total: tuple | None) -> None:
+        n = len(self.measures)
+        self.state.update((list(held), *[[sums[i] for sums in held.values()] for i in range(n)], *(total or [None] * n)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, end = timerValues.getCurrentWatermarkInMs(), int(key[-1])
@@ -41,27 +55,36 @@ class SlotTotals(StatefulProcessor):
         if now < end:
             # A late row of an open day counts from the next boundary on; those of a closed day are dropped.
             parts["slot"] = parts["slot"].clip(lower=(now // self.slot_ms + 1) * self.slot_ms)
-            for slot, sums in parts.groupby("slot")[self.measures].sum().iterrows():
-                held = self.open.getValue((slot,)) if self.open.containsKey((slot,)) else None
-                if held is None:
-                    self.handle.registerTimer(slot)
-                self.open.updateValue((slot,), _added(held, tuple(sums)))
+            held, total = self._read()
+            first = min(held, default=None)
+            sums = parts.groupby("slot")[self.measures].sum()
+            for slot, *values in sums.itertuples(name=None):
+                held[int(slot)] = _added(held.get(int(slot)), tuple(values))
+            if first is None or min(held) < first:
+                self.handle.registerTimer(min(held))
+                if first is not None:
+                    self.handle.deleteTimer(first)
+            self._write(held, total)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot, end = expiredTimerInfo.getExpiryTimeInMs(), int(key[-1])
-        held = self.open.getValue((slot,)) if self.open.containsKey((slot,)) else None
-        if held is not None:
-            total = _added(self.total.get() if self.total.exists() else None, tuple(held))
-            self.open.removeKey((slot,))
-            yield pd.DataFrame([(*key, slot, *total)], columns=[*self.keys, "day_end", "slot", *self.measures])
-            if slot < end:
-                # The state goes at the end of the day, whether rows came in its last slot or not.
-                if not self.total.exists():
-                    self.handle.registerTimer(end)
-                self.total.update(total)
-        if slot >= end:
-            self.total.clear()
+        end, upto = int(key[-1]), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held, total = self._read()
+        out = []
+        for slot in sorted(s for s in held if s <= upto):
+            total = _added(total, held.pop(slot))
+            out.append((*key, slot, *total))
+        if out:
+            yield pd.DataFrame(out, columns=[*self.keys, "day_end", "slot", *self.measures])
+        if held:
+            self.handle.registerTimer(min(held))
+        elif upto < end and total is not None:
+            # The state goes at the end of the day, whether rows came in its last slot or not.
+            self.handle.registerTimer(end)
+        if held or upto < end:
+            self._write(held, total)
+        else:
+            self.state.clear()
 
     def close(self) -> None:
         pass
@@ -93,7 +116,7 @@ def event_series(
     rows = timed.where(F.col(ts).isNotNull()).select(
         *keys, day_end.cast("long").alias("day_end"), ((F.floor(ms / slot_ms) + 1) * slot_ms).cast("long").alias("slot"),
         *[(F.lit(1).cast("long") if c == "1" else F.col(c)).alias(n) for n, c in measures.items()])
-    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in measures)
+    kinds = [rows.schema[n].dataType.simpleString() for n in measures]
     summed = rows.mapInPandas(partial(_per_slot, keys=keys, measures=list(measures)), rows.schema)
     states = summed.groupBy(*keys, "day_end").transformWithStateInPandas(
         SlotTotals(keys, list(measures), kinds, slot_ms), outputStructType=rows.schema, outputMode="append", timeMode="EventTime")
