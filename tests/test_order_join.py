@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from simulation import simulate
 
 from waybill.operators import skew
-from waybill.operators.order_join import SEQUENCE, join_orders_batch
+from waybill.operators.order_join import SEQUENCE, join_orders_batch, relevant
 from waybill.plans import standins
 from waybill.plans.streams import as_stream, end_marker, finish
 from waybill.session import shared_dir
@@ -98,6 +98,19 @@ def test_random_logs(spark, seed):
     assert result(join_orders_batch(changes(spark, rows))) == sorted(simulate(rows))
 
 
+@pytest.mark.parametrize("fact", ["detail", "deliver", "cancel", "sign"])
+def test_one_fact_alone(spark, fact):
+    """The same rows as among all facts, in slices too, from a part of the log."""
+    rows = random_log(11, hot=0.3)
+    log = changes(spark, rows)
+    expected = sorted(r for r in simulate(rows) if r[1] == fact)
+    assert expected and result(join_orders_batch(log, fact=fact)) == expected
+    assert result(join_orders_batch(log, fact=fact, max_rows=20, slices=7)) == expected
+    kept = {r._status for r in relevant(log, fact).select("_status").distinct().collect()}
+    assert kept == {None, "cancel", "sign", *([] if fact == "detail" else [fact])}
+    assert relevant(log, fact).count() < relevant(log).count()
+
+
 @pytest.mark.parametrize("slices", [2, 25, None])
 def test_hot_order_in_slices(spark, slices):
     rows = random_log(7, hot=0.4)
