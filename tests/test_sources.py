@@ -1,7 +1,9 @@
 import json
+import os
 
 import pytest
 
+from waybill.plans import standins
 from waybill.sources import changes, tables, topics
 
 
@@ -100,3 +102,22 @@ def test_events_written_while_a_job_is_down_come_out_once(spark, tmp_path):
     run()
     events = changes.parse_envelope(spark.read.parquet(target))
     assert sorted(json.loads(r.after)["id"] for r in events.collect()) == ["1", "2", "3"]
+
+
+def test_texts_of_other_tables_are_told_without_a_parse(spark):
+    """A table's name may be spelled with escapes, or stand elsewhere in the text."""
+    def event(table, note=""):
+        return '{"op":"c","after":{"note":"%s"},"source":{"table":"%s"}}' % (note, table)
+
+    texts = [event("order_cargo"), event("order_\\u0063argo"), event("order_info"), event("order_info", "order_cargo"), event("x", "a\\\\b"), None, "{"]
+    raw = spark.createDataFrame([(t,) for t in texts], "value string")
+    kept = changes.of_tables(raw, ["order_cargo"])
+    assert sorted(r.value for r in kept.collect()) == sorted(texts[:2])
+    assert "contains" in kept._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_parts_of_the_orders_grow_with_the_table(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(standins, "MOST_BYTES", {"orders": 2_000})
+    standins._SEEN.clear()
+    size = os.path.getsize(f"{sf_dir}/orders.parquet")
+    assert standins.table(spark, sf_dir, "orders").rdd.getNumPartitions() == -(-size // 2_000) > spark.sparkContext.defaultParallelism

@@ -74,7 +74,8 @@ def table_filter(spark, sf_dir):
 
 
 def envelope_fields(spark, sf_dir):
-    return changes.order_changes(standins.order_log(spark, sf_dir)).select(
+    fields = {"order": {"status", "amount", "estimate_arrive_time"}, "cargo": {"weight", "create_time"}}
+    return changes.order_changes(standins.order_log(spark, sf_dir), fields).select(
         "order_id", "tbl", "op", "ts", "before_status", F.col("order.status").alias("status"),
         F.col("order.amount").alias("amount"), F.col("order.estimate_arrive_time").alias("arrive_time"),
         F.col("cargo.weight").alias("weight"), F.col("cargo.create_time").alias("cargo_time"))

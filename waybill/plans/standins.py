@@ -14,25 +14,28 @@ from pyspark.sql import types as T
 
 from waybill.functions.scalars import local_shift, millis
 from waybill.schemas import CONFIG_TABLE
+from waybill.sources import files
 
 # Status codes of a waybill in the order they are reached, and the code of a cancel.
 STATUS_CODES = ["60010", "60020", "60030", "60040", "60050", "60060", "60070", "60080"]
 CANCEL_CODE = "60999"
 
 
-# Schema and number of splits of the tables a session has seen, so that a table used several times in a plan is not opened each time.
-_SEEN: dict[tuple[str, str], tuple[T.StructType, int]] = {}
+# Schema, number of splits and bytes of the tables a session has seen, so that a table used several times in a plan is not opened each time.
+_SEEN: dict[tuple[str, str], tuple[T.StructType, int, int]] = {}
 
 # Tables that grow with the business; the others describe it.
 FACT_TABLES = ("orders", "lineitem")
+# Most bytes of a table's files for one task, where what is made of a row (six changes, each a long text) is many times its size.
+MOST_BYTES = {"orders": 2 << 20}
 
 
-def _look(spark: SparkSession, sf_dir: str, name: str) -> tuple[T.StructType, int]:
+def _look(spark: SparkSession, sf_dir: str, name: str) -> tuple[T.StructType, int, int]:
     path = f"{sf_dir}/{name}.parquet"
     key = spark.sparkContext.applicationId, path
     if key not in _SEEN:
         df = spark.read.parquet(path)
-        _SEEN[key] = df.schema, df.rdd.getNumPartitions()
+        _SEEN[key] = df.schema, df.rdd.getNumPartitions(), files.size(spark, path)
     return _SEEN[key]
 
 
@@ -43,14 +46,14 @@ def schema_of(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """One given table; zone-less times are UTC instants.
 
-    A fact table of fewer splits than cores (a small test file) is spread over the cores first. One
-    of normal size has many splits and is read in place.
+    A fact table of fewer splits than cores (a small test file) is spread over the cores first, and one of MOST_BYTES over as many tasks as that
+    gives, so that their number grows with the table and not their work. Others of normal size have many splits and are read in place.
     """
-    schema, splits = _look(spark, sf_dir, name)
+    schema, splits, size = _look(spark, sf_dir, name)
     df = spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and name in FACT_TABLES and splits < cores:
-        df = df.repartition(cores)
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // MOST_BYTES.get(name, size or 1)))
+    if spread and name in FACT_TABLES and splits < parts:
+        df = df.repartition(parts)
     ntz = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
@@ -341,7 +344,8 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     Besides the changes of `order_changes` it holds deletes (every 11th order), updates that lost
     their image (every 17th) and snapshot reads (every 19th), which later steps must ignore.
     """
-    changes = order_changes(spark, sf_dir)
+    # Images in their wire form before the events are unfolded: once for a change, not for each image of each event.
+    changes = order_changes(spark, sf_dir).withColumns({"order": _order_wire(F.col("order")), "cargo": _cargo_wire(F.col("cargo"))})
     number = F.col("order_id").cast("long")
     placed = (F.col("tbl") == "order_info") & (F.col("op") == "c")
 
@@ -355,7 +359,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(placed & (number % 17 == 0), kind(F.lit("u"), yes, no)),
         F.when(placed & (number % 19 == 0), kind(F.lit("r"), no, yes)))
     events = changes.select("*", F.inline(F.array_compact(kinds)))
-    order, cargo = _order_wire(F.col("order")), _cargo_wire(F.col("cargo"))
+    order, cargo = F.col("order"), F.col("cargo")
     old = order.withField("status", F.coalesce("before_status", "order.status"))
     return events.select(F.when(
         F.col("tbl") == "order_cargo", _envelope("order_cargo", F.col("event_op"), F.when(no, cargo), cargo, millis(F.col("ts")))

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small tasks after a shuffle: a row of an order may unfold to six long messages in the task that reads it.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     # Hot join keys are split at run time, even where that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

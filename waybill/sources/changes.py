@@ -67,8 +67,17 @@ def normalize(events: DataFrame, drop: tuple[str, ...] = ("source",)) -> DataFra
 
 
 def of_tables(df: DataFrame, names: list[str]) -> DataFrame:
-    """Events of the named tables, for raw text as well as for normalized events."""
-    return df.where((F.col("table") if "table" in df.columns else table_of()).isin(list(names)))
+    """Events of the named tables, for raw text as well as for normalized events.
+
+    A text that has neither a name as it is nor a backslash, by which a name could be spelled otherwise, is of another table and is not parsed.
+    """
+    if "table" in df.columns:
+        return df.where(F.col("table").isin(list(names)))
+    likely = F.col("value").contains("\\")
+    for name in names:
+        likely |= F.col("value").contains(name)
+    # As one condition with an order: the parse comes second.
+    return df.where(F.when(likely, table_of().isin(list(names))).otherwise(False))
 
 
 def typed_changes(raw: DataFrame, table: str, image: T.StructType) -> DataFrame:

@@ -17,6 +17,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in found if not n.startswith((".", "_")))
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    fs, place = _at(spark, path)
+    return fs.getContentSummary(place).getLength()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder or file with all it holds, if it exists."""
     fs, place = _at(spark, path)
