@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from waybill.operators import facts
 from waybill.plans import standins
 from waybill.sources import changes, tables, topics
 
@@ -121,3 +122,11 @@ def test_parts_of_the_orders_grow_with_the_table(spark, sf_dir, monkeypatch):
     standins._SEEN.clear()
     size = os.path.getsize(f"{sf_dir}/orders.parquet")
     assert standins.table(spark, sf_dir, "orders").rdd.getNumPartitions() == -(-size // 2_000) > spark.sparkContext.defaultParallelism
+
+
+def test_narrow_bounds_make_the_same_steps(spark, sf_dir):
+    whole = standins.bound_changes(spark, sf_dir)
+    narrow = facts.narrow_bounds(whole)
+    assert narrow.schema["before"].dataType.names == ["sort_time", "outbound_time"]
+    assert facts.bound_steps(narrow).exceptAll(facts.bound_steps(whole)).isEmpty()
+    assert facts.bound_steps(whole).exceptAll(facts.bound_steps(narrow)).isEmpty()

@@ -100,6 +100,16 @@ def _bound_happens(step: str) -> Column:
     return F.col("op") == "c" if step == "inbound" else became_set(BOUND_STEPS[step][0])
 
 
+def narrow_bounds(changes: DataFrame) -> DataFrame:
+    """Warehouse changes with the fields alone that the steps read: of the image before, whether a time was set."""
+    times = [time for time, _ in BOUND_STEPS.values()]
+    fields = ["id", "order_id", "org_id", *[c for names in BOUND_STEPS.values() for c in names]]
+    old = F.struct(*[F.col(f"before.{c}").alias(c) for c in times if c != "inbound_time"])
+    return changes.select(
+        "op", F.when(F.col("before").isNotNull(), old).alias("before"),
+        F.when(F.col("after").isNotNull(), F.struct(*[F.col(f"after.{c}").alias(c) for c in fields])).alias("after"))
+
+
 def bound_facts(changes: DataFrame) -> dict[str, DataFrame]:
     """Warehouse events split into inbound (create), sort and outbound (first time set by an update)."""
 

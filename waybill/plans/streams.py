@@ -51,7 +51,8 @@ def write_slices(spark: SparkSession, df: DataFrame, name: str, by: list[str], s
     """A folder of files, each a consecutive run of the rows, and how many there are."""
     inbox = shared_dir(spark, f"{name}-inbox")
     slices = slices or max(LEAST_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = df.repartitionByRange(slices, *by).sortWithinPartitions(*by).withColumn("slice", F.spark_partition_id())
+    # The writer wants its folders' rows together: sorted by the folder first, they need no second sort.
+    cut = df.repartitionByRange(slices, *by).withColumn("slice", F.spark_partition_id()).sortWithinPartitions("slice", *by)
     cut.write.partitionBy("slice").parquet(inbox)
     return inbox, slices
 
@@ -279,7 +280,7 @@ def wired_chain(spark, sf_dir):
 
 
 def stream_fan_out(spark, sf_dir):
-    stream = as_stream(spark, standins.bound_changes(spark, sf_dir), "bound-log", ["after.id", "op", "after.outbound_time"])
+    stream = as_stream(spark, facts.narrow_bounds(standins.bound_changes(spark, sf_dir)), "bound-log", ["after.id", "op", "after.outbound_time"])
     steps = facts.bound_steps(stream)
     return run_to_table(
         spark, "fan-out", lambda out, ck: fanout.start_fan_out(steps, out, ck, trigger=ONCE)).drop("batch_id")
