@@ -95,6 +95,17 @@ def test_org_city_misses(spark):
     assert rows == {"1": ("station", "c1"), "9": ("hub", "c1"), "2": ("orphan", None), "404": (None, None)}
 
 
+def test_org_city_of_ids_that_a_hub_and_a_station_share(spark):
+    """A row stays one row, and its city is the region of the hub, however the dimension's rows are dealt."""
+    rows = [("9", "hub", None, "100"), ("9", "s9", "8", "2009"), ("8", "other hub", None, "101"), ("1", "s1", "9", "2001")]
+    df = spark.createDataFrame([("1", 7), ("9", 8)], "org_id string, n int")
+    for organ in (rows, rows[::-1]):
+        organ = spark.createDataFrame(organ, "id string, org_name string, org_parent_id string, region_id string")
+        found = lookups.org_city(df, organ).select("org_id", "n", "org_name", "city_id").collect()
+        assert sorted(tuple(r) for r in found) == [("1", 7, "s1", "100"), ("9", 8, "hub", "100")]
+
+
+
 def test_city_province_only_for_cities(spark):
     region = spark.createDataFrame(
         [("p", None, "P", "Province"), ("c", "p", "C", "City"), ("d", "c", "D", "District")],

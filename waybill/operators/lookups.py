@@ -28,12 +28,20 @@ def lookup_first(df: DataFrame, dim: DataFrame, key: str, fk: str, columns: dict
     return lookup(df, first_by_key(dim.select(*{"id", fk, *columns}), fk), key, columns, pk=fk)
 
 
+def first_by_id(organ: DataFrame) -> DataFrame:
+    """One row per organisation: where rows share an id, one without a parent, as only its region is a city; then the first in text order."""
+    rest = [c for c in organ.columns if c != "id"]
+    order = F.struct(F.col("org_parent_id").isNotNull(), *[F.col(c) for c in rest])
+    return organ.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("_first")).select("id", "_first.*")
+
+
 def org_city(df: DataFrame, organ: DataFrame, key: str = "org_id", name: str | None = "org_name") -> DataFrame:
     """City of an organisation: the region of its parent, or its own where it has none.
 
     Adds `city_id` and, unless `name` is None, the organisation's name. The two hops are joined on
     the dimension side first, so the rows themselves are joined once.
     """
+    organ = first_by_id(organ)
     parent = organ.select(F.col("id").alias("_join_id"), F.col("region_id").alias("city_id"))
     hops = organ.withColumn("_join_org", F.coalesce("org_parent_id", "id"))
     cities = hops.join(parent, F.col("_join_org") == F.col("_join_id"), "left")
