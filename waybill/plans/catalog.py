@@ -372,7 +372,9 @@ def refreshed_names(spark, sf_dir):
     store.write(rows, 0)
     config = standins.routing_rows(spark).union(standins.region_route(spark))
     routed = routing.route_dims(changes.dim_changes(standins.name_log(spark, sf_dir)), config).drop("sink_family")
-    newest = routing.latest_by_key(routed, ["sink_table", "row_key"], ["ts", "place"])
+    # Rows of one id at one place of the log: one without a parent stays, as in `lookups.first_by_id`; then the last in text order.
+    told = routed.withColumns({"whole": F.element_at("columns", F.lit("org_parent_id")).isNull(), "told": F.map_entries("columns")})
+    newest = routing.latest_by_key(told, ["sink_table", "row_key"], ["ts", "place", "whole", "told"])
     organ = routing.dim_rows(newest, "dim_base_organ", ["id", "org_name", "org_parent_id", "region_id"])
     region = routing.dim_rows(newest, "dim_base_region_info", ["id", "parent_id", "name", "dict_code"])
     changed = refresh.with_children(refresh.changed_rows(routed), organ)
