@@ -131,6 +131,23 @@ def test_more_than_a_thousand_hot_orders(spark):
     assert result(join_orders_batch(log, max_rows=1, slices=9)) == sorted(simulate(rows))
 
 
+@pytest.mark.parametrize("hot, slices", [(0.0, 9), (0.4, 25)])
+def test_many_hot_orders_are_not_told_from_others_by_a_join(spark, monkeypatch, hot, slices):
+    """All rows go into slices then, and the carry reads only the keys that a slice begins or ends with."""
+    monkeypatch.setattr(skew, "FEW", 3)
+    rows = random_log(17, orders=200, events=1500, hot=hot)
+    joined = join_orders_batch(changes(spark, rows), max_rows=1, slices=slices)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
+    assert all("hot-rows" in f for f in joined.inputFiles())
+    assert result(joined) == sorted(simulate(rows))
+
+
+def test_slice_ends(spark):
+    rows = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0), ("c", 1), ("d", 2), ("e", 2), ("f", 2)], f"k string, {skew.SLICE} int")
+    assert skew.slice_ends(rows, "k") == ["a", "c", "d", "f"]
+
+
 def test_slices_share_the_rows(spark):
     log = changes(spark, random_log(7, events=2000, hot=0.5)).where("order_id = 'hot'")
     sizes = [r["count"] for r in skew.slice_rows(log, "order_id", ["ts"], 10).groupBy(skew.SLICE).count().collect()]

@@ -58,10 +58,9 @@ def became_set(column: str) -> Column:
 
 def status_fact(before: Column, after: Column) -> Column:
     """Name of the fact a status change stands for, null for transitions nobody reports."""
-    step = F.concat_ws(" -> ", before, after)
     out = None
     for (old, new), fact in TRANSITIONS.items():
-        out = (F.when if out is None else out.when)(step == f"{old} -> {new}", F.lit(fact))
+        out = (F.when if out is None else out.when)((before == old) & (after == new), F.lit(fact))
     return out.when(after == CANCELLED, F.lit("cancel"))
 
 

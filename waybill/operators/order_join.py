@@ -76,13 +76,17 @@ def join_orders_batch(
     The rows that matter are written once to the shared folder; the log is not read again. Waybills with more than `max_rows` of
     them, more than one task should sort, are found while they are written and worked in `slices` consecutive runs (default: as many as shuffle partitions).
     """
-    # Flat columns, so that both windows see the same sort order and the second one sorts nothing.
+    # Fields of images as flat columns, so that both windows see the same sort order and the second one sorts nothing.
     sequence = sequence or (PLACED if "place" in changes.columns else SEQUENCE)
-    flat = {f"_s{i}": F.col(c) for i, c in enumerate(sequence)}
+    flat = {f"_s{i}" if "." in c else c: F.col(c) for i, c in enumerate(sequence)}
     rows, hot = skew.written_once(relevant(changes, fact, clear_on).drop("before_status"), "order_id", max_rows)
-    rows = rows.withColumns(flat)
-    if hot is None or hot.isEmpty():
+    rows = rows.withColumns({name: c for name, c in flat.items() if name not in rows.columns})
+    listed = 0 if hot is None else skew.listed(hot)
+    if listed == 0:
         return of_fact(_joined(rows, ttl, list(flat), clear_on, sliced=False), fact)
+    if listed > skew.FEW:
+        # Keys may be sliced that need not be, which costs less than to part the rows by a long list of keys.
+        return of_fact(_joined(skew.slice_rows(rows, "order_id", list(flat), slices), ttl, list(flat), clear_on, sliced=True), fact)
     cold = _joined(rows.join(hot, "order_id", "left_anti"), ttl, list(flat), clear_on, sliced=False)
     runs = skew.slice_rows(rows.join(hot, "order_id", "left_semi"), "order_id", list(flat), slices)
     return of_fact(cold.unionByName(_joined(runs, ttl, list(flat), clear_on, sliced=True)), fact)
@@ -100,11 +104,12 @@ def _joined(rows: DataFrame, ttl: str, sequence: list[str], clear_on: tuple[str,
     nothing = F.lit(None).cast(rows.schema["cargo"].dataType)
     held = (F.when(is_cargo, F.struct(F.col("cargo").alias("cargo")))
             .when(F.col("_status").isin(*clear_on), F.struct(nothing.alias("cargo"))))
-    rows = skew.last_before(rows, held, "_held", "order_id", sequence, sliced)
+    ends = skew.slice_ends(rows, "order_id") if sliced else None
+    rows = skew.last_before(rows, held, "_held", "order_id", sequence, ends)
     has_cargo = F.col("_held.cargo").isNotNull()
 
     waits = F.when(created & ~has_cargo, F.struct(F.col("order").alias("order"), F.col("ts").alias("since")))
-    rows = skew.last_before(rows, waits, "_waiting", "order_id", sequence, sliced)
+    rows = skew.last_before(rows, waits, "_waiting", "order_id", sequence, ends)
     in_time = F.col("ts") - F.col("_waiting.since") < F.expr(f"interval {ttl}")
 
     fact = (F.when(created & has_cargo, F.lit("detail"))

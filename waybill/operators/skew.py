@@ -12,6 +12,9 @@ MAX_ROWS = 2_000_000
 
 SLICE = "_slice"
 
+# Hot keys up to this number are told from the others by a join.
+FEW = 100_000
+
 
 # Keys that a summary of the rows tracks, and the share of all rows that a key must have to be told apart from the others by it. Tracking
 # t keys misses none with more than 2.7 / t of the rows.
@@ -28,7 +31,7 @@ def written_once(rows: DataFrame, key: str, max_rows: int = MAX_ROWS) -> tuple[D
     """
     spark, path, seen = rows.sparkSession, shared_dir(rows.sparkSession, "keyed-rows"), Observation()
     frequent = F.expr(f"filter(approx_top_k(`{key}`, {TRACKED}, {TRACKED}), k -> k.count > {max_rows})")
-    rows.observe(seen, F.count("*").alias("n"), frequent.alias("frequent")).write.parquet(path)
+    rows.observe(seen, F.count("*").alias("n"), frequent.alias("frequent")).write.parquet(path, compression="zstd")
     table = spark.read.schema(rows.schema).parquet(path)
     if seen.get["n"] <= max_rows:
         return table, None
@@ -46,6 +49,11 @@ def hot_keys(rows: DataFrame, key: str, max_rows: int = MAX_ROWS) -> DataFrame:
     return rows.sparkSession.read.schema(counts.schema).parquet(path)
 
 
+def listed(keys: DataFrame) -> int:
+    """How many keys there are, up to one more than FEW."""
+    return keys.limit(FEW + 1).count()
+
+
 def slice_rows(hot_rows: DataFrame, key: str, order: list[str], slices: int | None = None) -> DataFrame:
     """Rows of hot keys with a slice number: consecutive runs of about equal size in (key, order).
 
@@ -56,16 +64,23 @@ def slice_rows(hot_rows: DataFrame, key: str, order: list[str], slices: int | No
     spark = hot_rows.sparkSession
     slices = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = shared_dir(spark, "hot-rows")
-    hot_rows.repartitionByRange(slices, key, *order).withColumn(SLICE, F.spark_partition_id()).write.parquet(path)
+    hot_rows.repartitionByRange(slices, key, *order).withColumn(SLICE, F.spark_partition_id()).write.parquet(path, compression="zstd")
     return spark.read.parquet(path)
 
 
-def last_before(df: DataFrame, value: Column, out: str, key: str, order: list[str], sliced: bool) -> DataFrame:
+def slice_ends(rows: DataFrame, key: str) -> list[str]:
+    """The keys that a slice begins or ends with. All rows of any other key are in one slice."""
+    ends = rows.groupBy(SLICE).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()  # a row per slice
+    return sorted({k for r in ends for k in (r["first"], r["last"])})
+
+
+def last_before(df: DataFrame, value: Column, out: str, key: str, order: list[str], ends: list[str] | None) -> DataFrame:
     """Newest non-null `value` among the earlier rows of the key, in the given order.
 
     Without slices this is one window. With slices (`slice_rows`) the window runs inside a slice, and
-    a small table with one row per (hot key, slice) carries the value over from the earlier slices.
+    a small table with one row per (key, slice) carries the value over from the earlier slices, for the keys in `ends` (`slice_ends`) alone.
     """
+    sliced = ends is not None
     groups = [key, SLICE] if sliced else [key]
     earlier = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     valued = df.withColumn("_value", value)
@@ -76,7 +91,7 @@ def last_before(df: DataFrame, value: Column, out: str, key: str, order: list[st
     by_slice = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
     carried = (
-        valued.groupBy(key, SLICE).agg(newest.alias("_newest"))
+        valued.where(F.col(key).isin(ends)).groupBy(key, SLICE).agg(newest.alias("_newest"))
         .withColumn("_carried", F.last("_newest", ignorenulls=True).over(by_slice))
         .drop("_newest")
     )
