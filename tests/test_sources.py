@@ -124,6 +124,16 @@ def test_parts_of_the_orders_grow_with_the_table(spark, sf_dir, monkeypatch):
     assert standins.table(spark, sf_dir, "orders").rdd.getNumPartitions() == -(-size // 2_000) > spark.sparkContext.defaultParallelism
 
 
+def test_parts_of_the_customers_grow_with_the_table(spark, sf_dir, monkeypatch):
+    """Only as far as their bytes ask for it, and not where they are joined."""
+    standins._SEEN.clear()
+    assert standins.table(spark, sf_dir, "customer").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(standins, "MOST_BYTES", {"customer": 1_000})
+    size = os.path.getsize(f"{sf_dir}/customer.parquet")
+    assert standins.table(spark, sf_dir, "customer").rdd.getNumPartitions() == -(-size // 1_000) > 1
+    assert standins.table(spark, sf_dir, "customer", spread=False).rdd.getNumPartitions() == 1
+
+
 def test_narrow_bounds_make_the_same_steps(spark, sf_dir):
     whole = standins.bound_changes(spark, sf_dir)
     narrow = facts.narrow_bounds(whole)

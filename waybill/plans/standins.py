@@ -26,8 +26,8 @@ _SEEN: dict[tuple[str, str], tuple[T.StructType, int, int]] = {}
 
 # Tables that grow with the business; the others describe it.
 FACT_TABLES = ("orders", "lineitem")
-# Most bytes of a table's files for one task, where what is made of a row (six changes, each a long text) is many times its size.
-MOST_BYTES = {"orders": 2 << 20}
+# Most bytes of a table's files for one task, where what is made of a row (changes, each a long text) is many times its size.
+MOST_BYTES = {"orders": 2 << 20, "customer": 1 << 20}
 
 
 def _look(spark: SparkSession, sf_dir: str, name: str) -> tuple[T.StructType, int, int]:
@@ -46,13 +46,13 @@ def schema_of(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """One given table; zone-less times are UTC instants.
 
-    A fact table of fewer splits than cores (a small test file) is spread over the cores first, and one of MOST_BYTES over as many tasks as that
+    A fact table of fewer splits than cores (a small test file) is spread over the cores first, and a table of MOST_BYTES over as many tasks as that
     gives, so that their number grows with the table and not their work. Others of normal size have many splits and are read in place.
     """
     schema, splits, size = _look(spark, sf_dir, name)
     df = spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // MOST_BYTES.get(name, size or 1)))
-    if spread and name in FACT_TABLES and splits < parts:
+    parts = max(spark.sparkContext.defaultParallelism if name in FACT_TABLES else 1, -(-size // MOST_BYTES.get(name, size or 1)))
+    if spread and splits < parts:
         df = df.repartition(parts)
     ntz = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
@@ -170,7 +170,7 @@ def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, cust, city = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_nationkey")
     created = _later(F.col("o_orderdate"), key * 37 % 86400)
     return (
-        orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == cust)
+        orders.join(table(spark, sf_dir, "customer", spread=False), F.col("o_custkey") == cust)
         .join(sender, F.col("sn") == city)
         .join(receiver, F.col("rn") == (city + 7) % 25)
         .select(
