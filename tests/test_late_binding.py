@@ -1,5 +1,6 @@
 """Summaries whose groups follow dimensions that change while the stream runs."""
 
+import os
 import random
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waybill.operators import summaries
+from waybill.plans import streams
 from waybill.plans.streams import as_stream, finish
 from waybill.streaming import jobs
 
@@ -102,3 +104,19 @@ def test_trucks_that_come_late(spark, tmp_path):
     order = lambda df: sorted((tuple(r) for r in df.select(*want.columns).collect()), key=str)
     assert order(got) == order(want)
     assert got.where(F.col("truck_model_id").isNull()).count() == 0
+
+
+def test_streams_of_few_groups_have_no_more_parts_than_cores(spark, sf_dir):
+    assert {name for name, job in jobs.DAY_SUMMARIES.items() if not streams.few_groups(job)} == {"bound_org_sort_day", "org_truck_model_day"}
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    given, root = spark.conf.get(name), spark.conf.get("spark.checkpoint.dir", None)
+    before = set(os.listdir(root)) if root else set()
+    spark.conf.set(name, str(cores + 8))
+    try:
+        assert streams.QUERIES["stream_bound_finish_day"](spark, sf_dir).count() > 0
+        assert spark.conf.get(name) == str(cores + 8)
+    finally:
+        spark.conf.set(name, given)
+    root = spark.conf.get("spark.checkpoint.dir")
+    [state] = [f"{root}/{d}/checkpoint/state/0" for d in set(os.listdir(root)) - before if d.startswith("waybill-bound_finish_day-")]
+    assert len([d for d in os.listdir(state) if d.isdigit()]) == cores

@@ -189,6 +189,11 @@ def late_dims(spark: SparkSession, sf_dir: str, dim: str) -> Callable[[], jobs.D
     return now
 
 
+def few_groups(job: jobs.DaySummary | jobs.BoundSummary) -> bool:
+    """Whether the groups of a summary are days, and districts or types of cargo: their number does not grow with that of facts, organisations or trucks."""
+    return job.key == "district" if isinstance(job, jobs.BoundSummary) else set(job.keys) <= {"cargo_type"}
+
+
 def _day_summary(name: str):
     job = jobs.DAY_SUMMARIES[name]
 
@@ -199,7 +204,9 @@ def _day_summary(name: str):
             for dim in ("base_organ", "base_region_info", "base_dic", "truck_info", "truck_model")}
         # Organisations and trucks that come while facts do: rows under what was known before are taken back.
         look = late_dims(spark, sf_dir, "truck_info" if job.key == "truck_id" else "base_organ") if isinstance(job, jobs.BoundSummary) else tables
-        emitted = run_to_table(spark, name, lambda out, ck: jobs.start_day_summary(name, stream, look, out, ck, ONCE))
+        start = lambda out, ck: jobs.start_day_summary(name, stream, look, out, ck, ONCE)
+        # Districts and days, or types of cargo and days, are few beside the facts; more parts than cores would only be more tasks with next to nothing to do.
+        emitted = run_to_table(spark, name, with_parts(spark, spark.sparkContext.defaultParallelism, start) if few_groups(job) else start)
         return jobs.standing(emitted, name)
 
     return query
