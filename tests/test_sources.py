@@ -4,6 +4,7 @@ import os
 import pytest
 
 from waybill.operators import facts
+from waybill.operators.order_join import relevant, wanted_fields
 from waybill.plans import standins
 from waybill.sources import changes, tables, topics
 
@@ -117,6 +118,13 @@ def test_texts_of_other_tables_are_told_without_a_parse(spark):
     assert "contains" in kept._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_a_filter_on_an_image_reads_the_image_that_was_made(spark, sf_dir):
+    log = relevant(changes.order_changes(standins.order_log(spark, sf_dir).select("value"), wanted_fields(["order_id", "amount"])))
+    plan = log._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [line for line in plan if "Filter" in line and "order_id" in line and "tbl" in line]
+    assert filters and not any("after" in line for line in filters)
+
+
 def test_parts_of_the_orders_grow_with_the_table(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(standins, "MOST_BYTES", {"orders": 2_000})
     standins._SEEN.clear()

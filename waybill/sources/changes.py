@@ -123,12 +123,13 @@ def order_changes(raw: DataFrame, fields: dict[str, set[str]] | None = None) ->
     events = of_tables(normalize(live_changes(parse_envelope(raw, schema)), ()), ["order_info", "order_cargo"])
     is_order = F.col("table") == "order_info"
     wanted = fields or {"order": None, "cargo": None}
-    return events.select(
+    # A generator again: filters and projections on fields of the images would otherwise be merged with what types them.
+    return events.select(F.inline(F.array(F.struct(
         F.when(is_order, F.col("after.id")).otherwise(F.col("after.order_id")).alias("order_id"),
         F.col("table").alias("tbl"), "op", F.timestamp_millis("ts").alias("ts"),
         F.when(is_order, F.col("before.status")).alias("before_status"),
         F.when(is_order, _image("order", F.col("after"), wanted["order"])).alias("order"),
-        F.when(~is_order, _image("cargo", F.col("after"), wanted["cargo"])).alias("cargo"), place_of(F.col("source")).alias("place"))
+        F.when(~is_order, _image("cargo", F.col("after"), wanted["cargo"])).alias("cargo"), place_of(F.col("source")).alias("place")))))
 
 
 def once(changes: DataFrame, within: str) -> DataFrame:
