@@ -55,6 +55,47 @@ def test_transducer_starts_anew_when_full(monkeypatch):
     assert [transducer.count(w.encode()) for w in words] == [len(ids_of(w)) for w in words]
 
 
+def test_states_stay_bounded_within_a_long_piece_and_between_short_ones(monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_STATES", 50)
+    monkeypatch.setattr(token_counts, "SIDE_BYTES", 64)
+    r = random.Random(6)
+    transducer = token_counts.PieceTransducer(TOKENIZER)
+    long = "".join(r.choices("etaoinshré", k=3000))
+    assert transducer.count(long.encode()) == len(ids_of(long)) and len(transducer.keys) <= 52
+    words = ["".join(r.choices("etaoinshr", k=r.randint(1, 90))) for _ in range(300)] + [""]
+    assert transducer.counts([w.encode() for w in words]).tolist() == [len(ids_of(w)) for w in words]
+    assert len(transducer.keys) <= 50 + 64 + 2 and transducer.counts([]).tolist() == []
+
+
+def test_tokens_may_follow_where_plain_merging_leaves_them():
+    r = random.Random(7)
+    transducer = token_counts.PieceTransducer(TOKENIZER)
+    assert transducer.in_order
+    tokens = list(transducer.rank)
+    pairs = [tuple(r.choices(tokens, k=2)) for _ in range(1000)]
+    for text in r.choices([t for t in map(transducer.bytes_of.get, tokens) if len(t) > 1], k=2000):
+        k = r.randrange(1, len(text))
+        pairs.append((transducer.encode(text[:k])[-1], transducer.encode(text[k:])[0]))
+    pairs += [(a, a) for a in r.choices(tokens, k=300)]
+    expected = [transducer.encode(transducer.bytes_of[a] + transducer.bytes_of[b]) == [a, b] for a, b in pairs]
+    assert [transducer.may_follow(a, b) for a, b in pairs] == expected and 500 < sum(expected) < 2500
+
+
+def test_a_merge_before_those_of_its_halves(tmp_path):
+    import json
+
+    given = json.loads(TOKENIZER.to_str())
+    letters = sorted(token_counts.byte_letters())
+    given["added_tokens"], given["model"]["merges"] = [], [["a", "bc"], ["b", "c"], ["c", "a"]]
+    given["model"]["vocab"] = {t: i for i, t in enumerate([*letters, "bc", "abc", "ca"])}
+    (tmp_path / "t.json").write_text(json.dumps(given))
+    library, counter = Tokenizer.from_file(str(tmp_path / "t.json")), token_counts.Counter(str(tmp_path / "t.json"))
+    r = random.Random(8)
+    texts = ["".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(300)]
+    assert not counter.transducer.in_order
+    assert counter.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts(odd, empty):
     rows = token_counts.token_counts(odd, PATH, limit=100).collect()
     expected = sorted((str(i), len((t or "").encode()), len(ids_of(t)), len(ids_of(t)) > 100) for i, t, *_ in ODD)
