@@ -84,6 +84,27 @@ def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
     assert rows(state.apply(batch(("f", 7)), binding(("d", "1", "one"), ("e", "1", "one")), 2)) == [(None, 7)]
 
 
+def test_totals_of_a_micro_batch_are_made_once_and_bound_where_plans_adapt(spark, tmp_path):
+    job = jobs.DAY_SUMMARIES["org_receive_day"]
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        made.add(1)
+        return value
+
+    stream_session = spark.newSession()
+    stream_session.conf.set("spark.sql.adaptive.enabled", "false")
+    batch = stream_session.createDataFrame(
+        [("2024-01-01", f"d{k}", "c", "p", START, k) for k in range(8)], "cur_date string, district string, city_id string, province_id string, first_ts timestamp, receive_count bigint",
+    ).withColumn("district", seen("district"))
+    state = jobs.RebindingState(job, batch.schema, str(tmp_path / "parts"), str(tmp_path / "binding"))
+    binding = spark.createDataFrame([("d1", "1", "one"), ("d2", "1", "one")], "district string, org_id string, org_name string")
+    rows = state.apply(batch, binding, 0)
+    assert sorted((r.org_id or "", r.receive_count) for r in rows.collect()) == [("", 25), ("1", 3)]
+    assert made.value == 8 and rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_trucks_that_come_late(spark, tmp_path):
     rows = [("o1", "Org", f"t{i % 3}", Decimal(i + 1), 60_000 * i, START + timedelta(hours=i)) for i in range(30)]
     trips = spark.createDataFrame(rows, "start_org_id string, start_org_name string, truck_id string, actual_distance decimal(20,2), transport_time bigint, ts timestamp")

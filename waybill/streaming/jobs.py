@@ -155,7 +155,7 @@ def _start_bound(name, job, facts, dims, target, checkpoint, trigger, delay, fol
         rows = state.apply(batch, job.binding(current), batch_id)
         write_summary(stamp(job.name(rows, current)), target, SUMMARY_COLUMNS[name], batch_id=batch_id, **options)
         if fold_every and batch_id % fold_every == fold_every - 1:
-            state.fold(batch.sparkSession, batch_id - 1)
+            state.fold(rows.sparkSession, batch_id - 1)
 
     writer = totals.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": SLOT})).start()
@@ -174,16 +174,17 @@ class RebindingState:
         self.binding = VersionedTable(binding, StructType([schema[job.key], *[StructField(c, StringType()) for c in job.bound]]), [job.key], [])
 
     def apply(self, batch: DataFrame, binding: DataFrame, batch_id: int) -> DataFrame:
-        job, spark = self.job, batch.sparkSession
+        # The stream's own session doesn't adapt its plans to what they read, that of the dimensions does.
+        job, spark = self.job, binding.sparkSession
         now = binding.select(job.key, *job.bound)
         before = self.binding.read(spark, before=batch_id)
         moved = self._moved(now, before)
         self.parts.write(batch, batch_id)
         self.binding.write(moved.select(job.key, *job.bound), batch_id)
-        # What was written is what is read, so that a changing dimension gives one binding for the whole batch.
+        # What was written is what is read, so that a changing dimension gives one binding for the whole batch, and its totals are not made again from the facts.
         now, parts = self.binding.read(spark, before=batch_id + 1), self.parts.versions(spark, before=batch_id + 1)
         moved = self.binding.rows_of(spark, batch_id).select(job.key)
-        days = batch.select("cur_date", job.key).union(parts.join(moved, job.key, "left_semi").select("cur_date", job.key)).distinct()
+        days = self.parts.rows_of(spark, batch_id).select("cur_date", job.key).union(parts.join(moved, job.key, "left_semi").select("cur_date", job.key)).distinct()
         # Groups may have columns that facts hold beside the bound ones, so what is touched is looked up among the parts.
         touched = self.parts.newest(parts.join(days, ["cur_date", job.key], "left_semi"))
         groups = reduce(DataFrame.union, [self._bound(touched, b).select("cur_date", *job.keys) for b in (now, before)]).distinct()
