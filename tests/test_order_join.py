@@ -202,6 +202,21 @@ def test_stream_over_files_out_of_order(spark, seed, bucket):
     assert result(spark.read.parquet(f"{root}/out")) == sorted(simulate(rows))
 
 
+def test_many_waybills_share_the_values_of_the_state(spark):
+    """What waits and what is held lies in a few values a part, so a micro-batch's calls to the state do not grow with the waybills. Rows of another waybill that
+    are behind the watermark are taken when they come."""
+    rows = random_log(18, orders=300, events=1500)
+    late = [cargo("late", 5, "c"), order("late", "c", 6), order("late", "u", 7, "60010", "60020"), order("late", "u", 8, "60070", "60080")]
+    log = changes(spark, rows)
+    root = shared_dir(spark, "test-parts")
+    stream = as_stream(spark, log, "test-log", SEQUENCE, 6, end_marker(log, tbl="order_cargo").unionByName(changes(spark, late)))
+    query = join_orders(stream, parts=3, bucket_ms=1000).writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/ck").trigger(availableNow=True).start()
+    finish(query)
+    assert result(spark.read.parquet(f"{root}/out")) == sorted(simulate(rows + late))
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 40
+
+
 def test_the_log_is_read_once(spark, tmp_path):
     """What the facts are read from afterwards is the written table, and building them starts one job over the log."""
     log = changes(spark, random_log(14))

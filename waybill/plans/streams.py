@@ -26,6 +26,8 @@ from waybill.streaming.order_join import join_orders
 ONCE = {"availableNow": True}
 # A table comes in at least so many micro-batches.
 LEAST_BATCHES = 4
+# Bytes of the files of a micro-batch (compressed) for each part of the state.
+PART_BYTES = 16 << 20
 
 
 def files_at_once(n: int) -> int:
@@ -114,6 +116,13 @@ def with_parts(spark: SparkSession, parts: int, start: Callable[[str, str], Stre
     return run
 
 
+def parts_for(spark: SparkSession, *folders: str) -> int:
+    """Parts of the state of a stream over the files of some folders: one for each core, as each starts a Python worker in every micro-batch, and more where a
+    micro-batch has more than PART_BYTES for each."""
+    size = sum(files.size(spark, folder) for folder in folders)
+    return max(spark.sparkContext.defaultParallelism, -(-size // (LEAST_BATCHES * PART_BYTES)))
+
+
 def _event_day(spark: SparkSession, stream: DataFrame) -> DataFrame:
     totals = events.running_summary(stream, ["event_type"], {
         "event_count": F.count("*"), "amount": F.sum(F.col("value").cast("decimal(20,2)"))})
@@ -249,7 +258,8 @@ def stream_order_join(spark, sf_dir):
     marker = end_marker(written.drop("slice"), tbl="order_cargo").withColumn("ts", F.col("ts") + F.expr(f"interval {lag} milliseconds"))
     stream = read_slices(spark, log.schema, inbox, slices, marker, near_shuffled, at_once)
     detail = facts.waybill_detail(join_orders(stream, delay=f"{lag + 1} milliseconds"), columns=["order_id", "amount"])
-    return run_to_table(spark, "order-join", lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)).drop("batch_id")
+    start = lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)
+    return run_to_table(spark, "order-join", with_parts(spark, parts_for(spark, inbox), start)).drop("batch_id")
 
 
 def wired_chain(spark, sf_dir):
