@@ -8,7 +8,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -266,14 +266,15 @@ def wired_chain(spark, sf_dir):
     """From a topic of raw messages to the report: a stream joins orders and cargo and fans facts out, a second one reads the sink of placed
     orders and keeps the summary of organisations, some of which come late; the amounts per day are read from its versions."""
     root, columns = shared_dir(spark, "chain"), ["sender_district_id", "sender_city_id", "amount"]
-    at = F.get_json_object("value", "$.ts_ms").cast("long")
-    log = standins.order_log(spark, sf_dir).withColumn("at", at)
     slices = max(LEAST_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    log.repartitionByRange(slices, "at").sortWithinPartitions("at").select("value").write.text(f"{root}/topic", compression="gzip")
+    # The time of the last message is seen while the messages are written: they are made once, after the changes were put in order.
+    seen = Observation()
+    in_order = lambda changes: changes.repartitionByRange(slices, "ts").sortWithinPartitions("ts").observe(seen, F.unix_millis(F.max("ts")).alias("last"))
+    standins.order_log(spark, sf_dir, in_order).write.text(f"{root}/topic", compression="gzip")
     # A message two days after all others that belongs to no waybill.
-    last = log.agg(F.max("at").alias("at")).select(F.to_json(F.struct(
+    last = spark.range(1).select(F.to_json(F.struct(
         F.lit("c").alias("op"), F.struct(F.lit("end").alias("id")).alias("after"), F.struct(F.lit("order_cargo").alias("table")).alias("source"),
-        (F.col("at") + 2 * 86_400_000).alias("ts_ms"))).alias("value"))
+        F.lit(seen.get["last"] + 2 * 86_400_000).alias("ts_ms"))).alias("value"))
     begin, found = int(time.time() * 1000) - 3_600_000, files.names(spark, f"{root}/topic")
     for place, name in enumerate(found):
         files.set_time(spark, f"{root}/topic/{name}", begin + 1000 * place)
@@ -281,7 +282,8 @@ def wired_chain(spark, sf_dir):
 
     raw = read_changes(spark, f"{root}/topic", "dwd", fmt="text", maxFilesPerTrigger=str(files_at_once(len(found))))
     detail = facts.waybill_detail(join_orders(order_changes(raw, wanted_fields(columns))), columns=columns)
-    finish(fanout.start_fan_out(detail, f"{root}/facts", f"{root}/join", trigger=ONCE))
+    join = lambda out, ck: fanout.start_fan_out(detail, out, ck, trigger=ONCE)
+    finish(with_parts(spark, parts_for(spark, f"{root}/topic"), join)(f"{root}/facts", f"{root}/join"))
 
     schema = detail.drop("fact").schema
     sinks = [f"{root}/facts/{batch}/fact=detail" for batch in files.names(spark, f"{root}/facts")]
@@ -290,9 +292,10 @@ def wired_chain(spark, sf_dir):
     # The files of one micro-batch of the join hold the same span of time and may come in several of the summary.
     written = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("fact", T.StringType())])).parquet(f"{root}/facts")
     spans = written.where("fact = 'detail'").groupBy("batch_id").agg(F.unix_millis(F.min("ts")).alias("first"), F.unix_millis(F.max("ts")).alias("last"))
-    finish(jobs.start_day_summary(
-        "org_order_day", placed, late_dims(spark, sf_dir, "base_organ"), f"{root}/summary", f"{root}/fold", ONCE,
-        delay=f"{86_400_000 + span_of(spans)} milliseconds"))
+    delay = f"{86_400_000 + span_of(spans)} milliseconds"
+    fold = lambda out, ck: jobs.start_day_summary("org_order_day", placed, late_dims(spark, sf_dir, "base_organ"), out, ck, ONCE, delay=delay)
+    # Districts and days, as in `few_groups`.
+    finish(with_parts(spark, spark.sparkContext.defaultParallelism, fold)(f"{root}/summary", f"{root}/fold"))
     return reports.order_amount_by_day(jobs.standing(spark.read.parquet(f"{root}/summary"), "org_order_day").withColumn("version", F.lit(0)), "version")
 
 
